@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import json
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,22 +38,40 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-# Entities that cover nearly all real pages; the rest goes to the Arrow function below.
-COMMON_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-)
+_ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Looked up first; all other names come from the standard HTML 5 table.
+_COMMON = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"))
+
+
+def _code_point(digits: Column, base: int) -> Column:
+    number = F.conv(digits, base, 16)
+    return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+
+
+def _entity(hit: Column) -> Column:
+    names = json.dumps({k: v for k, v in html5.items() if k.endswith(";")})
+    named = F.from_json(F.lit(names), "map<string,string>")[F.substring(hit, 2, 40)]
+    out = None
+    for entity, char in _COMMON:
+        out = F.when(hit == entity, char) if out is None else out.when(hit == entity, char)
+    return (
+        out.when(hit.rlike("^&#[0-9]"), _code_point(F.regexp_extract(hit, "([0-9]+)", 1), 10))
+        .when(hit.startswith("&#"), _code_point(F.regexp_extract(hit, "[xX]([0-9a-fA-F]+)", 1), 16))
+        .otherwise(F.coalesce(named, hit))
+    )
 
 
 def unescape(text: Column) -> Column:
-    """Decode the common HTML entities inside the JVM. ``&amp;`` comes last, so nothing decodes twice."""
-    for entity, char in COMMON_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decode HTML entities inside the JVM, each once; texts without ``&`` are passed through."""
+    pieces = F.arrays_zip(
+        F.split(text, _ENTITY, -1).alias("gap"), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)).alias("hit")
+    )
+    decoded = F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(_entity(p["hit"]), F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
 
 
 def unescape_all(text: Column) -> Column:
-    """Decode every HTML entity. Texts without ``&`` never reach the Python worker's decoder."""
+    """Decode as a browser would, including old entities without a semicolon (Arrow batches)."""
     return F.when(text.contains("&"), _unescape(F.when(text.contains("&"), text))).otherwise(text)
 
 

@@ -43,6 +43,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a result once and read it back: later steps do not repeat the work behind it,
+    and a lost executor costs files to be read again instead of a scan.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; no job is run."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
