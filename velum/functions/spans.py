@@ -147,3 +147,8 @@ def detections(
     if validate:
         found = _boosted(text, _validated(found, patterns, pivot_year), patterns)
     return found
+
+
+def matches_of(text: Column, pattern: Pattern) -> Column:
+    """Hits of a single pattern: the building block of detector plug-ins."""
+    return detections(text, (pattern,))

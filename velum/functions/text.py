@@ -9,6 +9,7 @@ from html.entities import html5
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from velum.functions.patterns import REDACTION_STEPS
 
@@ -33,7 +34,7 @@ def redact_text(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 

@@ -153,19 +153,20 @@ def summary(log: DataFrame, now: Column | None = None, hours: int = SUMMARY_HOUR
 
 
 def history(
-    events: DataFrame, order: Sequence[Column], *, event_type: str | None = None, last: int = 100,
+    events: DataFrame, order: Sequence[str], *, event_type: str | None = None, last: int = 100,
     keep: int = HISTORY_LIMIT,
 ) -> DataFrame:
-    """The last ``last`` events (of one type) among the ``keep`` most recent ones, newest first.
+    """The last ``last`` events (of one type) among the ``keep`` most recent ones, oldest first.
 
-    ``order`` sorts newest first. Both cuts are top-k queries.
+    ``order`` names columns that put events in sequence. Both cuts are top-k queries.
     """
-    recent = events.orderBy(*order).limit(keep)
+    newest = [F.col(c).desc() for c in order]
+    recent = events.orderBy(*newest).limit(keep)
     if event_type is not None:
         recent = recent.filter(F.col("event_type") == event_type)
-    return recent.orderBy(*order).limit(last)
+    return recent.orderBy(*newest).limit(last).orderBy(*order)
 
 
-def history_per_type(events: DataFrame, order: Sequence[Column], salt_by: Sequence[str], last: int = 100) -> DataFrame:
+def history_per_type(events: DataFrame, order: Sequence[str], salt_by: Sequence[str], last: int = 100) -> DataFrame:
     """The last ``last`` events of every type, safe when one type dominates."""
-    return top_per_group(events, ["event_type"], order, last, salt_by=salt_by)
+    return top_per_group(events, ["event_type"], [F.col(c).desc() for c in order], last, salt_by=salt_by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions import spans
@@ -185,6 +185,12 @@ def entity_to_type(entity: Column) -> Column:
     return out.otherwise("OTHER")
 
 
+def pattern_catalog(spark: SparkSession, patterns: Sequence[Pattern] = VALIDATED) -> DataFrame:
+    """Supported entities with type, score and description: one row per pattern."""
+    rows = [(p.entity, p.pii_type, p.confidence, p.description) for p in patterns]
+    return spark.createDataFrame(rows, "entity_type string, pii_type string, confidence double, description string")
+
+
 def resolve_overlaps(found: Column) -> Column:
     """Keep a set of hits that do not overlap: earliest start, then longest, then surest."""
     keyed = F.transform(

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from velum.functions import grading
 from velum.functions.text import parse_reply
+from velum.session import materialize
 
 CLASSIFY_REPLY = "confidence double, sensitivity string"
 ARTICLES_REPLY = "violations array<struct<article:string>>, reasoning string"
@@ -74,7 +75,7 @@ def cached_answers(prompts: DataFrame, predict: Predict, cache_path: str | None
     # One row per key: the prompt is combined before the shuffle, however often it occurs.
     distinct = prompts.groupBy("key").agg(F.any_value("prompt").alias("prompt"))
     if cache_path is None:
-        return answer(distinct.repartition(slots) if slots else distinct, predict)
+        return materialize(answer(distinct.repartition(slots, "key") if slots else distinct, predict), "replies")
     spark = prompts.sparkSession
     schema = "key string, reply string"
     try:
@@ -90,7 +91,9 @@ def cached_answers(prompts: DataFrame, predict: Predict, cache_path: str | None
 
 def _with_replies(findings: DataFrame, prompt: Column, schema: str, name: str, predict: Predict,
                   cache_path: str | None) -> DataFrame:
-    keyed = findings.withColumn("__prompt", prompt).withColumn("__key", prompt_key(F.col("__prompt"), name))
+    # Written once: the table is read for the prompts and again for the join.
+    keyed = materialize(findings, f"before-{name}")
+    keyed = keyed.withColumn("__prompt", prompt).withColumn("__key", prompt_key(F.col("__prompt"), name))
     asked = keyed.select(F.col("__key").alias("key"), F.col("__prompt").alias("prompt"))
     replies = cached_answers(asked, predict, f"{cache_path}/{name}" if cache_path else None)
     parsed = replies.select(F.col("key").alias("__key"), parse_reply(F.col("reply"), schema).alias(name))
