@@ -112,7 +112,7 @@ def enrich(findings: DataFrame, predict: Predict, cache_path: str | None = None)
     sure = F.col("classify.confidence")
     out = out.withColumns(
         {
-            "confidence": F.greatest("confidence", F.least(sure, F.lit(1.0))),
+            "confidence": F.when(sure.between(0, 1), F.greatest("confidence", sure)).otherwise(F.col("confidence")),
             "severity": F.when(level.isin(*grading.SEVERITY_ORDER), level).otherwise(F.col("severity")),
         }
     ).drop("classify")

@@ -20,12 +20,17 @@ def stream_detect(stream: DataFrame, text: str, keep: Sequence[str], patterns: S
     return detect(stream, text, keep, patterns)
 
 
+def _event_time(stream: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone; one without is read in the session's zone."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def event_counts(
     stream: DataFrame, ts: str = "ts", keys: Sequence[str] = ("event_type",), *,
     window: str = "1 day", slide: str | None = None, delay: str = "1 hour",
 ) -> DataFrame:
     """Events per time window. State is one row per window and key; windows leave once the watermark passes."""
-    late = stream.withWatermark(ts, delay)
+    late = _event_time(stream, ts).withWatermark(ts, delay)
     bucket = F.window(ts, window, slide) if slide else F.window(ts, window)
     return late.groupBy(bucket.alias("w"), *keys).agg(F.count("*").alias("events")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "events"
@@ -34,16 +39,16 @@ def event_counts(
 
 def drop_duplicates(stream: DataFrame, key: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """First event per correlation id; ids are forgotten once the watermark has passed them."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return _event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def _event(df: DataFrame, event_type: str, ts: Column | None, source: str, correlation_id: Column | None,
+def _event(df: DataFrame, event_type: str, ts: Column | None, origin: str, correlation_id: Column | None, /,
            **data: Column) -> DataFrame:
     pairs = [x for k, v in data.items() for x in (F.lit(k), v.cast("string"))]
     return df.select(
         F.lit(event_type).alias("event_type"),
         (F.current_timestamp() if ts is None else ts).alias("timestamp"),
-        F.lit(source).alias("source"),
+        F.lit(origin).alias("source"),
         F.create_map(*pairs).alias("data"),
         (F.lit(None) if correlation_id is None else correlation_id).cast("string").alias("correlation_id"),
     )
