@@ -24,6 +24,18 @@ def with_detections(
     pivot_year: int | None = None,
 ) -> DataFrame:
     """Add the array of hits to each row. Narrow: no shuffle, no Python worker.
+    """
+    gated, names = with_gates(df, text, patterns)
+    t = F.col(text)
+    found = spans.detections(
+        t, patterns, validate=validate, pivot_year=pivot_year, gates={g: F.col(n) for g, n in names.items()}
+    )
+    blank = F.trim(F.coalesce(t, F.lit(""))) == ""
+    return gated.select(*df.columns, F.when(blank, spans.no_detections()).otherwise(found).alias(out))
+
+
+def with_gates(df: DataFrame, text: str, patterns: Sequence[Pattern]) -> tuple[DataFrame, dict[str, str]]:
+    """Add the gates of the patterns as boolean columns; also returns gate expression to column name.
 
     Gates are columns of projections of their own, so that patterns sharing a gate
     (six digits in a row, say) look for it once per text. Gates that start with a
@@ -39,11 +51,7 @@ def with_detections(
             for g, p in owners.items()
         ],
     )
-    found = spans.detections(
-        t, patterns, validate=validate, pivot_year=pivot_year, gates={g: F.col(n) for g, n in names.items()}
-    )
-    blank = F.trim(F.coalesce(t, F.lit(""))) == ""
-    return gated.select(*df.columns, F.when(blank, spans.no_detections()).otherwise(found).alias(out))
+    return gated, names
 
 
 def explode_detections(
@@ -79,9 +87,15 @@ def detect(
     pivot_year: int | None = None,
     threshold: float = 0.5,
     context: int = 50,
+    spread_input: bool = True,
 ) -> DataFrame:
-    """Scan a text column. Only ``keep`` and ``text`` are read; ``text`` is dropped once contexts are cut."""
-    source = spread(df.select(*dict.fromkeys([*keep, text])), *keep)
+    """Scan a text column. Only ``keep`` and ``text`` are read; ``text`` is dropped once contexts are cut.
+
+    ``spread_input=False`` is for texts that were spread over the cores before.
+    """
+    source = df.select(*dict.fromkeys([*keep, text]))
+    if spread_input:
+        source = spread(source, *keep)
     found = with_detections(source, text, patterns, validate=validate, pivot_year=pivot_year)
     return explode_detections(found, keep, text, threshold=threshold, context=context)
 
@@ -141,7 +155,8 @@ def detect_topics(df: DataFrame, text: str, keep: Sequence[str], topics: Sequenc
         hits.append(F.when(test, row))
     source = spread(df.select(*dict.fromkeys([*keep, text])), *keep)
     lowered = source.select(*keep, F.lower(F.col(text)).alias("__low"))
-    return lowered.select(*keep, F.inline(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return lowered.select(*keep, F.inline_outer(found)).filter(F.col("topic").isNotNull())
 
 
 Model = Callable[[list[str]], list[list[tuple[str, int, int, float]]]]

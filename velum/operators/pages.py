@@ -12,6 +12,7 @@ from velum.functions.text import is_web_url, unescape
 from velum.operators.detect import detect
 from velum.operators.findings import REDACTED, conform, finding_id, to_findings
 from velum.operators.summary import top_per_group
+from velum.session import spread
 
 # Word lists and classes of the page analysis.
 COOKIE_CLASSES = (
@@ -224,7 +225,9 @@ def _issue(source: str, location: Column, context: Column | str, confidence: flo
 
 def _issue_findings(rows: DataFrame, issues: Sequence[Column], scan_id: Column) -> DataFrame:
     present = F.filter(F.array(*issues), lambda i: i.isNotNull())
-    flat = rows.select(scan_id.cast("string").alias("scan_id"), F.inline(present))
+    # Outer generators throughout: the inner ones make the optimizer evaluate the arrays twice.
+    flat = rows.select(scan_id.cast("string").alias("scan_id"), F.inline_outer(present))
+    flat = flat.filter(F.col("location").isNotNull())
     return conform(
         flat.withColumns(
             {
@@ -239,7 +242,8 @@ def _issue_findings(rows: DataFrame, issues: Sequence[Column], scan_id: Column)
 
 def cookie_findings(pages: DataFrame, scan_id: Column) -> DataFrame:
     """Tracking cookies, and cookies without the Secure flag, of ``cookie_types`` arrays."""
-    rows = pages.select(scan_id.alias("__scan"), F.explode("cookie_types").alias("c"))
+    rows = pages.select(scan_id.alias("__scan"), F.explode_outer("cookie_types").alias("c"))
+    rows = rows.filter(F.col("c").isNotNull())
     kind, place = F.col("c.type"), F.concat(F.lit("Cookie: "), F.col("c.name"))
     tracking = _issue(
         "Website Cookies", place, F.concat(kind, F.lit(" cookie detected")), 0.9,
@@ -261,7 +265,7 @@ def form_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> DataFr
 
     An empty action posts to the page itself; any other action must be an https address.
     """
-    rows = pages.select(scan_id.alias("__scan"), F.col(url).alias("__url"), F.explode("forms").alias("f"))
+    rows = pages.select(scan_id.alias("__scan"), F.col(url).alias("__url"), F.explode_outer("forms").alias("f"))
     action = F.col("f.action")
     safe = F.when(action == "", F.col("__url").startswith("https://")).otherwise(action.startswith("https://"))
     fields = F.size(F.filter("f.inputs", lambda i: i["may_collect_pii"]))
@@ -309,11 +313,16 @@ def page_pii_findings(
     patterns: Sequence[Pattern] = DOCUMENT,
 ) -> DataFrame:
     """Personal data in the readable text of the pages, graded for the web."""
-    texts = pages.select(
-        F.col(key).alias("__key"), scan_id.cast("string").alias("__scan"), F.col(url).alias("__url"),
-        title(F.col(html)).alias("__title"), page_text(F.col(html)).alias("text"),
+    # Spread before the markup is parsed, which costs more than the search.
+    source = spread(
+        pages.select(F.col(key).alias("__key"), scan_id.cast("string").alias("__scan"), F.col(url).alias("__url"),
+                     F.col(html).alias("__html")),
+        "__key",
     )
-    hits = detect(texts, "text", ["__key", "__scan", "__url", "__title"], patterns)
+    texts = source.select(
+        "__key", "__scan", "__url", title(F.col("__html")).alias("__title"), page_text(F.col("__html")).alias("text")
+    )
+    hits = detect(texts, "text", ["__key", "__scan", "__url", "__title"], patterns, spread_input=False)
     return to_findings(hits, scan_id=F.col("__scan"), source=F.col("__url"), location=F.col("__title"), source_type="web")
 
 

@@ -127,8 +127,8 @@ def cooccurrence(found: DataFrame, array: str = "detections") -> DataFrame:
     makes the set a narrow expression.
     """
     types = F.array_sort(F.array_distinct(F.transform(array, lambda d: d["pii_type"])))
-    sets = found.select(types.alias("types")).filter(F.size("types") > 1)
-    counted = sets.groupBy("types").agg(F.count("*").alias("n"))
+    # No filter on the sets: it would be pushed below the count and run the detection twice.
+    counted = found.select(types.alias("types")).groupBy("types").agg(F.count("*").alias("n"))
     pairs = F.flatten(
         F.transform(
             "types",
@@ -137,7 +137,8 @@ def cooccurrence(found: DataFrame, array: str = "detections") -> DataFrame:
             ),
         )
     )
-    return counted.select("n", F.inline(pairs)).groupBy("type_a", "type_b").agg(F.sum("n").alias("texts"))
+    rows = counted.select("n", F.inline_outer(pairs)).filter(F.col("type_a").isNotNull())
+    return rows.groupBy("type_a", "type_b").agg(F.sum("n").alias("texts"))
 
 
 def scan_listing(scans: DataFrame, findings: DataFrame, limit: int = 50) -> DataFrame:

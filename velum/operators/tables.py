@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from velum.functions import grading
 from velum.functions.patterns import DOCUMENT, Pattern
+from velum.operators.detect import with_gates
 from velum.operators.findings import conform, finding_id, merge
+from velum.session import materialize, spread
 
 # Column-name fragments, first match wins, with type and severity.
 COLUMN_HINTS = (
@@ -111,29 +113,36 @@ def sample(
 def profile_columns(
     df: DataFrame, table_name: str, columns: Sequence[str] | None = None, patterns: Sequence[Pattern] = DOCUMENT
 ) -> DataFrame:
-    """Per column and type: values, hits, and hits per hundred values.
+    """Per column and type: values, hits, and hits per hundred values of one table."""
+    return profile_tables({table_name: df.select(*columns) if columns else df}, patterns)
+
+
+def profile_tables(tables: Mapping[str, DataFrame], patterns: Sequence[Pattern] = DOCUMENT) -> DataFrame:
+    """Column profiles of any number of tables with a single aggregate.
 
     Every value is looked at on its own. Columns are unpivoted inside the scan and
     counted before the shuffle, so only one row per task, column and type moves.
     """
-    names = list(columns or df.columns)
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in names]).unpivot([], names, "column_name", "v")
-    long = long.filter(F.col("v").isNotNull())
+    long = None
+    for name, df in tables.items():
+        cells = spread(df).select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+        rows = cells.unpivot([], df.columns, "column_name", "v").filter(F.col("v").isNotNull())
+        rows = rows.select(F.lit(name).alias("table_name"), "column_name", "v")
+        long = rows if long is None else long.unionByName(rows)
+    gated, gates = with_gates(long, "v", patterns)
     types = list(dict.fromkeys(p.pii_type for p in patterns))
-    hits = {}
-    for kind in types:
-        total = sum(
-            (F.regexp_count("v", F.lit(p.java_regex)) for p in patterns if p.pii_type == kind), F.lit(0)
+    hits = {t: F.lit(0) for t in types}
+    for p in patterns:
+        found = F.regexp_count("v", F.lit(p.java_regex))
+        hits[p.pii_type] = hits[p.pii_type] + (
+            F.when(F.col(gates[p.gate]), found).otherwise(0) if p.gate else found
         )
-        hits[kind] = F.sum(total).alias(kind)
-    counted = long.groupBy("column_name").agg(F.count("*").alias("values"), *hits.values())
-    tall = counted.unpivot(["column_name", "values"], types, "pii_type", "hits").filter(F.col("hits") > 0)
+    counted = gated.groupBy("table_name", "column_name").agg(
+        F.count("*").alias("values"), *[F.sum(c).alias(t) for t, c in hits.items()]
+    )
+    tall = counted.unpivot(["table_name", "column_name", "values"], types, "pii_type", "hits").filter(F.col("hits") > 0)
     return tall.select(
-        F.lit(table_name).alias("table_name"),
-        "column_name",
-        "pii_type",
-        "hits",
-        "values",
+        "table_name", "column_name", "pii_type", "hits", "values",
         (F.col("hits") / F.col("values") * 100).alias("percent"),
     )
 
@@ -206,10 +215,11 @@ def scan_database(
     ``keys`` names the column that orders the sample of a table; ``rows=None`` scans whole tables.
     """
     src = F.lit(source)
-    parts = [scan_column_names(column_catalog(tables), src)]
-    for name, df in tables.items():
-        body = df if rows is None else sample(df, keys[name], rows)
-        parts.append(scan_column_contents(profile_columns(body, name, None, patterns), src))
+    bodies = {name: df if rows is None else sample(df, keys[name], rows) for name, df in tables.items()}
+    parts = [
+        scan_column_names(column_catalog(tables), src),
+        scan_column_contents(profile_tables(bodies, patterns), src),
+    ]
     names = column_catalog(tables).select("table_name").distinct()
     one = names.agg(F.count("*").alias("tables"))
     parts.append(check_encryption(one, src))
@@ -241,20 +251,20 @@ def header_line(columns: Sequence[str]) -> str:
     return "Headers: " + ", ".join(columns)
 
 
-def number_rows(df: DataFrame, key: str, buckets: int = 200) -> DataFrame:
-    """Consecutive row numbers (``row_number``, from 1) in the order of a unique numeric ``key``.
+def number_rows(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """Consecutive row numbers (``row_number``, from 1) in the order of a unique ``key``.
 
-    Rows are cut into value ranges by approximate quantiles, counted per range, and
-    numbered within their range, so no task sorts the whole table.
+    The table is cut into value ranges of similar size and written with the number of
+    its range, which fixes the cut. Rows are then counted per range and numbered within
+    it, so no task sorts the whole table.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted({float(c) for c in df.approxQuantile(key, probs, 0.5 / buckets)})
-    limits = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    value = F.col(key).cast("double")
-    bucketed = df.withColumn("__bucket", F.size(F.filter(limits, lambda c: c < value)))
-    sizes = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key))
-    numbered = bucketed.join(F.broadcast(offsets), "__bucket")  # at most ``buckets`` rows
-    return numbered.withColumn("row_number", inside + F.col("__before")).drop("__bucket", "__before")
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(df.repartitionByRange(n, key).withColumn("__range", F.spark_partition_id()), "numbered")
+    sizes = cut.groupBy("__range").agg(F.count("*").alias("__n"))
+    # This window has no partitions, but only one row per range.
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    numbered = cut.withColumn("__inside", inside).join(F.broadcast(offsets), "__range")  # ``n`` rows
+    return numbered.withColumn("row_number", F.col("__inside") + F.col("__before")).drop("__range", "__inside", "__before")

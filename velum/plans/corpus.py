@@ -9,6 +9,7 @@ from velum.functions.patterns import BASE, with_confidence
 from velum.operators.detect import detect
 from velum.operators.findings import to_findings
 from velum.plans.registry import table
+from velum.session import spread
 
 PIVOT_YEAR = 25
 
@@ -94,7 +95,7 @@ def identity_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = (F.concat(ddmmyy, serial).cast("long") % 31 + 1).cast("int")
     check = F.substring(F.lit("0123456789ABCDEFHJKLMNPRSTUVWXY"), index, F.lit(1))
     letters = F.array(*[F.lit(x) for x in ("AB", "GB", "CE", "ZZ", "JK", "DA", "PR")])
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select(
         "o_orderkey",
         F.concat(ddmmyy, F.lit("-"), serial, F.when(key % 2 == 0, check).otherwise("T")).alias("fi"),
         F.concat(yymmdd, F.lit("-"), F.lpad((key % 10000).cast("string"), 4, "0")).alias("se"),
@@ -172,7 +173,7 @@ def web_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 == 0, "Strict-Transport-Security").otherwise("X-Powered-By"), F.lit("x"),
         F.when(key % 11 == 0, "Content-Security-Policy").otherwise("X-Frame-Options"), F.lit("y"),
     )
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select(
         key.alias("page_id"), url.alias("url"), html.alias("html"), F.array(cookie).alias("cookies"), headers.alias("headers")
     )
 

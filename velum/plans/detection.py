@@ -121,8 +121,9 @@ DEVICE_SQL = f"""devices AS (SELECT event_id, 'device ' || {" || ':' || ".join(_
     f"WITH {DEVICE_SQL}, {K.spans('devices', ['event_id'], NETWORK, context=False)} SELECT event_id, seq, {SPAN_COLUMNS} FROM spans",
 )
 def network_identifiers(spark, sf_dir):
-    devices = table(spark, sf_dir, "events").select("event_id", _device_text().alias("text"))
-    return D.detect(devices, "text", ["event_id"], NETWORK).drop("context")
+    events = D.spread(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    devices = events.select("event_id", _device_text().alias("text"))
+    return D.detect(devices, "text", ["event_id"], NETWORK, spread_input=False).drop("context")
 
 
 # --- validators ------------------------------------------------------------------------------
@@ -228,7 +229,7 @@ def validated_ids(spark, sf_dir):
         F.lit("fnr "), F.col("no"), gap, F.lit("NINO "), F.col("uk"), F.lit(" ok"),
     )
     cards = identity_cards(spark, sf_dir).select("o_orderkey", text.alias("text"))
-    found = D.detect_validated(cards, "text", ["o_orderkey"], pivot_year=PIVOT_YEAR)
+    found = D.detect(cards, "text", ["o_orderkey"], VALIDATED, validate=True, pivot_year=PIVOT_YEAR, spread_input=False)
     return found.select("o_orderkey", "entity_type", "value", "confidence")
 
 

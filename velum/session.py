@@ -74,5 +74,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = 128 << 20
     if cores > 1 and estimated_bytes(df) < cores * split:
-        return df.repartition(cores, *keys)
+        return df.repartition(cores, *keys)  # round robin without keys
     return df
