@@ -190,15 +190,15 @@ def test_cooccurrence_brute_force(spark):
 
 
 def test_top_per_group_with_a_hot_group(spark):
-    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(F.lit(1)).alias("g"))
-    got = {(r.g, r.id) for r in S.top_per_group(df, ["g"], [F.col("id").desc()], 7, salt_by=["id"]).collect()}
+    df = spark.range(0, 4000, 1, 11).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(F.lit(1)).alias("g"))
+    got = {(r.g, r.id) for r in S.top_per_group(df, ["g"], [F.col("id").desc()], 7).collect()}
     want, groups = set(), {}
     for r in df.collect():
         groups.setdefault(r.g, []).append(r.id)
     for g, ids in groups.items():
         want |= {(g, i) for i in sorted(ids, reverse=True)[:7]}
     assert got == want
-    assert "WindowGroupLimit" in plan_of(S.top_per_group(df, ["g"], [F.col("id").desc()], 7, salt_by=["id"]))
+    assert "WindowGroupLimit" in plan_of(S.top_per_group(df, ["g"], [F.col("id").desc()], 7))
 
 
 def test_csv_export(spark, tmp_path):
@@ -248,3 +248,14 @@ def test_multi_scan_summary(spark, scans):
     every = spark.createDataFrame([("s",), ("empty",)], "scan_id string") if scans else None
     got = {(r.section, r.key): r.findings for r in S.multi_scan_summary(f, every).collect()}
     assert got[("total", "all")] == 2 and got[("type", "SSN")] == 1 and got.get(("scan", "empty")) == (0 if scans else None)
+
+
+def test_top_n_in_slices(spark, monkeypatch):
+    from velum import session
+
+    df = spark.range(0, 5000, 1, 13).select(((F.col("id") * 7919) % 5003).alias("k"))
+    plain = [r.k for r in session.top_n(df, [F.col("k").desc()], 50).collect()]
+    monkeypatch.setattr(session, "LARGE", 0)
+    large = session.top_n(df, [F.col("k").desc()], 50, slices=4)
+    assert [r.k for r in large.collect()] == plain == sorted((r.k for r in df.collect()), reverse=True)[:50]
+    assert "WindowGroupLimit" in plan_of(large)

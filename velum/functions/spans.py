@@ -129,10 +129,12 @@ def detections(
     validate: bool = False,
     pivot_year: int | None = None,
     gates: dict[str, Column] | None = None,
+    only_if: dict[str, Column] | None = None,
 ) -> Column:
     """``array<struct>`` of every hit of every pattern, in catalogue order.
 
-    ``gates`` may carry gate results computed beforehand, keyed by the gate expression.
+    ``gates`` may carry gate results computed beforehand, keyed by the gate expression;
+    ``only_if`` restricts patterns, keyed by entity, to texts for which a condition holds.
     """
     if not patterns:
         return no_detections()
@@ -141,6 +143,8 @@ def detections(
         open_ = text.rlike(p.java_regex)
         if p.gate is not None:
             open_ = (gates[p.gate] if gates else gate(text, p)) & open_
+        if only_if and p.entity in only_if:
+            open_ = only_if[p.entity] & open_
         tried.append(F.when(open_, parts(text, p)))
     recognisers = F.arrays_zip(_meta(patterns).alias("meta"), F.array(*tried).alias("parts"))
     found = F.flatten(F.transform(F.filter(recognisers, lambda r: r["parts"].isNotNull()), _located))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velum.operators.summary import top_per_group
+from velum.session import top_n
 
 # Event names, fields, look-back and caps.
 AUDIT_EVENTS = (
@@ -129,7 +130,7 @@ def query(
         log = log.filter(F.col("timestamp") <= end)
     if limit is None:
         return log
-    return log.orderBy(*(order or [F.col("timestamp")])).limit(limit)
+    return top_n(log, order or [F.col("timestamp")], limit)
 
 
 def summary(log: DataFrame, now: Column | None = None, hours: int = SUMMARY_HOURS, read_limit: int | None = None) -> DataFrame:
@@ -161,12 +162,12 @@ def history(
     ``order`` names columns that put events in sequence. Both cuts are top-k queries.
     """
     newest = [F.col(c).desc() for c in order]
-    recent = events.orderBy(*newest).limit(keep)
+    recent = top_n(events, newest, keep)
     if event_type is not None:
         recent = recent.filter(F.col("event_type") == event_type)
     return recent.orderBy(*newest).limit(last).orderBy(*order)
 
 
-def history_per_type(events: DataFrame, order: Sequence[str], salt_by: Sequence[str], last: int = 100) -> DataFrame:
+def history_per_type(events: DataFrame, order: Sequence[str], last: int = 100) -> DataFrame:
     """The last ``last`` events of every type, safe when one type dominates."""
-    return top_per_group(events, ["event_type"], [F.col(c).desc() for c in order], last, salt_by=salt_by)
+    return top_per_group(events, ["event_type"], [F.col(c).desc() for c in order], last)

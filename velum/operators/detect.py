@@ -22,13 +22,15 @@ def with_detections(
     out: str = "detections",
     validate: bool = False,
     pivot_year: int | None = None,
+    only_if: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add the array of hits to each row. Narrow: no shuffle, no Python worker.
     """
     gated, names = with_gates(df, text, patterns)
     t = F.col(text)
     found = spans.detections(
-        t, patterns, validate=validate, pivot_year=pivot_year, gates={g: F.col(n) for g, n in names.items()}
+        t, patterns, validate=validate, pivot_year=pivot_year, gates={g: F.col(n) for g, n in names.items()},
+        only_if=only_if,
     )
     blank = F.trim(F.coalesce(t, F.lit(""))) == ""
     return gated.select(*df.columns, F.when(blank, spans.no_detections()).otherwise(found).alias(out))
@@ -122,20 +124,22 @@ def detect_by_language(
 ) -> DataFrame:
     """Each text is searched with the pattern set of its own language, in one pass over the input.
 
-    Languages not listed get the general set. Sets that are equal share one branch.
+    Languages not listed get the general set. A pattern that not all sets share is only
+    tried on texts in its languages.
     """
     source = spread(df.select(*dict.fromkeys([*keep, lang, text])), *keep)
-    everything: tuple[Pattern, ...] = tuple(p for p in DOCUMENT)
-    found = with_detections(source, text, everything)
-    allowed = None
-    for code in languages:
-        names = F.array(*[F.lit(p.entity) for p in for_language(code)])
-        allowed = F.when(F.col(lang) == code, names) if allowed is None else allowed.when(F.col(lang) == code, names)
-    general = F.array(*[F.lit(p.entity) for p in for_language("")])
-    allowed = general if allowed is None else allowed.otherwise(general)
-    found = found.withColumn("__allowed", allowed)
-    rows = explode_detections(found, [*dict.fromkeys([*keep, lang]), "__allowed"], text)
-    return rows.filter(F.array_contains("__allowed", F.col("entity_type"))).drop("__allowed")
+    sets = {code: {p.entity for p in for_language(code)} for code in languages}
+    general = {p.entity for p in for_language("")}
+    only_if = {}
+    for p in DOCUMENT:
+        having = [code for code, names in sets.items() if p.entity in names]
+        if p.entity not in general:
+            only_if[p.entity] = F.coalesce(F.col(lang).isin(having), F.lit(False))
+        elif len(having) < len(sets):
+            lacking = [code for code in sets if code not in having]
+            only_if[p.entity] = F.coalesce(~F.col(lang).isin(lacking), F.lit(True))
+    found = with_detections(source, text, DOCUMENT, only_if=only_if)
+    return explode_detections(found, [*dict.fromkeys([*keep, lang])], text)
 
 
 def detect_topics(df: DataFrame, text: str, keep: Sequence[str], topics: Sequence[Topic] = TOPICS) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from velum.functions import grading
 from velum.functions.text import parse_reply
@@ -81,7 +81,9 @@ def cached_answers(prompts: DataFrame, predict: Predict, cache_path: str | None
     try:
         known = spark.read.schema(schema).parquet(cache_path)
         missing = distinct.join(known, "key", "left_anti")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         missing = distinct
     asked = answer(missing.repartition(slots, "key") if slots else missing, predict)
     asked.filter(F.col("reply") != "").write.mode("append").parquet(cache_path)

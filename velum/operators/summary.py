@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.functions import grading
+from velum.session import top_n
 
 
 def by_severity(findings: DataFrame, *keys: str) -> DataFrame:
@@ -143,7 +144,7 @@ def cooccurrence(found: DataFrame, array: str = "detections") -> DataFrame:
 
 def scan_listing(scans: DataFrame, findings: DataFrame, limit: int = 50) -> DataFrame:
     """The first ``limit`` scans by start time, with totals. The cut comes before the join."""
-    first = scans.orderBy("start_time", "scan_id").limit(limit)
+    first = top_n(scans, [F.col("start_time"), F.col("scan_id")], limit)
     totals = findings.join(F.broadcast(first.select("scan_id")), "scan_id", "left_semi") if limit <= 10000 else findings
     counted = totals.groupBy("scan_id").agg(F.count("*").alias("total_findings"))
     return first.join(counted, "scan_id", "left").withColumn(
@@ -151,23 +152,21 @@ def scan_listing(scans: DataFrame, findings: DataFrame, limit: int = 50) -> Data
     )
 
 
-def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *, salt_by: Sequence[str], salts: int = 64
-) -> DataFrame:
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, slices: int = 64) -> DataFrame:
     """The first ``n`` rows of each group, safe for groups that hold much of the table.
 
-    Each group is cut to ``n`` rows in ``salts`` independent slices before the slices
-    meet, so no task ever sorts a whole hot group; for ``n`` up to 1000 the slices
-    themselves are cut before they are shuffled. ``order`` must be total for a
-    reproducible result; ``salt_by`` names columns that differ between rows.
+    Tasks are gathered into ``slices``; a group is cut to ``n`` rows per slice before the
+    slices meet, so no task ever sorts a whole hot group. For ``n`` up to 1000 every task
+    cuts its own rows before the first shuffle already. The slice of a row does not
+    influence the result; ``order`` must be total for a reproducible one.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
-    sliced = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    sliced = Window.partitionBy(*keys, "__slice").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
-        salted.withColumn("__rank", F.row_number().over(sliced))
+        df.withColumn("__slice", F.spark_partition_id() % slices)
+        .withColumn("__rank", F.row_number().over(sliced))
         .filter(F.col("__rank") <= n)
         .withColumn("__rank", F.row_number().over(whole))
         .filter(F.col("__rank") <= n)
-        .drop("__rank", "__salt")
+        .drop("__rank", "__slice")
     )

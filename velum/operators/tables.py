@@ -11,7 +11,7 @@ from velum.functions import grading
 from velum.functions.patterns import DOCUMENT, Pattern
 from velum.operators.detect import with_gates
 from velum.operators.findings import conform, finding_id, merge
-from velum.session import materialize, spread
+from velum.session import materialize, spread, top_n
 
 # Column-name fragments, first match wins, with type and severity.
 COLUMN_HINTS = (
@@ -107,7 +107,7 @@ def sample(
         "bottom": [F.col(key).desc()],
         "random": [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)],
     }[strategy]
-    return df.orderBy(*order).limit(rows)
+    return top_n(df, order, rows)
 
 
 def profile_columns(

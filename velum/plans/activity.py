@@ -189,7 +189,7 @@ def event_history(spark, sf_dir):
 )
 def event_history_per_type(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return AU.history_per_type(events, ["ts", "event_id"], ["event_id"]).select("event_id", "event_type")
+    return AU.history_per_type(events, ["ts", "event_id"]).select("event_id", "event_type")
 
 
 # --- streams -------------------------------------------------------------------------------

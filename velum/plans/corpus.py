@@ -45,7 +45,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("corpus/"), F.col("scan_id")).alias("source"),
         F.lit("document").alias("source_type"),
         F.lit("completed").alias("status"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("first_doc")).alias("start_time"),
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, first_doc)").alias("start_time"),
         (F.col("chars") / 1000).alias("duration_seconds"),
         "documents",
     )

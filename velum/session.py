@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-BROADCAST_LIMIT = 64 << 20
+SPREAD_LIMIT = 1 << 30
+LARGE = 64 << 30
 
 
 def local_session(cpus: str | int = 8, app: str = "velum", **conf: str) -> SparkSession:
@@ -57,22 +60,34 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    return estimated_bytes(df) <= limit
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition an input that is too small to be split by the file reader.
 
-    One small file has one row group and would be scanned by a single task while
-    the regexes need all cores. Inputs of at least one full split per core are
-    returned unchanged, so large tables are never shuffled here.
+    One small file has one row group and would be scanned by a single task while the
+    regexes need all cores. Only inputs of at most 1 GiB are moved; anything larger has
+    splits of its own and is never shuffled here.
     """
-    spark = df.sparkSession
     if df.isStreaming:
         return df
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 << 20
-    if cores > 1 and estimated_bytes(df) < cores * split:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores > 1 and estimated_bytes(df) < min(cores * (128 << 20), SPREAD_LIMIT):
         return df.repartition(cores, *keys)  # round robin without keys
     return df
+
+
+def top_n(df: DataFrame, order: Sequence[Column], n: int, slices: int = 512) -> DataFrame:
+    """The first ``n`` rows in ``order``, which must be total for a reproducible result.
+
+    A plain top-k sends ``n`` rows of every task to one reducer. For large tables the
+    tasks are first grouped into ``slices`` that are cut to ``n`` rows each (the limit is
+    applied before that shuffle as well), so the last step sees ``slices * n`` rows.
+    """
+    if n <= 1000 and estimated_bytes(df) > LARGE:
+        position = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
+        df = (
+            df.withColumn("__slice", F.spark_partition_id() % slices)
+            .withColumn("__position", position)
+            .filter(F.col("__position") <= n)
+            .drop("__slice", "__position")
+        )
+    return df.orderBy(*order).limit(n)
