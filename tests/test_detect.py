@@ -177,11 +177,23 @@ def test_reply_parsing(spark):
 
 def test_entities_decode_like_python(spark):
     import html
-
-    texts = ["a &amp; b", "&amp;lt;", "&eacute;&#233;&#x20AC;&#8364;", "&bogus; &", "&lt;p&gt;&nbsp;x", "no entity", "&copy;&middot;&hellip;"]
-    df = frame(spark, texts).select("id", T.unescape(F.col("text")).alias("u"), T.unescape_all(F.col("text")).alias("p")).orderBy("id")
-    for r, t in zip(df.collect(), texts):
-        assert r.u == html.unescape(t) and r.p == html.unescape(t)
+    import random
+
+    texts = ["a &amp; b", "&amp;lt;", "&eacute;&#233;&#x20AC;&#8364;", "&bogus; &", "&lt;p&gt;&nbsp;x", "no entity", "&copy;&middot;&hellip;",
+             "&amp p &ampx &notit; &notin; &copy2024", "&#0;&#128;&#150;&#x81;&#xD800;&#1114112;&#99999999999;&#xFFFFFFFFFF;", "&#65 &#x41g &#;&#x; &# 1",
+             "&#1;&#11;&#127;&#xFDD0;&#xFFFE;&#x1FFFF;&#13;", "&ltfoo; &LT &Eacute &frac12x", "&CounterClockwiseContourIntegral;"]
+    rng = random.Random(1)
+    bits = ["&", "amp", "lt", "copy", "not", "in", ";", "#", "x", "41", "8364", " ", "eacute", "A", "é", "<"]
+    texts += ["".join(rng.choices(bits, k=12)) for _ in range(400)]
+    df = frame(spark, texts).select("id", T.unescape(F.col("text")).alias("u")).orderBy("id")
+    wrong = [(t, r.u, html.unescape(t)) for r, t in zip(df.collect(), texts) if r.u != html.unescape(t)]
+    assert wrong == []
+
+
+def test_fixed_decimals_like_python(spark):
+    values = [1188.945, 0.125, 0.375, 0.9, 2.675, 1e6 + 0.005, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(T.fixed(F.col("v")).alias("s"))
+    assert [r.s for r in df.collect()] == [f"{v:.2f}" for v in values]
 
 
 def test_detection_is_narrow_and_pruned(spark, sf):

@@ -90,6 +90,12 @@ def test_internal_links(spark):
     assert got == ["https://example.com/page1", "https://example.com/page2"]
 
 
+def test_links_that_are_not_closed(spark):
+    html = '<a href="/one">1 <a href="/two">2</a> text <abbr href="/no">x</abbr><a href="/three">end'
+    got = [r.link.rsplit("/", 1)[1] for r in P.internal_links(page(spark, html)).collect()]
+    assert got == ["one", "two", "three"]
+
+
 LINKS = ["/x", "x", "../x", "./x", "../../../x", "?q=1", "#f", "", "//o.com/x", "https://o.com/x", "mailto:a@b.c", "x/../y", "a/b/", "..", "/a/./b", "/a/b/../c?d=/../e"]
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import html
 import json
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from velum.functions.patterns import REDACTION_STEPS
 
@@ -34,31 +31,50 @@ def redact_text(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(StringType())
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
-
-
-_ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_ENTITY = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 # Looked up first; all other names come from the standard HTML 5 table.
 _COMMON = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"))
-
-
-def _code_point(digits: Column, base: int) -> Column:
-    number = F.conv(digits, base, 16)
-    return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+# Old names that also count without a semicolon and in front of other letters, longest first.
+_OLD_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)
+
+
+def _character(number: Column) -> Column:
+    """The character of a numeric reference, with the corrections browsers apply."""
+    windows = {str(n): bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    corrected = F.from_json(F.lit(json.dumps(windows)), "map<string,string>")[number.cast("string")]
+    low = number.bitwiseAND(F.lit(0xFFFF).cast("long"))
+    nothing = (
+        number.between(0x1, 0x8) | number.between(0xE, 0x1F) | (number == 0xB) | (number == 0x7F)
+        | number.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE)
+    )
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return (
+        F.when(number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd")
+        .when(number.between(0x80, 0x9F), F.coalesce(corrected, plain))
+        .when(nothing, "")
+        .otherwise(plain)
+    )
 
 
 def _entity(hit: Column) -> Column:
-    names = json.dumps({k: v for k, v in html5.items() if k.endswith(";")})
-    named = F.from_json(F.lit(names), "map<string,string>")[F.substring(hit, 2, 40)]
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    name = F.substring(hit, 2, 40)
+    old = F.regexp_extract(name, f"^({'|'.join(_OLD_NAMES)})", 1)
+    digits = F.regexp_extract(hit, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    short = F.when(F.length(digits) <= 9, digits)  # anything longer is beyond the last code point
     out = None
     for entity, char in _COMMON:
         out = F.when(hit == entity, char) if out is None else out.when(hit == entity, char)
     return (
-        out.when(hit.rlike("^&#[0-9]"), _code_point(F.regexp_extract(hit, "([0-9]+)", 1), 10))
-        .when(hit.startswith("&#"), _code_point(F.regexp_extract(hit, "[xX]([0-9a-fA-F]+)", 1), 16))
-        .otherwise(F.coalesce(named, hit))
+        out.when(hit.rlike("^&#[0-9]"), _character(F.when(short == "", 0).otherwise(short.try_cast("long"))))
+        .when(hit.startswith("&#"), _character(F.conv(F.when(short == "", "0").otherwise(short), 16, 10).try_cast("long")))
+        .otherwise(
+            F.coalesce(
+                table[name],
+                F.when(old != "", F.concat(table[old], F.substr(hit, F.length(old) + 2))),
+                hit,
+            )
+        )
     )
 
 
@@ -71,15 +87,18 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
 
 
-def unescape_all(text: Column) -> Column:
-    """Decode as a browser would, including old entities without a semicolon (Arrow batches)."""
-    return F.when(text.contains("&"), _unescape(F.when(text.contains("&"), text))).otherwise(text)
-
-
-def strip_tags(markup: Column, decode: bool = True) -> Column:
+def strip_tags(markup: Column) -> Column:
     """Tags to spaces, white space collapsed, entities decoded, ends trimmed."""
     flat = F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", " "), r"\s+", " ")
-    return F.trim(unescape_all(flat) if decode else flat)
+    return F.trim(unescape(flat))
+
+
+def fixed(value: Column, digits: int = 2) -> Column:
+    """A number with fixed decimals, rounded from its exact binary value as C and Python do.
+
+    (``format_string`` rounds the shortest decimal form, which turns 1188.945 into 1188.95.)
+    """
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
 
 
 def extension(path: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velum.functions.text import fixed
+
 # Fixed value: how much of the content takes part in a signature.
 SIGNATURE_CONTENT = 50
 DEFAULT_KEYS = ("location", "pii_type", "content")
@@ -171,12 +173,13 @@ def report_lines(diff: DataFrame, baseline: DataFrame, current: DataFrame) -> Da
     sections = (
         ("new", 4, "NEW FINDINGS", [
             F.concat(F.lit("  ["), F.upper("current_severity"), F.lit("] "), place,
-                     F.format_string(" (confidence: %.2f)", "current_confidence"))]),
+                     F.lit(" (confidence: "), fixed(F.col("current_confidence")), F.lit(")"))]),
         ("resolved", 5, "RESOLVED FINDINGS", [F.concat(F.lit("  ["), F.upper("baseline_severity"), F.lit("] "), place)]),
         ("modified", 6, "MODIFIED FINDINGS", [
             F.concat(F.lit("  "), place),
             F.concat(F.lit("    Severity: "), F.col("baseline_severity"), F.lit(" -> "), F.col("current_severity")),
-            F.format_string("    Confidence: %.2f -> %.2f", "baseline_confidence", "current_confidence")]),
+            F.concat(F.lit("    Confidence: "), fixed(F.col("baseline_confidence")), F.lit(" -> "),
+                     fixed(F.col("current_confidence")))]),
     )
     for kind, section, title, texts in sections:
         rows = diff.filter(F.col("change_type") == kind)

@@ -35,7 +35,7 @@ _COMMENT = r"(?s)<!--.*?-->|<![^>]*>"
 _TAG = r"<[^>]+>"
 _BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085\u2028\u2029]| {2}"
 _EDGE = r"^[\s\u00A0]+|[\s\u00A0]+$"
-_LINK = r"(?is)<a\b[^>]*>.*?</a\s*>"
+_LINK = r"(?is)<a(?:\s[^>]*)?>.*?(?=<a[\s>]|</a[\s>]|\z)"  # up to the next link where one is not closed
 _FORM = r"(?is)<form\b[^>]*>.*?(?:</form\s*>|\z)"
 _FIELD = r"(?is)<(?:input|textarea|select)\b[^>]*>"
 
@@ -117,7 +117,7 @@ def anchors(html: Column) -> Column:
     pairs = F.transform(
         tags,
         lambda a: F.struct(
-            attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), "href").alias("href"),
+            attribute(F.regexp_extract(a, r"(?is)^<a(?:\s[^>]*)?>", 0), "href").alias("href"),
             unescape(F.regexp_replace(a, _TAG, "")).alias("text"),
         ),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from velum.functions import grading
 from velum.functions.patterns import DOCUMENT, Pattern
+from velum.functions.text import fixed
 from velum.operators.detect import with_gates
 from velum.operators.findings import conform, finding_id, merge
 from velum.session import materialize, spread, top_n
@@ -155,7 +156,8 @@ def scan_column_contents(profile: DataFrame, source: Column) -> DataFrame:
         frequent,
         source=source,
         location=place,
-        content=F.format_string("Column contains %s in ~%.1f%% of sampled rows", "pii_type", "percent"),
+        content=F.concat(
+            F.lit("Column contains "), kind, F.lit(" in ~"), fixed(F.col("percent"), 1), F.lit("% of sampled rows")),
         context=F.format_string("Detected %d instances of %s in %d samples", "hits", "pii_type", "values"),
         confidence=F.lit(CONTENT_CONFIDENCE),
         severity=grading.severity(kind, None, "database"),

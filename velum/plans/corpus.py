@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import BASE, with_confidence
+from velum.functions.text import fixed
 from velum.operators.detect import detect
 from velum.operators.findings import to_findings
 from velum.plans.registry import table
@@ -133,7 +134,7 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("item-"), F.get_json_object("props", "$.k")).alias("resource"),
         F.col("event_type").alias("action"),
         result.alias("result"),
-        F.create_map(F.lit("value"), F.format_string("%.2f", "value")).alias("details"),
+        F.create_map(F.lit("value"), fixed(F.col("value"))).alias("details"),
         F.col("event_id").alias("log_seq"),
     )
 

@@ -258,9 +258,9 @@ def redact_text(spark, sf_dir):
 
 @query(
     "strip_html",
-    """SELECT page_id, trim(replace(replace(replace(replace(
+    """SELECT page_id, trim(regexp_replace(replace(replace(replace(
   regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'),
-  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS stripped FROM pages""",
+  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')) AS stripped FROM pages""",
 )
 def strip_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", textfn.strip_tags(F.col("html")).alias("stripped"))

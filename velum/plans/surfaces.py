@@ -192,9 +192,9 @@ def numbered_rows(spark, sf_dir):
 
 
 def _decoded(expr: str) -> str:
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
         expr = f"replace({expr}, '{entity}', '{char}')"
-    return expr
+    return f"regexp_replace({expr}, '&amp;?', '&', 'g')"
 
 
 _VISIBLE = (

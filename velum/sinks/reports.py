@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velum.functions.text import fixed
 from velum.operators import summary
 from velum.operators.findings import redacted
 
@@ -22,6 +23,11 @@ def _number(value: Column) -> Column:
     return F.when(value.isNull() | (value == 0), "").otherwise(value.cast("string"))
 
 
+def _iso(ts: Column) -> Column:
+    """ISO 8601; the fraction only where there is one."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+
+
 def csv_rows(findings: DataFrame) -> DataFrame:
     """The twelve columns of the CSV export, all as text."""
     return findings.select(
@@ -30,11 +36,11 @@ def csv_rows(findings: DataFrame) -> DataFrame:
         "location",
         "pii_type",
         _cut(F.col("context"), dots=True).alias("context"),
-        F.format_string("%.2f", "confidence").alias("confidence"),
+        fixed(F.col("confidence")).alias("confidence"),
         "severity",
         F.array_join("gdpr_articles", ", ").alias("gdpr_articles"),
         "recommendation",
-        F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("timestamp"),
+        F.coalesce(_iso(F.col("ts")), F.lit("")).alias("timestamp"),
         _number(F.col("line_number")).alias("line_number"),
         _number(F.col("page_number")).alias("page_number"),
     )
@@ -48,7 +54,7 @@ def sheet_rows(findings: DataFrame) -> DataFrame:
         F.col("location").alias("Location"),
         F.col("pii_type").alias("PII Type"),
         F.col("severity").alias("Severity"),
-        F.format_string("%.2f", "confidence").alias("Confidence"),
+        fixed(F.col("confidence")).alias("Confidence"),
         _cut(F.col("context"), dots=False).alias("Context"),
         F.array_join("gdpr_articles", ", ").alias("GDPR Articles"),
         F.col("recommendation").alias("Recommendation"),
@@ -78,7 +84,7 @@ def summary_rows(findings: DataFrame, scans: DataFrame | None = None) -> DataFra
                                 ("Source", F.col("source")),
                                 ("Type", F.col("source_type")),
                                 ("Status", F.col("status")),
-                                ("Duration (seconds)", F.format_string("%.2f", "duration_seconds")),
+                                ("Duration (seconds)", fixed(F.col("duration_seconds"))),
                                 ("Total Findings", F.col("total_findings")),
                             )
                         )
