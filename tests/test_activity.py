@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import BASE, Pattern
@@ -142,6 +143,12 @@ def test_mail(spark, tmp_path):
     assert {r.pii_type for r in hits.filter("source = 'm.eml'").collect()} == {"EMAIL", "PHONE_NUMBER", "IP_ADDRESS"}
 
 
+def test_mails_stay_one_row(spark, tmp_path):
+    (tmp_path / "m.eml").write_bytes(MAIL)
+    assert "Exchange" not in plan_of(FS.read_mail_files(FS.collect_files(spark, str(tmp_path))))
+    assert FS.failed_mails(FS.collect_files(spark, str(tmp_path))).count() == 0
+
+
 def test_unsupported_files(spark):
     df = spark.createDataFrame([("/a/b.txt",), ("/a/b.py",), ("/a/none",)], "path string")
     assert {(r.path, r.error) for r in FS.unsupported(df).collect()} == {

@@ -171,7 +171,8 @@ def detect_with_model(
 ) -> DataFrame:
     """Hits of a caller's model, which maps texts to ``(entity, start, end, score)`` lists.
 
-    Texts stay where they are: the model runs on Arrow batches inside the tasks.
+    Texts stay where they are: the model runs on Arrow batches inside the tasks. For
+    long texts lower ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
     source = spread(df.select(*dict.fromkeys([*keep, text])), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields)

@@ -58,49 +58,58 @@ def read_text_files(files: DataFrame) -> DataFrame:
     )
 
 
-def _mail_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "part", "kind", "text", "from", "to", "cc", "subject", "date", "attachments", "error"]
+_HEADERS = ("From", "To", "Cc", "Subject", "Date")
+_MAILS = (
+    "path string, `from` string, `to` string, cc string, subject string, date string, attachments string, "
+    "parts array<struct<kind: string, body: string>>, error string"
+)
+
+
+def _decode_mail(content: bytes) -> tuple:
+    """Headers, attachment names and text parts of one mail; only MIME decoding happens here."""
+    msg = email.message_from_bytes(content, policy=email.policy.default)
+    several = msg.is_multipart()
+    names, parts = [], []
+    for part in msg.walk() if several else [msg]:
+        if several and part.get_content_disposition() == "attachment" and part.get_filename():
+            names.append(part.get_filename())
+        kind = part.get_content_type()
+        attached = "attachment" in str(part.get("Content-Disposition", ""))
+        if several and (attached or kind not in ("text/plain", "text/html")):
+            continue
+        try:
+            body = part.get_content()
+        except (LookupError, ValueError, KeyError):
+            continue
+        if isinstance(body, str):
+            parts.append({"kind": "html" if several and kind == "text/html" else "plain", "body": body})
+    return (*(str(msg.get(h, "")) for h in _HEADERS), ", ".join(names), parts, None)
+
+
+def _decode_mails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "from", "to", "cc", "subject", "date", "attachments", "parts", "error"]
     for frame in frames:
         rows = []
         for path, content in zip(frame["path"], frame["content"]):
             try:
-                msg = email.message_from_bytes(bytes(content), policy=email.policy.default)
-                head = [str(msg.get(h, "")) for h in ("From", "To", "Cc", "Subject", "Date")]
-                parts = list(msg.walk()) if msg.is_multipart() else [msg]
-                names = [p.get_filename() for p in parts if p.get_content_disposition() == "attachment"]
-                attached = ", ".join(n for n in names if n)
-                rows.append((path, 0, "head", None, *head, attached, None))
-                for i, part in enumerate(parts, start=1):
-                    if msg.is_multipart() and "attachment" in str(part.get("Content-Disposition", "")):
-                        continue
-                    kind = part.get_content_type()
-                    if msg.is_multipart() and kind not in ("text/plain", "text/html"):
-                        continue
-                    try:
-                        body = part.get_content()
-                    except Exception:
-                        continue
-                    if isinstance(body, str):
-                        markup = msg.is_multipart() and kind == "text/html"
-                        rows.append((path, i, "html" if markup else "plain", body, *head, attached, None))
+                rows.append((path, *_decode_mail(bytes(content))))
             except Exception as e:
-                rows.append((path, 0, "error", None, "", "", "", "", "", "", str(e)))
+                rows.append((path, "", "", "", "", "", "", [], str(e)))
         yield pd.DataFrame(rows, columns=columns)
 
 
-_PARTS = (
-    "path string, part int, kind string, text string, `from` string, `to` string, cc string, subject string, "
-    "date string, attachments string, error string"
-)
+def parse_mails(files: DataFrame) -> DataFrame:
+    """One row per mail file: headers, text parts, and the error of a file that cannot be parsed."""
+    return files.filter(F.col("kind") == "eml").select("path", "content").mapInPandas(_decode_mails, _MAILS)
 
 
 def read_mail_files(files: DataFrame) -> DataFrame:
     """Mail files as one section each: header lines, then plain and tag-stripped html parts.
 
-    Only the MIME decoding runs in Python; parts come back as rows and are joined per file.
+    Python only decodes MIME; tags and entities are dealt with by expressions, and a mail
+    stays one row throughout, so nothing is shuffled.
     """
-    raw = files.filter(F.col("kind") == "eml").select("path", "content").mapInPandas(_mail_parts, _PARTS)
-    good = raw.filter(F.col("kind") != "error")
+    mails = parse_mails(files).filter(F.col("error").isNull())
     head = F.concat_ws(
         "\n",
         F.concat(F.lit("From: "), F.col("from")),
@@ -109,30 +118,20 @@ def read_mail_files(files: DataFrame) -> DataFrame:
         F.concat(F.lit("Subject: "), F.col("subject")),
         F.lit(""),
     )
-    body = F.when(F.col("kind") == "head", head).when(F.col("kind") == "html", strip_tags(F.col("text"))).otherwise(F.col("text"))
-    lines = good.withColumn("body", body)
-    # The parts of one mail: bounded by that file, and it was one row before.
-    mails = lines.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("part", "body"))).alias("parts"),
-        *[F.any_value(c).alias(c) for c in ("from", "to", "cc", "subject", "date", "attachments")],
-    )
-    meta = F.create_map(
-        *[x for c in ("from", "to", "cc", "subject", "date", "attachments") for x in (F.lit(c), F.col(c))],
-        F.lit("type"), F.lit("eml"),
-    )
+    bodies = F.transform("parts", lambda p: F.when(p["kind"] == "html", strip_tags(p["body"])).otherwise(p["body"]))
+    fields = ("from", "to", "cc", "subject", "date", "attachments")
     return mails.select(
         base_name(F.col("path")).alias("source"),
         F.col("path").alias("section_id"),
-        F.array_join(F.transform("parts", lambda p: p["body"]), "\n").alias("text"),
+        F.concat_ws("\n", head, bodies).alias("text"),
         F.lit(None).cast("int").alias("page_number"),
-        meta.alias("meta"),
+        F.create_map(*[x for c in fields for x in (F.lit(c), F.col(c))], F.lit("type"), F.lit("eml")).alias("meta"),
     )
 
 
 def failed_mails(files: DataFrame) -> DataFrame:
     """Mail files that could not be parsed, with the reason."""
-    raw = files.filter(F.col("kind") == "eml").select("path", "content").mapInPandas(_mail_parts, _PARTS)
-    return raw.filter(F.col("kind") == "error").select("path", "error")
+    return parse_mails(files).filter(F.col("error").isNotNull()).select("path", "error")
 
 
 def unsupported(paths: DataFrame, path: str = "path") -> DataFrame:
