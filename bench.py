@@ -39,6 +39,33 @@ HEADLINE = (
 )
 
 
+def python_scan(spark, sf_dir):
+    """The same search as ``pii_spans_all`` in one pass of Python's ``re``, for comparison."""
+    import re
+
+    import pandas as pd
+
+    from velum.functions.patterns import DOCUMENT
+    from velum.plans.registry import table
+    from velum.session import spread
+
+    compiled = [(p.pii_type, p.entity, p.confidence, re.compile(p.java_regex)) for p in DOCUMENT]
+
+    def run(frames):
+        for frame in frames:
+            rows = [
+                (key, kind, entity, m.start(), m.end(), m.group(), score)
+                for key, text in zip(frame["doc_id"], frame["text"])
+                for kind, entity, score, regex in compiled
+                for m in regex.finditer(text)
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "entity_type", "start", "end", "value", "confidence"])
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.mapInPandas(
+        run, "doc_id long, pii_type string, entity_type string, start int, end int, value string, confidence double")
+
+
 def main() -> None:
     from velum.plans import QUERIES
     from velum.session import local_session
@@ -58,6 +85,10 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
+    if os.environ.get("BENCH_PYTHON"):
+        start = time.perf_counter()
+        python_scan(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        print(f"python scan: {time.perf_counter() - start:.3f}", file=sys.stderr)
     spark.stop()
     sf = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
