@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -38,53 +37,80 @@ _COMMON = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39
 _OLD_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)
 
 
+# Marks around the names and characters of a lookup text.
+_NAME, _CHAR = "\u0001", "\u0002"
+
+
+def _look_up(table: dict[str, str], name: Column) -> Column:
+    """Value of a name in a constant table, null if absent.
+
+    The table is one string: a map literal of this size slows the optimizer down, which
+    compares and hashes it in every rule.
+    """
+    text = F.lit("".join(f"{_NAME}{k}{_CHAR}{v}" for k, v in table.items()) + _NAME)
+    after = F.split_part(text, F.concat(F.lit(_NAME), name, F.lit(_CHAR)), F.lit(2))
+    return F.nullif(F.split_part(after, F.lit(_NAME), F.lit(1)), F.lit(""))
+
+
 def _character(number: Column) -> Column:
     """The character of a numeric reference, with the corrections browsers apply."""
     windows = {str(n): bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-    corrected = F.from_json(F.lit(json.dumps(windows)), "map<string,string>")[number.cast("string")]
     low = number.bitwiseAND(F.lit(0xFFFF).cast("long"))
     nothing = (
         number.between(0x1, 0x8) | number.between(0xE, 0x1F) | (number == 0xB) | (number == 0x7F)
         | number.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE)
     )
+    corrected = F.when(number.between(0x80, 0x9F), _look_up(windows, number.cast("string")))
     plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     return (
-        F.when(number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd")
-        .when(number.between(0x80, 0x9F), F.coalesce(corrected, plain))
+        F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd")
         .when(nothing, "")
-        .otherwise(plain)
+        .otherwise(F.coalesce(corrected, plain))
     )
 
 
-def _entity(hit: Column) -> Column:
-    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
-    name = F.substring(hit, 2, 40)
-    old = F.regexp_extract(name, f"^({'|'.join(_OLD_NAMES)})", 1)
+def _number(hit: Column) -> tuple[Column, Column]:
+    """Decimal and hexadecimal reading: the code point of a numeric reference; longer ones than nine digits are out of range anyway."""
     digits = F.regexp_extract(hit, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
-    short = F.when(F.length(digits) <= 9, digits)  # anything longer is beyond the last code point
+    bounded = F.when(F.length(digits) > 9, F.lit("999999999")).when(digits == "", F.lit("0")).otherwise(digits)
+    return F.conv(bounded, 10, 10).cast("long"), F.conv(bounded, 16, 10).cast("long")
+
+
+def _entity(part: Column) -> Column:
+    hit, name, old = part["hit"], F.substring(part["hit"], 2, 40), part["old"]
     out = None
     for entity, char in _COMMON:
         out = F.when(hit == entity, char) if out is None else out.when(hit == entity, char)
-    return (
-        out.when(hit.rlike("^&#[0-9]"), _character(F.when(short == "", 0).otherwise(short.try_cast("long"))))
-        .when(hit.startswith("&#"), _character(F.conv(F.when(short == "", "0").otherwise(short), 16, 10).try_cast("long")))
-        .otherwise(
-            F.coalesce(
-                table[name],
-                F.when(old != "", F.concat(table[old], F.substr(hit, F.length(old) + 2))),
-                hit,
-            )
-        )
+    rest = F.substr(hit, F.length(old) + 2)
+    return out.when(hit.startswith("&#"), _character(part["number"])).otherwise(
+        F.coalesce(_look_up(html5, name), F.when(old != "", F.concat(_look_up(html5, old), rest)), hit)
     )
 
 
 def unescape(text: Column) -> Column:
-    """Decode HTML entities inside the JVM, each once; texts without ``&`` are passed through."""
+    """Decode HTML entities inside the JVM, each once; texts without ``&`` are passed through.
+
+    What a piece is made of is bound by a first ``transform`` and used by a second one,
+    which keeps the expression small although its parts are used several times.
+    """
     pieces = F.arrays_zip(
         F.split(text, _ENTITY, -1).alias("gap"), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)).alias("hit")
     )
-    decoded = F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(_entity(p["hit"]), F.lit(""))))
-    return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
+
+    def bind(p: Column) -> Column:
+        decimal, hexadecimal = _number(p["hit"])
+        return F.struct(
+            p["gap"].alias("gap"),
+            p["hit"].alias("hit"),
+            F.when(p["hit"].rlike("^&#[xX]"), hexadecimal).when(p["hit"].startswith("&#"), decimal).alias("number"),
+            F.regexp_extract(p["hit"], f"^&({'|'.join(_OLD_NAMES)})", 1).alias("old"),
+        )
+
+    def decode(p: Column) -> Column:
+        return F.when(p["hit"].isNull(), p["gap"]).otherwise(F.concat(p["gap"], _entity(p)))
+
+    decoded = F.array_join(F.transform(F.transform(pieces, bind), decode), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def strip_tags(markup: Column) -> Column:

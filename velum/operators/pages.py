@@ -52,11 +52,15 @@ def page_text(html: Column) -> Column:
     return F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag, or null; double, single or no quotes."""
-    found = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    bare = F.regexp_replace(found, r"""^["']|["']$""", "")
-    return F.when(found != "", unescape(bare))
+def attributes(tag: Column, *names: str) -> Column:
+    """Values of attributes of a tag as an array, null where missing; double, single or no quotes."""
+
+    def raw(name: str) -> Column:
+        return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+
+    values = F.array(*[raw(n) for n in names])
+    bare = F.transform(values, lambda v: F.when(v != "", F.regexp_replace(v, r"""^["']|["']$""", "")))
+    return F.transform(bare, unescape)
 
 
 def title(html: Column) -> Column:
@@ -114,13 +118,14 @@ def _without_dots(path: Column) -> Column:
 def anchors(html: Column) -> Column:
     """``array<struct(href, text)>`` of the links that have an address."""
     tags = F.regexp_extract_all(visible(html), F.lit(_LINK), F.lit(0))
-    pairs = F.transform(
+    read = F.transform(
         tags,
         lambda a: F.struct(
-            attribute(F.regexp_extract(a, r"(?is)^<a(?:\s[^>]*)?>", 0), "href").alias("href"),
-            unescape(F.regexp_replace(a, _TAG, "")).alias("text"),
+            attributes(F.regexp_extract(a, r"(?is)^<a(?:\s[^>]*)?>", 0), "href").alias("found"),
+            F.regexp_replace(a, _TAG, "").alias("text"),
         ),
     )
+    pairs = F.transform(read, lambda p: F.struct(F.get(p["found"], F.lit(0)).alias("href"), unescape(p["text"]).alias("text")))
     return F.filter(pairs, lambda p: p["href"].isNotNull())
 
 
@@ -146,28 +151,33 @@ def _mentions(text: Column, words: Sequence[str]) -> Column:
 def forms(html: Column) -> Column:
     """``array<struct(action, method, inputs, collects_pii)>`` of a page."""
 
-    def one_field(tag: Column) -> Column:
-        name = F.coalesce(attribute(tag, "name"), F.lit(""))
-        hint = F.coalesce(attribute(tag, "placeholder"), F.lit(""))
+    def field(found: Column) -> Column:
+        name = F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+        hint = F.coalesce(F.get(found, F.lit(2)), F.lit(""))
         return F.struct(
             name.alias("name"),
-            F.coalesce(attribute(tag, "type"), F.lit("text")).alias("type"),
+            F.coalesce(F.get(found, F.lit(1)), F.lit("text")).alias("type"),
             hint.alias("placeholder"),
             (_mentions(name, FORM_WORDS) | _mentions(hint, FORM_WORDS)).alias("may_collect_pii"),
         )
 
-    def one_form(form: Column) -> Column:
-        head = F.regexp_extract(form, r"(?is)^<form\b[^>]*>", 0)
-        inputs = F.transform(F.regexp_extract_all(form, F.lit(_FIELD), F.lit(0)), one_field)
+    def read(form: Column) -> Column:
+        tags = F.regexp_extract_all(form, F.lit(_FIELD), F.lit(0))
         return F.struct(
-            F.coalesce(attribute(head, "action"), F.lit("")).alias("action"),
-            F.upper(F.coalesce(attribute(head, "method"), F.lit("get"))).alias("method"),
-            inputs.alias("inputs"),
-            F.exists(inputs, lambda i: i["may_collect_pii"]).alias("collects_pii"),
+            attributes(F.regexp_extract(form, r"(?is)^<form\b[^>]*>", 0), "action", "method").alias("head"),
+            F.transform(F.transform(tags, lambda t: attributes(t, "name", "type", "placeholder")), field).alias("inputs"),
         )
 
-    found = F.regexp_extract_all(visible(html), F.lit(_FORM), F.lit(0))
-    return F.transform(found, one_form)
+    def shape(found: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.get(found["head"], F.lit(0)), F.lit("")).alias("action"),
+            F.upper(F.coalesce(F.get(found["head"], F.lit(1)), F.lit("get"))).alias("method"),
+            found["inputs"].alias("inputs"),
+            F.exists(found["inputs"], lambda i: i["may_collect_pii"]).alias("collects_pii"),
+        )
+
+    tags = F.regexp_extract_all(visible(html), F.lit(_FORM), F.lit(0))
+    return F.transform(F.transform(tags, read), shape)
 
 
 def cookie_class(name: Column) -> Column:
@@ -223,28 +233,9 @@ def _issue(source: str, location: Column, context: Column | str, confidence: flo
     )
 
 
-def _issue_findings(rows: DataFrame, issues: Sequence[Column], scan_id: Column) -> DataFrame:
-    present = F.filter(F.array(*issues), lambda i: i.isNotNull())
-    # Outer generators throughout: the inner ones make the optimizer evaluate the arrays twice.
-    flat = rows.select(scan_id.cast("string").alias("scan_id"), F.inline_outer(present))
-    flat = flat.filter(F.col("location").isNotNull())
-    return conform(
-        flat.withColumns(
-            {
-                "source_type": F.lit("web"),
-                "pii_type": F.lit("OTHER"),
-                "content": F.lit(REDACTED),
-                "finding_id": finding_id(F.col("scan_id"), F.col("location"), F.col("source"), F.col("context")),
-            }
-        )
-    )
-
-
-def cookie_findings(pages: DataFrame, scan_id: Column) -> DataFrame:
-    """Tracking cookies, and cookies without the Secure flag, of ``cookie_types`` arrays."""
-    rows = pages.select(scan_id.alias("__scan"), F.explode_outer("cookie_types").alias("c"))
-    rows = rows.filter(F.col("c").isNotNull())
-    kind, place = F.col("c.type"), F.concat(F.lit("Cookie: "), F.col("c.name"))
+def cookie_issues(cookie: Column) -> Column:
+    """Issues of one classified cookie: tracking, and a missing Secure flag."""
+    kind, place = cookie["type"], F.concat(F.lit("Cookie: "), cookie["name"])
     tracking = _issue(
         "Website Cookies", place, F.concat(kind, F.lit(" cookie detected")), 0.9,
         F.when(kind == "advertising", "high").otherwise("medium"), ["Art. 5", "Art. 6", "Art. 7"],
@@ -254,37 +245,31 @@ def cookie_findings(pages: DataFrame, scan_id: Column) -> DataFrame:
         "Website Cookies", place, "Cookie missing Secure flag", 1.0, "medium", ["Art. 32"],
         "Set the Secure flag, so that the cookie only travels encrypted.",
     )
-    secure = F.coalesce(F.col("c.secure"), F.lit(False))
-    return _issue_findings(
-        rows, [F.when(kind.isin("analytics", "advertising"), tracking), F.when(~secure, insecure)], F.col("__scan")
-    )
+    secure = F.coalesce(cookie["secure"], F.lit(False))
+    return F.array(F.when(kind.isin("analytics", "advertising"), tracking), F.when(~secure, insecure))
 
 
-def form_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> DataFrame:
-    """Forms that collect personal data, and those of them that do not post to https.
+def form_issues(form: Column, url: Column) -> Column:
+    """Issues of one form that collects personal data.
 
     An empty action posts to the page itself; any other action must be an https address.
     """
-    rows = pages.select(scan_id.alias("__scan"), F.col(url).alias("__url"), F.explode_outer("forms").alias("f"))
-    action = F.col("f.action")
-    safe = F.when(action == "", F.col("__url").startswith("https://")).otherwise(action.startswith("https://"))
-    fields = F.size(F.filter("f.inputs", lambda i: i["may_collect_pii"]))
+    action, asks = form["action"], form["collects_pii"]
+    safe = F.when(action == "", url.startswith("https://")).otherwise(action.startswith("https://"))
+    fields = F.size(F.filter(form["inputs"], lambda i: i["may_collect_pii"]))
     unsafe = _issue(
-        "Website Form", F.col("__url"), F.concat(F.lit("Form collecting PII without HTTPS: "), action), 1.0,
+        "Website Form", url, F.concat(F.lit("Form collecting PII without HTTPS: "), action), 1.0,
         "critical", ["Art. 32"], "Send personal data over https only.",
     )
     collecting = _issue(
-        "Website Form", F.col("__url"), F.format_string("Form collecting PII: %d fields", fields), 0.8, "high",
+        "Website Form", url, F.concat(F.lit("Form collecting PII: "), fields.cast("string"), F.lit(" fields")), 0.8, "high",
         ["Art. 5", "Art. 6", "Art. 13"], "Say at the form why the data is needed and ask for as little as possible.",
     )
-    asking = rows.filter(F.col("f.collects_pii"))
-    return _issue_findings(asking, [F.when(~safe, unsafe), F.when(fields > 0, collecting)], F.col("__scan"))
+    return F.array(F.when(asks & ~safe, unsafe), F.when(asks & (fields > 0), collecting))
 
 
-def security_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> DataFrame:
-    """Missing https, HSTS and content policy of ``security`` structs."""
-    rows = pages.select(scan_id.alias("__scan"), F.col(url).alias("__url"), "security")
-    place = F.col("__url")
+def security_issues(facts: Column, url: Column) -> Column:
+    """Missing https, HSTS and content policy."""
     checks = [
         ("uses_https", "Website not using HTTPS", "critical", "Serve the site over https and redirect to it."),
         ("strict_transport_security", "Missing Strict-Transport-Security header", "medium",
@@ -292,20 +277,66 @@ def security_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> Da
         ("content_security_policy", "Missing Content-Security-Policy header", "low",
          "Send a content security policy."),
     ]
-    issues = [
-        F.when(~F.col(f"security.{field}"), _issue("Website Security", place, text, 1.0, sev, ["Art. 32"], advice))
+    return F.array(*[
+        F.when(~facts[field], _issue("Website Security", url, text, 1.0, sev, ["Art. 32"], advice))
         for field, text, sev, advice in checks
-    ]
-    return _issue_findings(rows, issues, F.col("__scan"))
+    ])
 
 
-def policy_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> DataFrame:
-    rows = pages.select(scan_id.alias("__scan"), F.col(url).alias("__url"), "has_privacy_policy")
+def policy_issues(has_policy: Column, url: Column) -> Column:
     issue = _issue(
-        "Website Privacy", F.col("__url"), "No privacy policy link found", 0.7, "high", ["Art. 12", "Art. 13"],
+        "Website Privacy", url, "No privacy policy link found", 0.7, "high", ["Art. 12", "Art. 13"],
         "Link a privacy policy from every page.",
     )
-    return _issue_findings(rows, [F.when(~F.col("has_privacy_policy"), issue)], F.col("__scan"))
+    return F.array(F.when(~has_policy, issue))
+
+
+def _issue_findings(pages: DataFrame, issues: Column, scan_id: Column) -> DataFrame:
+    present = F.filter(issues, lambda i: i.isNotNull())
+    # Outer generators throughout: the inner ones make the optimizer evaluate the arrays twice.
+    flat = pages.select(scan_id.cast("string").alias("scan_id"), F.inline_outer(present))
+    flat = flat.filter(F.col("location").isNotNull())
+    return conform(
+        flat.withColumns(
+            {
+                "source_type": F.lit("web"),
+                "pii_type": F.lit("OTHER"),
+                "content": F.lit(REDACTED),
+                "finding_id": finding_id(F.col("scan_id"), F.col("location"), F.col("source"), F.col("context")),
+            }
+        )
+    )
+
+
+def cookie_findings(pages: DataFrame, scan_id: Column) -> DataFrame:
+    """Findings of the ``cookie_types`` arrays of analysed pages."""
+    return _issue_findings(pages, F.flatten(F.transform("cookie_types", cookie_issues)), scan_id)
+
+
+def form_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> DataFrame:
+    """Findings of the ``forms`` arrays of analysed pages."""
+    return _issue_findings(pages, F.flatten(F.transform("forms", lambda f: form_issues(f, F.col(url)))), scan_id)
+
+
+def security_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> DataFrame:
+    """Findings of the ``security`` facts of analysed pages."""
+    return _issue_findings(pages, security_issues(F.col("security"), F.col(url)), scan_id)
+
+
+def policy_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> DataFrame:
+    """Findings of pages without a link to a privacy policy."""
+    return _issue_findings(pages, policy_issues(F.col("has_privacy_policy"), F.col(url)), scan_id)
+
+
+def page_issue_findings(pages: DataFrame, scan_id: Column, url: str = "url") -> DataFrame:
+    """Cookie, form, security and policy findings of analysed pages in a single pass."""
+    issues = F.concat(
+        F.flatten(F.transform("cookie_types", cookie_issues)),
+        F.flatten(F.transform("forms", lambda f: form_issues(f, F.col(url)))),
+        security_issues(F.col("security"), F.col(url)),
+        policy_issues(F.col("has_privacy_policy"), F.col(url)),
+    )
+    return _issue_findings(pages, issues, scan_id)
 
 
 def page_pii_findings(

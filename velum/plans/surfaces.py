@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from velum.flows import scan_pages
 from velum.functions import text as textfn
 from velum.functions.patterns import DOCUMENT
 from velum.operators import pages as P
 from velum.operators import tables as T
+from velum.operators.compliance import compliance
 from velum.plans import sqlkit as K
 from velum.plans.corpus import CONTACTS_SQL, FORMS_SQL, contacts, web_forms
 from velum.plans.registry import query, table
@@ -344,3 +346,58 @@ def header_findings(spark, sf_dir):
     pages = P.analyze_pages(web_forms(spark, sf_dir))
     scan = F.col("page_id")
     return P.security_findings(pages, scan).unionByName(P.policy_findings(pages, scan)).select("location", "context")
+
+
+# --- whole scans ---------------------------------------------------------------------------
+
+_PAGE_SCAN_SQL = f"""page_texts AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS site, {_TITLE} AS title, {_TEXT} AS text FROM pages),
+{K.spans('page_texts', ['page_id', 'url', 'site', 'title'], DOCUMENT, plain=True, context=False)},
+web AS (SELECT site AS scan_id, pii_type, {K.WEB_SEVERITY} AS severity FROM spans
+  UNION ALL SELECT regexp_extract(url, '^https?://([^/?#]+)', 1), 'OTHER', unnest(list_filter([CASE WHEN url NOT LIKE 'https://%' THEN 'critical' END,
+    'medium', 'low', CASE WHEN len(list_filter(regexp_extract_all({_VISIBLE}, '(?is)<a\b[^>]*>.*?</a\s*>'),
+      lambda x: regexp_matches(lower(x), 'privacy|policy|data protection'))) = 0 THEN 'high' END], lambda x: x IS NOT NULL)) FROM pages)"""
+
+
+@query("web_scan", f"WITH {_PAGE_SCAN_SQL} SELECT scan_id, pii_type, severity, count(*) AS findings FROM web GROUP BY ALL")
+def web_scan(spark, sf_dir):
+    found = scan_pages(table(spark, sf_dir, "pages"), P.host(F.col("url")))
+    return found.groupBy("scan_id", "pii_type", "severity").agg(F.count("*").alias("findings"))
+
+
+def _web_points() -> str:
+    """Points per finding on a web page: any type; contact data additionally breaks the consent rule."""
+    from velum.operators.compliance import DEDUCTION, RULES
+
+    parts = []
+    for r in RULES:
+        if r.threshold_count is None and (r.any_pii or r.source_types is None or "web" in r.source_types):
+            test = f"pii_type IN ({', '.join(K.text(t) for t in r.pii_types)})" if r.pii_types else "true"
+            parts.append(f"CASE WHEN {test} THEN {DEDUCTION[r.severity]} ELSE 0 END")
+    return " + ".join(parts)
+
+
+@query(
+    "web_compliance",
+    f"""WITH {_PAGE_SCAN_SQL}, s AS (SELECT scan_id, count(*) AS n, sum({_web_points()}) AS p FROM web GROUP BY scan_id)
+SELECT scan_id, CAST(greatest(0, 100 - p) AS DOUBLE) AS compliance_score, 'non_compliant' AS status FROM s""",
+)
+def web_compliance(spark, sf_dir):
+    """Score per site. Every finding breaks the security rule, so no site with findings complies."""
+    found = scan_pages(table(spark, sf_dir, "pages"), P.host(F.col("url")))
+    return compliance(found).select("scan_id", "compliance_score", "status")
+
+
+@query(
+    "made_page_issues",
+    f"""WITH {FORMS_SQL}
+SELECT page_id AS scan_id, severity, count(*) AS findings FROM (
+  SELECT page_id, unnest(list_filter([CASE cookie_type WHEN 'advertising' THEN 'high' WHEN 'analytics' THEN 'medium' END,
+    CASE WHEN NOT secure THEN 'medium' END,
+    CASE WHEN pii_fields > 0 AND NOT (CASE WHEN action = '' THEN url LIKE 'https://%' ELSE action LIKE 'https://%' END) THEN 'critical' END,
+    CASE WHEN pii_fields > 0 THEN 'high' END, CASE WHEN url NOT LIKE 'https://%' THEN 'critical' END,
+    CASE WHEN NOT hsts THEN 'medium' END, CASE WHEN NOT csp THEN 'low' END, CASE WHEN NOT policy THEN 'high' END], lambda x: x IS NOT NULL)) AS severity
+  FROM pages_made) GROUP BY ALL""",
+)
+def made_page_issues(spark, sf_dir):
+    found = P.page_issue_findings(P.analyze_pages(web_forms(spark, sf_dir)), F.col("page_id"))
+    return found.groupBy(F.col("scan_id").cast("long").alias("scan_id"), "severity").agg(F.count("*").alias("findings"))
