@@ -354,7 +354,7 @@ _PAGE_SCAN_SQL = f"""page_texts AS (SELECT page_id, url, regexp_extract(url, '^h
 {K.spans('page_texts', ['page_id', 'url', 'site', 'title'], DOCUMENT, plain=True, context=False)},
 web AS (SELECT site AS scan_id, pii_type, {K.WEB_SEVERITY} AS severity FROM spans
   UNION ALL SELECT regexp_extract(url, '^https?://([^/?#]+)', 1), 'OTHER', unnest(list_filter([CASE WHEN url NOT LIKE 'https://%' THEN 'critical' END,
-    'medium', 'low', CASE WHEN len(list_filter(regexp_extract_all({_VISIBLE}, '(?is)<a\b[^>]*>.*?</a\s*>'),
+    'medium', 'low', CASE WHEN len(list_filter(regexp_extract_all({_VISIBLE}, '(?is)<a\\b[^>]*>.*?</a\\s*>'),
       lambda x: regexp_matches(lower(x), 'privacy|policy|data protection'))) = 0 THEN 'high' END], lambda x: x IS NOT NULL)) FROM pages)"""
 
 
