@@ -97,13 +97,16 @@ def unescape(text: Column) -> Column:
         F.split(text, _ENTITY, -1).alias("gap"), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)).alias("hit")
     )
 
+    common = [entity for entity, _ in _COMMON]
+
     def bind(p: Column) -> Column:
         decimal, hexadecimal = _number(p["hit"])
         return F.struct(
             p["gap"].alias("gap"),
             p["hit"].alias("hit"),
             F.when(p["hit"].rlike("^&#[xX]"), hexadecimal).when(p["hit"].startswith("&#"), decimal).alias("number"),
-            F.regexp_extract(p["hit"], f"^&({'|'.join(_OLD_NAMES)})", 1).alias("old"),
+            F.when(p["hit"].isin(common) | p["hit"].startswith("&#"), "")
+            .otherwise(F.regexp_extract(p["hit"], f"^&({'|'.join(_OLD_NAMES)})", 1)).alias("old"),
         )
 
     def decode(p: Column) -> Column:

@@ -280,7 +280,8 @@ def redact_text(spark, sf_dir):
   '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')) AS stripped FROM pages""",
 )
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", textfn.strip_tags(F.col("html")).alias("stripped"))
+    pages = D.spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return pages.select("page_id", textfn.strip_tags(F.col("html")).alias("stripped"))
 
 
 # --- grading and counting --------------------------------------------------------------------
