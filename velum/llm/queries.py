@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from velum.llm import bpe, decontam, langid, quality, toxicity
+from velum.llm import bpe, decontam, langid, quality, simhash, toxicity
 from velum.llm.linear import remainder
 from velum.llm.registry import ORACLES, QUERIES, query, table
 
@@ -26,6 +26,11 @@ def op1_quality(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query("op3_simhash")
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op4_bpe_round_trip")
 def op4_bpe_round_trip(spark, sf_dir):
     vocabulary = bpe.read_vocabulary(spark, os.path.join(TOKENIZERS, VOCABULARY))
