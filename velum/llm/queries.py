@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from velum.llm import bpe, decontam, langid, quality, simhash, toxicity
+from velum.llm import bpe, decontam, langid, pseudonyms, quality, simhash, toxicity
 from velum.llm.linear import remainder
 from velum.llm.registry import ORACLES, QUERIES, query, table
 
@@ -26,6 +26,16 @@ def op1_quality(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+#: Key of the pseudonyms; a deployment passes its own secret.
+KEY = "registered-query-key"
+
+
+@query("op2_pii_pseudonyms")
+def op2_pii_pseudonyms(spark, sf_dir):
+    made = table(spark, sf_dir, "documents").select("doc_id", pseudonyms.pseudonymised("text", KEY).alias("made"))
+    return made.select("doc_id", "made.text", F.col("made.replaced").alias("n_replaced"))
+
+
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
