@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from velum.llm import bpe, decontam, langid, pseudonyms, quality, simhash, toxicity
+from velum.llm import bpe, decontam, langid, pseudonyms, quality, simhash, topk, toxicity
 from velum.llm.linear import remainder
 from velum.llm.registry import ORACLES, QUERIES, query, table
 
@@ -61,6 +61,24 @@ def op6_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+OP7_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(qe, e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM q JOIN v ON q.query_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
+@query("op7_topk", OP7_SQL)
+def op7_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 #: Words and windows in SQL; ``regexp_replace`` lower-cases nothing, so A-Z is lowered by ``translate``.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -75,12 +75,12 @@ def bits_of(h: np.ndarray, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprint(text: Column | str, words: int = 4, lanes: int = 1) -> Column:
-    """``struct<bits binary, shingles long>`` of a text; ``shingles`` counts repeats."""
+def fingerprint(text: Column | str, words: int = 4, lanes: int = 1, repeats: bool = True) -> Column:
+    """``struct<bits binary, shingles long>`` of a text, from all shingles or, without ``repeats``, from the different ones."""
 
     @F.arrow_udf("bits binary, shingles long")
     def made(column: pa.Array) -> pa.Array:
-        h = [hashes(t, words) for t in texts(column)]
+        h = [hashes(t, words) if repeats else np.unique(hashes(t, words)) for t in texts(column)]
         return pa.StructArray.from_arrays([pa.array([bits_of(x, lanes) for x in h], pa.binary()),
                                            pa.array(list(map(len, h)), pa.int64())], ["bits", "shingles"])
 
@@ -282,12 +282,12 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
                 lanes: int = 4) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row with the smallest key stays.
 
-    Linked are texts whose fingerprints agree in at least ``similarity`` of their ``64 * lanes`` bits and
-    whose numbers of shingles are within that ratio, as those of similar shingle sets must be. A key that
+    Linked are texts whose fingerprints, made of their different shingles, agree in at least ``similarity`` of their ``64 * lanes`` bits and
+    whose numbers of different shingles are within that ratio, as those of similar shingle sets must be. A key that
     is null comes last, ties go to the smallest hash of the text, and of equal rows one stays.
     """
     row = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    made = docs.select(F.col(key).alias("__key"), row.alias("row"), fingerprint(text, words, lanes).alias("f"))
+    made = docs.select(F.col(key).alias("__key"), row.alias("row"), fingerprint(text, words, lanes, repeats=False).alias("f"))
     made = materialize(made.select("__key", "row", F.col("f.bits").alias("bits"), F.col("f.shingles").alias("size")), "fingerprints")
     roots = clusters(made, int(64 * lanes * (1 - similarity) + 1e-9), lanes, similarity)
     first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("row").alias("row"))).alias("first")
