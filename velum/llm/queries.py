@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from velum.llm import bpe, decontam, langid, pseudonyms, quality, simhash, topk, toxicity
+from velum.llm import bpe, decontam, hosts, langid, pseudonyms, quality, simhash, topk, toxicity
 from velum.llm.linear import remainder
 from velum.llm.registry import ORACLES, QUERIES, query, table
 
@@ -127,3 +127,18 @@ def op9_language(spark, sf_dir):
     model = langid.fit(docs, remainder("__key", 4) != 2)
     found = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), langid.predict("text", model, spark).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")
+
+
+#: The rules of the contract: verdict, host and path.
+RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+@query("op10_url_verdicts")
+def op10_url_verdicts(spark, sf_dir):
+    return hosts.verdicts(table(spark, sf_dir, "pages"), RULES)
