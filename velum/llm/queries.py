@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from velum.llm import bpe, decontam, hosts, langid, pseudonyms, quality, simhash, topk, toxicity
+from velum.llm import bpe, decontam, hosts, langid, pseudonyms, quality, simhash, suffix_tree, topk, toxicity
 from velum.llm.linear import remainder
 from velum.llm.registry import ORACLES, QUERIES, query, table
 
@@ -53,6 +53,13 @@ def op4_bpe_round_trip(spark, sf_dir):
     )
 
 
+@query("op5_suffix_tree")
+def op5_suffix_tree(spark, sf_dir):
+    made = suffix_tree.scores(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    held_out = (remainder("doc_id", 10) == 0).alias("held_out")
+    return made.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
