@@ -77,7 +77,7 @@ def test_history(spark):
     df = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(50)], "ts long, event_type string")
     assert [r.ts for r in AU.history(df, ["ts"], last=3).collect()] == [47, 48, 49]
     assert [r.ts for r in AU.history(df, ["ts"], event_type="b", last=2).collect()] == [44, 48]
-    assert [r.ts for r in AU.history(df, ["ts"], event_type="b", keep=10).collect()] == [40, 44, 48]
+    assert [r.ts for r in AU.history(df, ["ts"], event_type="b", last=100, keep=10).collect()] == [40, 44, 48]
     per = AU.history_per_type(df, ["ts"], last=2).collect()
     assert sorted((r.event_type, r.ts) for r in per) == [("a", 47), ("a", 49), ("b", 44), ("b", 48)]
 

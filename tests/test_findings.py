@@ -71,7 +71,7 @@ def test_checks_can_be_evaluated(spark):
 
 
 def test_recommendations(spark):
-    lines = {r.rank: r.line for r in C.recommendations(findings(spark, SSN_EMAIL), F.col("seq")).collect()}
+    lines = {r.rank: r.line for r in C.recommendations(findings(spark, SSN_EMAIL), F.col("seq"), top=10).collect()}
     assert lines[-1] == "URGENT: Address 3 critical violations immediately"
     assert lines[0].startswith("HIGH PRIORITY: Resolve 7 ")
     assert lines[1].endswith("(affects 2 items)") and sorted(lines) == [-1, 0, *range(1, len(lines) - 1)]
@@ -178,8 +178,8 @@ def test_batch_statistics(spark):
 
 def test_details_only_when_few(spark):
     row = ("l", "EMAIL", "x", 0.9, "high")
-    assert S.details_if_few(findings(spark, [row] * 20)).count() == 20
-    assert S.details_if_few(findings(spark, [row] * 21)).count() == 0
+    assert S.details_if_few(findings(spark, [row] * 20), 20).count() == 20
+    assert S.details_if_few(findings(spark, [row] * 21), 20).count() == 0
 
 
 def test_cooccurrence_brute_force(spark):
@@ -250,12 +250,11 @@ def test_multi_scan_summary(spark, scans):
     assert got[("total", "all")] == 2 and got[("type", "SSN")] == 1 and got.get(("scan", "empty")) == (0 if scans else None)
 
 
-def test_top_n_in_slices(spark, monkeypatch):
+def test_top_n_in_slices(spark):
     from velum import session
 
     df = spark.range(0, 5000, 1, 13).select(((F.col("id") * 7919) % 5003).alias("k"))
     plain = [r.k for r in session.top_n(df, [F.col("k").desc()], 50).collect()]
-    monkeypatch.setattr(session, "LARGE", 0)
     large = session.top_n(df, [F.col("k").desc()], 50, slices=4)
     assert [r.k for r in large.collect()] == plain == sorted((r.k for r in df.collect()), reverse=True)[:50]
     assert "WindowGroupLimit" in plan_of(large)

@@ -13,7 +13,7 @@ from velum.functions.text import extension, file_kind
 from velum.operators import pages as P
 from velum.operators.detect import detect, explode_detections, with_detections
 from velum.operators.findings import merge, to_findings
-from velum.operators.tables import DEFAULT_SAMPLE, scan_database
+from velum.operators.tables import scan_database
 from velum.plugins import Registry
 from velum.session import spread
 from velum.sources import files as FS
@@ -77,7 +77,7 @@ def scan_pages(
 
 
 def scan_tables(
-    tables: Mapping[str, DataFrame], source: str, keys: Mapping[str, str], *, rows: int | None = DEFAULT_SAMPLE
+    tables: Mapping[str, DataFrame], source: str, keys: Mapping[str, str], *, rows: int | None = None
 ) -> DataFrame:
-    """Column names, sampled contents and schema of a database."""
+    """Column names, contents and schema of a database; with ``rows``, contents of a sample."""
     return scan_database(tables, source, keys, rows=rows)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,27 +39,61 @@ def parts(text: Column, pattern: Pattern) -> Column:
     )
 
 
+#: Characters in a piece of a text.
+PIECE = 1024
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, maxima and the like of an array of integers.
+
+    In round k every element takes in the one ``2**k`` places before, so n elements take log2(n) rounds
+    over short numbers. (A fold that appends to an array copies it at every step.)
+    """
+    rounds = F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int")
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, combine(x, F.get(acc, i - back))).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(rounds - 1, F.lit(0))), numbers, step)
+
+
+def pieces(text: Column) -> Column:
+    """A text cut into pieces of ``PIECE`` characters, from which ``cut`` takes parts without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts_: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` (exclusive) of a text given as its pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor(end / PIECE).cast("int")
+    joined = F.array_join(F.slice(parts_, first + 1, last - first + 1), "")
+    return F.substring(joined, start - first * PIECE + 1, end - start)
+
+
 def _located(recogniser: Column) -> Column:
-    """Detections of one recogniser: a running sum over the pieces gives every start in linear time."""
+    """Detections of one recogniser: running sums over the lengths of the pieces give every end."""
+    found = recogniser["parts"]
+    lengths = F.transform(found, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0)))
+    ends = running(lengths, lambda a, b: a + b)
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["pos"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        found = F.struct(
+    def located(part: Column, end: Column) -> Column:
+        return F.struct(
             recogniser["meta"]["pii_type"].alias("pii_type"),
             recogniser["meta"]["entity_type"].alias("entity_type"),
-            start.alias("start"),
+            (end - F.length(part["hit"])).alias("start"),
             end.alias("end"),
             part["hit"].alias("value"),
             recogniser["meta"]["confidence"].alias("confidence"),
         )
-        return F.struct(
-            F.coalesce(end, acc["pos"]).alias("pos"),
-            F.when(part["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], found)).alias("out"),
-        )
 
-    zero = F.struct(F.lit(0).alias("pos"), no_detections().alias("out"))
-    return F.aggregate(recogniser["parts"], zero, step, lambda acc: acc["out"])
+    # The last piece is what follows the last hit.
+    return F.slice(F.zip_with(found, ends, located), 1, F.size(found) - 1)
 
 
 def _sql_text(value: str) -> str:
@@ -93,33 +127,45 @@ def _validated(found: Column, patterns: Sequence[Pattern], pivot_year: int | Non
 
 
 def _boosted(text: Column, found: Column, patterns: Sequence[Pattern]) -> Column:
-    def confidence(d: Column) -> Column:
-        out = d["confidence"]
-        for p in patterns:
-            if p.keywords:
-                out = F.when(d["entity_type"] == p.entity, near_keyword_boost(text, d, p.keywords)).otherwise(out)
-        return out
+    def boosted(parts_: Column) -> Column:
+        def one(d: Column) -> Column:
+            def confidence(near: Column) -> Column:
+                out = d["confidence"]
+                for p in patterns:
+                    if p.keywords:
+                        out = F.when(d["entity_type"] == p.entity, _raised(d["confidence"], near, p.keywords)).otherwise(out)
+                return out
 
-    return F.transform(found, lambda d: d.withField("confidence", confidence(d)))
+            return d.withField("confidence", let(_near(parts_, d), confidence))
 
+        return F.transform(found, one)
 
-def near_keyword_boost(text: Column, d: Column, keywords: Sequence[str], width: int = 100) -> Column:
-    """Confidence raised by 0.10 (to 0.95 at most) when a keyword is within ``width`` characters."""
-    if not keywords:
-        return d["confidence"]
-    near = F.lower(window(text, d["start"], d["end"], width))
+    return F.when(F.size(found) > 0, let(pieces(text), boosted)).otherwise(found)
+
+
+def _near(parts_: Column, d: Column, width: int = 100) -> Column:
+    return F.lower(window(parts_, d["start"], d["end"], width))
+
+
+def _raised(confidence: Column, near: Column, keywords: Sequence[str]) -> Column:
     hit = near.rlike("|".join(re.escape(word) for word in keywords))
-    return F.when(hit, F.least(F.lit(0.95), F.round(d["confidence"] + 0.10, 2))).otherwise(d["confidence"])
+    return F.when(hit, F.least(F.lit(0.95), F.round(confidence + 0.10, 2))).otherwise(confidence)
+
+
+def window(parts_: Column, start: Column, end: Column, width: int) -> Column:
+    """The text, given as its pieces, from ``width`` characters before ``start`` to ``width`` after ``end``."""
+    return cut(parts_, F.greatest(start - width, F.lit(0)), end + width)
 
 
-def window(text: Column, start: Column, end: Column, width: int) -> Column:
-    """The text from ``width`` characters before ``start`` to ``width`` after ``end``."""
-    left = F.greatest(start - width, F.lit(0))
-    return F.substring(text, left + 1, end + width - left)
+def with_contexts(text: Column, found: Column, width: int = 50) -> Column:
+    """Detections with the text around each as a further field ``context``."""
 
+    def around(parts_: Column) -> Column:
+        return F.transform(
+            found, lambda d: F.struct(d.alias("hit"), F.translate(window(parts_, d["start"], d["end"], width), "\n", " ").alias("context")))
 
-def context(text: Column, start: Column, end: Column, width: int = 50) -> Column:
-    return F.translate(window(text, start, end, width), "\n", " ")
+    # Texts without hits are not cut.
+    return let(F.when(F.size(found) > 0, pieces(text)), around)
 
 
 def detections(
@@ -149,7 +195,7 @@ def detections(
     recognisers = F.arrays_zip(_meta(patterns).alias("meta"), F.array(*tried).alias("parts"))
     found = F.flatten(F.transform(F.filter(recognisers, lambda r: r["parts"].isNotNull()), _located))
     if validate:
-        found = _boosted(text, _validated(found, patterns, pivot_year), patterns)
+        found = let(_validated(found, patterns, pivot_year), lambda valid: _boosted(text, valid, patterns))
     return found
 
 

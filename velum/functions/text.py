@@ -77,7 +77,7 @@ def _number(hit: Column) -> tuple[Column, Column]:
 
 
 def _entity(part: Column) -> Column:
-    hit, name, old = part["hit"], F.substring(part["hit"], 2, 40), part["old"]
+    hit, name, old = part["hit"], F.substr(part["hit"], F.lit(2)), part["old"]
     out = None
     for entity, char in _COMMON:
         out = F.when(hit == entity, char) if out is None else out.when(hit == entity, char)
@@ -116,10 +116,14 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), decoded).otherwise(text)
 
 
+# White space of any script, and the separators that count as such in text files.
+_SPACE = r"[\s\x1c-\x1f]+"
+
+
 def strip_tags(markup: Column) -> Column:
-    """Tags to spaces, white space collapsed, entities decoded, ends trimmed."""
-    flat = F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", " "), r"\s+", " ")
-    return F.trim(unescape(flat))
+    """Tags to spaces, white space of any kind collapsed, entities decoded, ends trimmed of what that brought."""
+    flat = F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", " "), f"(?U){_SPACE}", " ")
+    return F.regexp_replace(unescape(flat), rf"(?U)\A{_SPACE}|{_SPACE}\z", "")
 
 
 def fixed(value: Column, digits: int = 2) -> Column:

@@ -51,7 +51,7 @@ def finnish_id(c: Column) -> Column:
         number = F.concat(F.substring(s, 1, 6), F.substring(s, 8, 3)).try_cast("long")
         expected = F.substring(F.lit(FINNISH_CHECK_CHARS), (number % 31 + 1).cast("int"), F.lit(1))
         return (
-            s.rlike(r"^\d{6}[+\-A]\d{3}[0-9A-FHJ-NPR-Y]$")
+            s.rlike(r"^\d{6}[+\-A]\d{3}[0-9A-FHJ-NPR-Y]\z")
             & _real_date(century + _num(s, 5, 2), _num(s, 3, 2), _num(s, 1, 2))
             & (F.substring(s, 11, 1) == expected)
         )
@@ -75,7 +75,7 @@ def swedish_id(c: Column, pivot_year: int | None = None) -> Column:
         yy = _num(s, 1, 2)
         year = yy + F.when(yy > pivot, 1900).otherwise(2000)
         return (
-            s.rlike(r"^\d{10}$")
+            s.rlike(r"^\d{10}\z")
             & _real_date(year, _num(s, 3, 2), _num(s, 5, 2))
             & F.call_function("luhn_check", s)
         )
@@ -101,7 +101,7 @@ def norwegian_id(c: Column) -> Column:
             .otherwise(1900)
         )
         return (
-            s.rlike(r"^\d{11}$")
+            s.rlike(r"^\d{11}\z")
             & _real_date(century + yy, _num(s, 3, 2), _num(s, 1, 2))
             & (_mod11_digit(s, NORWEGIAN_WEIGHTS_1) == _num(s, 10, 1))
             & (_mod11_digit(s, NORWEGIAN_WEIGHTS_2) == _num(s, 11, 1))
@@ -120,7 +120,7 @@ def danish_id(c: Column) -> Column:
             .when(seventh.isin(4, 9), F.when(yy <= 36, 2000).otherwise(1900))
             .otherwise(F.when(yy <= 57, 2000).otherwise(1800))
         )
-        return s.rlike(r"^\d{10}$") & _real_date(century + yy, _num(s, 3, 2), _num(s, 1, 2))
+        return s.rlike(r"^\d{10}\z") & _real_date(century + yy, _num(s, 3, 2), _num(s, 1, 2))
 
     return _verdict(c, _without(c, " ", "-"), check)
 
@@ -130,7 +130,7 @@ def uk_nino(c: Column) -> Column:
 
     def check(s: Column) -> Column:
         return (
-            s.rlike(rf"^[^{NINO_BAD_FIRST}].\d{{6}}[A-D]$")
+            s.rlike(rf"^[^{NINO_BAD_FIRST}].\d{{6}}[A-D]\z")
             & (F.length(s) == 9)
             & ~F.substring(s, 1, 2).isin(*NINO_BAD_PREFIX)
         )

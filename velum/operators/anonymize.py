@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions import masking
+from velum.functions.spans import cut, let, pieces
 from velum.operators.detect import resolve_overlaps
 
 
@@ -36,22 +37,19 @@ def text_by_span(
     text: Column, found: Column, strategy: str = "mask", overrides: Mapping[str, str] | None = None
 ) -> Column:
     """Replace the hits at their positions; where hits overlap, ``resolve_overlaps`` decides."""
-    kept = resolve_overlaps(found)
 
-    def step(acc: Column, d: Column) -> Column:
-        before = F.substring(text, acc["pos"] + 1, d["start"] - acc["pos"])
-        return F.struct(
-            d["end"].alias("pos"),
-            F.concat(acc["parts"], F.array(before, _replacement(d, strategy, overrides))).alias("parts"),
-        )
+    def replaced(kept: Column, parts: Column) -> Column:
+        def one(d: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
+            return F.concat(cut(parts, before, d["start"]), _replacement(d, strategy, overrides))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
+        last = F.element_at(kept, -1)["end"]
+        return F.concat(F.array_join(F.transform(kept, one), ""), cut(parts, last, F.length(text)))
 
-    def finish(acc: Column) -> Column:
-        rest = F.substring(text, acc["pos"] + 1, F.length(text))
-        return F.concat(F.array_join(acc["parts"], ""), rest)
+    def of(kept: Column) -> Column:
+        return F.when(F.size(kept) == 0, text).otherwise(let(pieces(text), lambda parts: replaced(kept, parts)))
 
-    return F.when(F.size(kept) == 0, text).otherwise(F.aggregate(kept, zero, step, finish))
+    return let(resolve_overlaps(found), of)
 
 
 def attach_findings(docs: DataFrame, findings: DataFrame, doc_key: str, finding_key: str) -> DataFrame:

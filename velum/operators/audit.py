@@ -114,9 +114,9 @@ def query(
     start: Column | None = None,
     end: Column | None = None,
     order: Sequence[Column] = (),
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Entries that pass all filters (times inclusive), the first ``limit`` in log order.
+    """Entries that pass all filters (times inclusive); with a ``limit``, the first ones in log order.
 
     Filters reach the file scan; the limit is a top-k per task, not a sort of the log.
     """
@@ -154,7 +154,7 @@ def summary(log: DataFrame, now: Column | None = None, hours: int = SUMMARY_HOUR
 
 
 def history(
-    events: DataFrame, order: Sequence[str], *, event_type: str | None = None, last: int = 100,
+    events: DataFrame, order: Sequence[str], *, last: int, event_type: str | None = None,
     keep: int = HISTORY_LIMIT,
 ) -> DataFrame:
     """The last ``last`` events (of one type) among the ``keep`` most recent ones, oldest first.
@@ -168,6 +168,6 @@ def history(
     return recent.orderBy(*newest).limit(last).orderBy(*order)
 
 
-def history_per_type(events: DataFrame, order: Sequence[str], last: int = 100) -> DataFrame:
+def history_per_type(events: DataFrame, order: Sequence[str], last: int) -> DataFrame:
     """The last ``last`` events of every type, safe when one type dominates."""
     return top_per_group(events, ["event_type"], [F.col(c).desc() for c in order], last)

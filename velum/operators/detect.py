@@ -70,13 +70,14 @@ def explode_detections(
     The outer form of the generator is on purpose: for the inner one the optimizer
     derives ``size(array) > 0``, pushes it down and runs every regex a second time.
     """
-    cols = [*keep] + ([text] if text and text not in keep else [])
-    rows = df.select(*cols, F.posexplode_outer(array).alias("seq", "d")).filter(F.col("d.confidence") >= threshold)
-    fields = [F.col(f"d.{f}").alias(f) for f in ("pii_type", "entity_type", "start", "end", "value", "confidence")]
+    fields = ("pii_type", "entity_type", "start", "end", "value", "confidence")
     if text is None:
-        return rows.select(*keep, "seq", *fields)
-    around = spans.context(F.col(text), F.col("d.start"), F.col("d.end"), context)
-    return rows.select(*keep, "seq", *fields, around.alias("context"))
+        rows = df.select(*keep, F.posexplode_outer(array).alias("seq", "d")).filter(F.col("d.confidence") >= threshold)
+        return rows.select(*keep, "seq", *[F.col(f"d.{f}").alias(f) for f in fields])
+    # Contexts are cut before the hits become rows, so no row carries the text.
+    around = spans.let(F.col(array), lambda found: spans.with_contexts(F.col(text), found, context))
+    rows = df.select(*keep, F.posexplode_outer(around).alias("seq", "d")).filter(F.col("d.hit.confidence") >= threshold)
+    return rows.select(*keep, "seq", *[F.col(f"d.hit.{f}").alias(f) for f in fields], F.col("d.context").alias("context"))
 
 
 def detect(
@@ -221,15 +222,30 @@ def resolve_overlaps(found: Column) -> Column:
         ),
     )
 
-    def step(acc: Column, k: Column) -> Column:
-        free = k["hit"]["start"] >= acc["pos"]
-        return F.struct(
-            F.when(free, k["hit"]["end"]).otherwise(acc["pos"]).alias("pos"),
-            F.when(free, F.array_append(acc["out"], k["hit"])).otherwise(acc["out"]).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).alias("pos"), spans.no_detections().alias("out"))
-    return F.aggregate(F.array_sort(keyed), zero, step, lambda acc: acc["out"])
+    def greedy(cluster: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            free = k["hit"]["start"] >= acc["pos"]
+            return F.struct(
+                F.when(free, k["hit"]["end"]).otherwise(acc["pos"]).alias("pos"),
+                F.when(free, F.array_append(acc["out"], k["hit"])).otherwise(acc["out"]).alias("out"),
+            )
+
+        zero = F.struct(F.lit(0).alias("pos"), spans.no_detections().alias("out"))
+        return F.when(F.size(cluster) == 1, F.array(F.get(cluster, F.lit(0))["hit"])).otherwise(
+            F.aggregate(cluster, zero, step, lambda acc: acc["out"]))
+
+    # A hit that starts behind the ends of all before it opens a cluster; clusters do not touch each other,
+    # so only hits that overlap in a chain are gone through one by one.
+    def clustered(hits: Column, ends: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: (i == 0) | (F.get(hits, i)["a"] >= F.get(ends, i - 1)))
+        return spans.let(opens, lambda at: F.flatten(F.transform(at, lambda start, n: greedy(
+            F.slice(hits, start + 1, F.coalesce(F.get(at, n + 1), F.size(hits)) - start)))))
+
+    def of(hits: Column) -> Column:
+        ends = spans.running(F.transform(hits, lambda k: -k["b"]), lambda a, b: F.greatest(a, b))
+        return F.when(F.size(hits) == 0, spans.no_detections()).otherwise(spans.let(ends, lambda e: clustered(hits, e)))
+
+    return spans.let(F.array_sort(keyed), of)
 
 
 def text_sections(df: DataFrame, text: str, source: Column, section_id: Column) -> DataFrame:

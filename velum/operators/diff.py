@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +73,13 @@ def compare(
         .when(changed, "modified")
         .otherwise("unchanged")
     )
-    return old.join(new, list(keys), "full_outer").withColumn("change_type", kind).drop("in_baseline", "in_current")
+    # Keys may be null (a location, say) and are then equal to each other.
+    other = new.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    joined = old.join(other, same, "full_outer")
+    shown = [F.when(F.col("in_baseline").isNull(), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    rest = ("baseline_severity", "baseline_confidence", "current_severity", "current_confidence")
+    return joined.select(*shown, *rest, kind.alias("change_type"))
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:

@@ -362,6 +362,6 @@ def web_pages(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.filter(is_web_url(F.col(url)))
 
 
-def first_pages_per_site(pages: DataFrame, n: int = DEFAULT_PAGE_CAP, *, key: str = "page_id", url: str = "url") -> DataFrame:
+def first_pages_per_site(pages: DataFrame, n: int, *, key: str = "page_id", url: str = "url") -> DataFrame:
     """At most ``n`` pages of each site, lowest ``key`` first."""
     return top_per_group(pages.withColumn("site", host(F.col(url))), ["site"], [F.col(key)], n)

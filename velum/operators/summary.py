@@ -52,7 +52,7 @@ def type_table(findings: DataFrame) -> DataFrame:
     return by_type(findings).orderBy(F.col("count").desc(), "pii_type")
 
 
-def details_if_few(findings: DataFrame, limit: int = 20) -> DataFrame:
+def details_if_few(findings: DataFrame, limit: int) -> DataFrame:
     """Locations, types, severities and advice, but only when there are at most ``limit`` findings.
 
     Reading ``limit + 1`` rows is enough to know, so no full count is needed.
@@ -142,11 +142,10 @@ def cooccurrence(found: DataFrame, array: str = "detections") -> DataFrame:
     return rows.groupBy("type_a", "type_b").agg(F.sum("n").alias("texts"))
 
 
-def scan_listing(scans: DataFrame, findings: DataFrame, limit: int = 50) -> DataFrame:
-    """The first ``limit`` scans by start time, with totals. The cut comes before the join."""
+def scan_listing(scans: DataFrame, findings: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` scans by start time, with totals; findings are counted before the join."""
     first = top_n(scans, [F.col("start_time"), F.col("scan_id")], limit)
-    totals = findings.join(F.broadcast(first.select("scan_id")), "scan_id", "left_semi") if limit <= 10000 else findings
-    counted = totals.groupBy("scan_id").agg(F.count("*").alias("total_findings"))
+    counted = findings.groupBy("scan_id").agg(F.count("*").alias("total_findings"))  # partial sums: a row per task and scan
     return first.join(counted, "scan_id", "left").withColumn(
         "total_findings", F.coalesce("total_findings", F.lit(0).cast("long"))
     )

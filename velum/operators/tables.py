@@ -209,12 +209,12 @@ def scan_database(
     source: str,
     keys: Mapping[str, str],
     *,
-    rows: int | None = DEFAULT_SAMPLE,
+    rows: int | None = None,
     patterns: Sequence[Pattern] = DOCUMENT,
 ) -> DataFrame:
     """All findings of a database: names, contents and schema of each table, as one lazy plan.
 
-    ``keys`` names the column that orders the sample of a table; ``rows=None`` scans whole tables.
+    Whole tables are scanned. With ``rows`` only a sample of each is, ordered by the column that ``keys`` names.
     """
     src = F.lit(source)
     bodies = {name: df if rows is None else sample(df, keys[name], rows) for name, df in tables.items()}

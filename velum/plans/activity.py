@@ -53,7 +53,7 @@ UNION ALL SELECT 2, severity, CAST(count(*) AS VARCHAR) FROM findings GROUP BY s
 UNION ALL SELECT 3, pii_type, CAST(count(*) AS VARCHAR) FROM findings GROUP BY pii_type""",
 )
 def findings_summary(spark, sf_dir):
-    found = materialize(document_findings(spark, sf_dir), "findings")
+    found = materialize(document_findings(spark, sf_dir).drop("content", "context"), "findings")
     return R.summary_rows(found, FN.scans_from(found, scans(spark, sf_dir))).drop("rank")
 
 
@@ -66,7 +66,7 @@ UNION ALL SELECT 'type', pii_type, count(*) FROM findings GROUP BY pii_type
 UNION ALL SELECT 'scan', scan_id, count(f.scan_id) FROM scans LEFT JOIN findings f USING (scan_id) GROUP BY scan_id""",
 )
 def multi_scan_summary(spark, sf_dir):
-    found = materialize(document_findings(spark, sf_dir), "findings")
+    found = materialize(document_findings(spark, sf_dir).drop("content", "context"), "findings")
     return S.multi_scan_summary(found, scans(spark, sf_dir))
 
 
@@ -98,7 +98,7 @@ def type_table(spark, sf_dir):
 WHERE (SELECT count(*) FROM findings) <= 20""",
 )
 def details_if_few(spark, sf_dir):
-    return S.details_if_few(document_findings(spark, sf_dir))
+    return S.details_if_few(document_findings(spark, sf_dir), 20)
 
 
 @query(
@@ -180,7 +180,7 @@ WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100""",
 )
 def event_history(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return AU.history(events, ["ts", "event_id"], event_type="error").select("event_id", "event_type")
+    return AU.history(events, ["ts", "event_id"], event_type="error", last=100).select("event_id", "event_type")
 
 
 @query(
@@ -189,7 +189,7 @@ def event_history(spark, sf_dir):
 )
 def event_history_per_type(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return AU.history_per_type(events, ["ts", "event_id"]).select("event_id", "event_type")
+    return AU.history_per_type(events, ["ts", "event_id"], last=100).select("event_id", "event_type")
 
 
 # --- streams -------------------------------------------------------------------------------
@@ -285,7 +285,7 @@ UNION ALL SELECT 'scan.completed', scan_id, CAST(coalesce(n, 0) AS VARCHAR) FROM
 )
 def scan_events(spark, sf_dir):
     every = scans(spark, sf_dir)
-    found = materialize(document_findings(spark, sf_dir), "findings")
+    found = materialize(document_findings(spark, sf_dir).drop("content", "context"), "findings")
     data = F.col("data")
     begun = ST.scan_started_events(every).withColumn("detail", F.concat_ws("/", data["source"], data["source_type"]))
     hits = ST.pii_detected_events(found).withColumn(

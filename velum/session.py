@@ -1,7 +1,9 @@
-"""Session helpers: shared scratch folder, input size, spreading of tiny inputs."""
+"""Session helpers: shared scratch folder, spreading of inputs with few splits, top rows."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-SPREAD_LIMIT = 1 << 30
-LARGE = 64 << 30
+SPREAD_TASKS = "spark.velum.spreadTasks"
+_MADE: list[str] = []
+_LOCAL: list[str] = []
 
 
 def local_session(cpus: str | int = 8, app: str = "velum", **conf: str) -> SparkSession:
@@ -24,6 +27,7 @@ def local_session(cpus: str | int = 8, app: str = "velum", **conf: str) -> Spark
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(SPREAD_TASKS, str(cpus) if str(cpus).isdigit() else "0")
         # Do not record a Python stack trace for every column expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -34,62 +38,72 @@ def local_session(cpus: str | int = 8, app: str = "velum", **conf: str) -> Spark
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+def scratch_root(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
-    Only a local master without that setting gets a folder of this machine.
+    Only a local master without that setting gets a folder of this machine, which goes when the process
+    ends. Session settings are never changed.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="velum-")
-        spark.conf.set(CHECKPOINT_DIR, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="velum-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder below ``scratch_root``; ``release`` removes all of them."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every scratch folder of this process, once the results that read them have been used."""
+    context = spark.sparkContext
+    while _MADE:
+        path = context._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a result once and read it back: later steps do not repeat the work behind it,
     and a lost executor costs files to be read again instead of a scan.
+
+    Callers select the columns that later steps need before, and no detected value unless it is one of them.
     """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition an input that is too small to be split by the file reader.
+    """Hash-partition an input that comes in fewer splits than there are cores.
 
-    One small file has one row group and would be scanned by a single task while the
-    regexes need all cores. Only inputs of at most 1 GiB are moved; anything larger has
-    splits of its own and is never shuffled here.
+    One small file has one row group and would be scanned by a single task. Whoever runs on such files
+    says so by ``spark.velum.spreadTasks``; without that setting nothing is moved, whatever its size.
     """
-    if df.isStreaming:
+    tasks = int(df.sparkSession.conf.get(SPREAD_TASKS, "0"))
+    if df.isStreaming or tasks < 2:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores > 1 and estimated_bytes(df) < min(cores * (128 << 20), SPREAD_LIMIT):
-        return df.repartition(cores, *keys)  # round robin without keys
-    return df
+    return df.repartition(tasks, *keys)  # round robin without keys
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int, slices: int = 512) -> DataFrame:
     """The first ``n`` rows in ``order``, which must be total for a reproducible result.
 
-    A plain top-k sends ``n`` rows of every task to one reducer. For large tables the
-    tasks are first grouped into ``slices`` that are cut to ``n`` rows each (the limit is
-    applied before that shuffle as well), so the last step sees ``slices * n`` rows.
+    Tasks are grouped into ``slices`` that are cut to ``n`` rows each (every task cuts its own rows before
+    that shuffle as well), so the last step sees ``slices * n`` rows however large the table is.
     """
-    if n <= 1000 and estimated_bytes(df) > LARGE:
-        position = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
-        df = (
-            df.withColumn("__slice", F.spark_partition_id() % slices)
-            .withColumn("__position", position)
-            .filter(F.col("__position") <= n)
-            .drop("__slice", "__position")
-        )
+    position = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
+    df = (
+        df.withColumn("__slice", F.spark_partition_id() % slices)
+        .withColumn("__position", position)
+        .filter(F.col("__position") <= n)
+        .drop("__slice", "__position")
+    )
     return df.orderBy(*order).limit(n)
