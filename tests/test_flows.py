@@ -87,3 +87,76 @@ def test_tables(spark):
     found = flows.scan_tables({"users": users, "audit_log": users}, "sqlite:///x.db", {"users": "id", "audit_log": "id"})
     assert {(r.location, r.pii_type) for r in found.collect()} == {
         ("users.contact", "EMAIL"), ("audit_log.contact", "EMAIL"), ("database_schema", "OTHER")}
+
+
+def test_no_file_vanishes_and_none_is_read_twice(spark, tmp_path):
+    base = folder(tmp_path)
+    for name, text in (("_b.txt", "b@example.com"), (".c.txt", "c@example.com"), ("_sub/e.txt", "e@example.com"), ("big.txt", "x" * 5000),
+                       ("x/a.txt", "Write to ann@example.com or call 555-123-4567."), ("crlf.txt", "one\r\nz@example.com\rtwo")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "4000")
+    try:
+        scan = flows.scan_folder(spark, base, scan_id="f")
+        errors = {r.path.split(base, 1)[1].lstrip("/"): r.error for r in scan.errors.collect()}
+        rows = scan.findings.collect()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    assert {k for k, v in errors.items() if v.startswith("Hidden")} == {"_b.txt", ".c.txt", "_sub/e.txt"}
+    assert errors["big.txt"] == "File too large" and errors["c.pdf"] == "No reader for .pdf" and len(errors) == 5
+    assert len({r.finding_id for r in rows}) == len(rows)
+    assert [r.context for r in rows if r.source == "crlf.txt"] == ["one z@example.com two"]
+
+    def read_all(session, path):
+        return session.createDataFrame([("own", "own", "own@example.com", None, {})], "source string, section_id string, text string, page_number int, meta map<string,string>")
+
+    registry = Registry()
+    registry.register(Reader("own", read_all, "document", [".txt"]))
+    found = flows.scan_folder(spark, base, registry=registry).findings
+    assert {r.source for r in found.collect()} == {"own", "m.eml"}
+
+
+def test_scratch_keeps_no_values_and_goes(spark, sf):
+    """What a scan with a diff report writes holds no detected value, and nothing is left after ``release``."""
+    import pathlib
+
+    from velum import session
+    from velum.plans import QUERIES
+    from velum.plans.corpus import document_findings
+
+    session.release(spark)
+    values = {r.content for r in document_findings(spark, sf).select("content").collect()}
+    for name in ("gdpr_violations", "findings_summary", "diff_report", "signature_sets", "scan_events"):
+        QUERIES[name](spark, sf).count()
+    made = [pathlib.Path(p.removeprefix("file:")) for p in session._MADE]
+    assert made and values
+    for path in made:
+        rows = spark.read.parquet(str(path)).collect()
+        assert not values & {v for r in rows for v in r if isinstance(v, str)}
+    session.release(spark)
+    assert not any(p.exists() for p in made)
+
+
+def test_stripped_text_like_the_standard_library(spark):
+    from velum.functions.text import strip_tags
+
+    texts = ["<p>&nbsp;Hi&nbsp;</p>", "&#10;x&#10;", "a  b c", " <b>x</b>\x1c ", "", "&amp;nbsp;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    assert [r.s for r in df.select(strip_tags(F.col("t")).alias("s")).collect()] == ["Hi", "x", "a b c", "x", "", "&nbsp;"]
+
+
+def test_identifiers_do_not_end_in_a_line_feed(spark):
+    from velum.functions.validators import VALIDATORS
+
+    df = spark.createDataFrame([("0101011234",), ("0101011234\n",)], "t string")
+    assert [r.v for r in df.select(VALIDATORS["danish_id"](F.col("t")).alias("v")).collect()] == [True, False]
+
+
+def test_null_keys_are_equal_in_a_comparison(spark):
+    from velum.operators import diff as X
+
+    row = "scan_id string, location string, pii_type string, content string, severity string, confidence double, seq int"
+    a = spark.createDataFrame([("s", None, "EMAIL", "v", "low", 0.5, 1)], row)
+    kinds = [r.change_type for r in X.compare(a, a, order=F.col("seq")).collect()]
+    assert kinds == ["unchanged"] and X.compare(a, a.limit(0), order=F.col("seq")).first().change_type == "resolved"

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import DOCUMENT, Pattern
-from velum.functions.text import extension, file_kind
+from velum.functions.text import FILE_KINDS
 from velum.operators import pages as P
 from velum.operators.detect import detect, explode_detections, with_detections
 from velum.operators.findings import merge, to_findings
@@ -39,7 +40,8 @@ def scan_sections(
         found = with_detections(texts, "text", patterns)
         both = F.concat("detections", registry.detections(F.col("text")))
         hits = explode_detections(found.withColumn("detections", both), keep, "text")
-    return to_findings(hits, scan_id=scan_id, source=F.col("source"), page_number=F.col("page_number"))
+    return to_findings(
+        hits, scan_id=scan_id, source=F.col("source"), page_number=F.col("page_number"), section=F.col("section_id"))
 
 
 def scan_folder(
@@ -48,20 +50,22 @@ def scan_folder(
 ) -> Scan:
     """Text and mail files of a folder, plus whatever the readers of ``registry`` can take.
 
-    ``errors`` lists mails that could not be parsed and supported files without a reader here.
+    A registered reader takes the place of the built-in one for its endings. ``errors`` lists mails that
+    could not be parsed, supported files without a reader here, files over the size that can be read, and
+    files whose names Spark's readers pass over.
     """
-    files = FS.collect_files(spark, folder, recursive=recursive)
-    sections = FS.read_text_files(files).unionByName(FS.read_mail_files(files))
     readers = registry.of_kind("reader") if registry else []
-    taken = [e for r in readers for e in r.extensions]
-    for reader in readers:
-        sections = sections.unionByName(reader.read(spark, folder))
-    kind = file_kind(F.col("path"))
-    unread = files.filter(~kind.isin("text", "eml") & ~extension(F.col("path")).isin(taken)).select(
-        "path", F.concat(F.lit("No reader for "), extension(F.col("path"))).alias("error")
-    )
-    findings = scan_sections(sections, F.lit(scan_id or folder), patterns=patterns, registry=registry)
-    return Scan(findings, FS.failed_mails(files).unionByName(unread))
+    taken = {e.lower() for r in readers for e in r.extensions}
+    of = {kind: tuple(e for e in FILE_KINDS[kind] if e not in taken) for kind in ("text", "eml")}
+    texts, mails = (FS.collect_files(spark, folder, recursive=recursive, extensions=of[k]) if of[k] else None for k in ("text", "eml"))
+    # Every mail is decoded once for its text and once for its error, and read by no other reader.
+    sections = [FS.read_text_files(texts)] if texts is not None else []
+    sections += [FS.read_mail_files(mails)] if mails is not None else []
+    sections += [reader.read(spark, folder) for reader in readers]
+    errors = [FS.unread_files(spark, folder, [*taken, *of["text"], *of["eml"]], recursive=recursive), FS.hidden_files(spark, folder, recursive=recursive)]
+    errors += [FS.failed_mails(mails)] if mails is not None else []
+    findings = scan_sections(reduce(DataFrame.unionByName, sections), F.lit(scan_id or folder), patterns=patterns, registry=registry)
+    return Scan(findings, reduce(DataFrame.unionByName, errors))
 
 
 def scan_pages(

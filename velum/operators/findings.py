@@ -52,9 +52,13 @@ def conform(df: DataFrame) -> DataFrame:
     )
 
 
-def finding_id(source: Column, location: Column, pii_type: Column, start: Column) -> Column:
-    """Reproducible identifier: the same hit gets the same id in every run."""
-    return F.sha2(F.concat_ws("|", source, location, pii_type, start.cast("string")), 256)
+def finding_id(source: Column, location: Column, pii_type: Column, start: Column, section: Column | None = None) -> Column:
+    """Reproducible identifier: the same hit gets the same id in every run.
+
+    ``section`` tells apart sources of the same name, such as files of two folders.
+    """
+    parts = [source, location, pii_type, start.cast("string")]
+    return F.sha2(F.concat_ws("|", *([section] if section is not None else []), *parts), 256)
 
 
 def to_findings(
@@ -66,6 +70,7 @@ def to_findings(
     source_type: str = "document",
     page_number: Column | None = None,
     ts: Column | None = None,
+    section: Column | None = None,
 ) -> DataFrame:
     """Grade the rows of a detection with the profile of their kind of source."""
     page = F.lit(None).cast("int") if page_number is None else page_number
@@ -75,7 +80,7 @@ def to_findings(
     return conform(
         hits.select(
             scan_id.cast("string").alias("scan_id"),
-            finding_id(source.cast("string"), where, kind, F.col("start")).alias("finding_id"),
+            finding_id(source.cast("string"), where, kind, F.col("start"), section).alias("finding_id"),
             source.cast("string").alias("source"),
             F.lit(source_type).alias("source_type"),
             where.alias("location"),

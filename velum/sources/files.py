@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import email
 import email.policy
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,15 +30,54 @@ def collect_files(
 
     The name filter applies while listing; contents are only read when a later step uses them.
     """
+    files = _listed(spark, folder, recursive, extensions)
+    # The size is checked on the listing, so a file that is too large is not opened.
+    return files.filter(F.col("length") <= max_length(spark)).select(
+        "path", file_kind(F.col("path")).alias("kind"), "length", "modificationTime", "content"
+    )
+
+
+def _listed(spark: SparkSession, folder: str, recursive: bool, extensions: Iterable[str]) -> DataFrame:
+    extensions = tuple(extensions)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", _glob(extensions))
         .load(folder)
     )
-    return files.filter(extension(F.col("path")).isin(*extensions)).select(
-        "path", file_kind(F.col("path")).alias("kind"), "length", "modificationTime", "content"
-    )
+    return files.filter(extension(F.col("path")).isin(*extensions))
+
+
+def max_length(spark: SparkSession) -> int:
+    """The largest file that can be one row."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+
+
+def unread_files(spark: SparkSession, folder: str, read: Iterable[str], *, recursive: bool = True) -> DataFrame:
+    """Supported files that no reader takes, and files that are too large, with the reason; no contents are read."""
+    files = _listed(spark, folder, recursive, sorted({*SUPPORTED_EXTENSIONS, *read}))
+    large = F.col("length") > max_length(spark)
+    none = F.concat(F.lit("No reader for "), extension(F.col("path")))
+    return files.filter(large | ~extension(F.col("path")).isin(*read)).select(
+        "path", F.when(extension(F.col("path")).isin(*read), "File too large").otherwise(none).alias("error"))
+
+
+def hidden_files(spark: SparkSession, folder: str, *, recursive: bool = True) -> DataFrame:
+    """Supported files below names that start with ``_`` or ``.``, which Spark's readers pass over.
+
+    They come from the file system's own listing, names only.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, top = system.listFiles(root, recursive), system.makeQualified(root).toUri().getPath().rstrip("/")
+    rows = []
+    while found.hasNext():
+        path = found.next().getPath()
+        below = path.toUri().getPath()[len(top) :]
+        if any(part[:1] in ("_", ".") for part in below.split("/")) and below.lower().endswith(SUPPORTED_EXTENSIONS):
+            rows.append((path.toString(), "Hidden from Spark's file readers"))
+    return spark.createDataFrame(rows, "path string, error string")
 
 
 def base_name(path: Column) -> Column:
@@ -46,13 +85,13 @@ def base_name(path: Column) -> Column:
 
 
 def read_text_files(files: DataFrame) -> DataFrame:
-    """Text files as UTF-8 where valid, else Latin-1; the encoding is recorded."""
+    """Text files as UTF-8 where valid, else Latin-1; the encoding is recorded, and line ends become line feeds."""
     content = F.col("content")
     utf8 = F.call_function("is_valid_utf8", content.cast("string"))
     return files.filter(F.col("kind") == "text").select(
         base_name(F.col("path")).alias("source"),
         F.col("path").alias("section_id"),
-        F.when(utf8, F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1")).alias("text"),
+        F.regexp_replace(F.when(utf8, F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1")), "\r\n?", "\n").alias("text"),
         F.lit(None).cast("int").alias("page_number"),
         F.create_map(F.lit("encoding"), F.when(utf8, "utf-8").otherwise("latin-1")).alias("meta"),
     )
