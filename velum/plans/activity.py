@@ -208,6 +208,14 @@ def _drain(spark, stream, label):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _drain_windows(spark, stream, label):
+    """Run windowed counts over all there is and read the last state of every window back."""
+    path, checkpoint = scratch_dir(spark, f"{label}-out"), scratch_dir(spark, f"{label}-progress")
+    ST.run_to_epochs(stream, path, checkpoint).awaitTermination()
+    schema = stream.schema.add("epoch", "integer")
+    return ST.latest(spark.read.schema(schema).parquet(path), [c for c in stream.columns if c != "events"])
+
+
 @query(
     "stream_detect",
     f"""WITH {K.spans('documents', ['doc_id'], BASE)} SELECT doc_id, seq, pii_type, entity_type, start, "end", value, confidence, context FROM spans""",
@@ -220,12 +228,11 @@ def stream_detect(spark, sf_dir):
     "stream_event_counts",
     """WITH w AS (SELECT date_trunc('day', ts) AS d, event_type, count(*) AS events FROM events GROUP BY ALL)
 SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(d + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, events
-FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+FROM w""",
 )
 def stream_event_counts(spark, sf_dir):
-    """Closed days only: a window is written once the watermark has passed its end."""
     events = _stream(spark, sf_dir, "events").select("ts", "event_type")
-    counted = _drain(spark, ST.event_counts(events), "counts")
+    counted = _drain_windows(spark, ST.event_counts(events), "counts")
     return counted.select(_stamp("window_start").alias("window_start"), _stamp("window_end").alias("window_end"), "event_type", "events")
 
 
@@ -233,12 +240,11 @@ def stream_event_counts(spark, sf_dir):
     "stream_sliding_counts",
     """WITH s AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS a, event_type FROM events, range(2) r(k)),
 w AS (SELECT a, event_type, count(*) AS events FROM s GROUP BY ALL)
-SELECT strftime(a, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, events FROM w
-WHERE a + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+SELECT strftime(a, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, events FROM w""",
 )
 def stream_sliding_counts(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").select("ts", "event_type")
-    counted = _drain(spark, ST.event_counts(events, window="12 hours", slide="6 hours"), "sliding")
+    counted = _drain_windows(spark, ST.event_counts(events, window="12 hours", slide="6 hours"), "sliding")
     return counted.select(_stamp("window_start").alias("window_start"), "event_type", "events")
 
 
@@ -262,13 +268,13 @@ def stream_routes(spark, sf_dir):
     """Subscribers of two event types write what they get; a third one always fails."""
     path, checkpoint = scratch_dir(spark, "routes-out"), scratch_dir(spark, "routes-progress")
 
-    def keep(events, epoch):
-        events.write.mode("append").parquet(path)
+    def keep(name):
+        return ST.epoch_writer(f"{path}/subscriber={name}")
 
     def fail(events, epoch):
         raise RuntimeError("subscriber is down")
 
-    deliver = ST.route({"error": [fail, keep], "click": [fail], "purchase": [keep]})
+    deliver = ST.route({"error": [fail, keep("error")], "click": [fail], "purchase": [keep("purchase")]})
     events = _stream(spark, sf_dir, "events").select("event_id", "event_type")
     events.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()

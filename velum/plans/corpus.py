@@ -13,6 +13,8 @@ from velum.plans.registry import table
 from velum.session import spread
 
 PIVOT_YEAR = 25
+# What the later scan finds besides.
+LATER_TEXT = "\nSSN 123-45-6789"
 
 
 def document_hits(spark: SparkSession, sf_dir: str, patterns=BASE, keep=("doc_id", "source")) -> DataFrame:
@@ -28,10 +30,12 @@ def document_findings(spark: SparkSession, sf_dir: str, patterns=BASE) -> DataFr
 def later_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents scanned again after an edit and with a surer address detector.
 
-    The edit changes every text: each ``0`` becomes ``8``. Values with a zero turn into
-    others, e-mail values without one stay, and all IP findings change their confidence.
+    The edit changes every text: each ``0`` becomes ``8`` and each ``@`` becomes ``#``, and the texts of
+    ``src1`` get a social security number. So values with a zero turn into others, addresses vanish, a type
+    appears, card numbers without a zero stay, and all IP findings change their confidence.
     """
-    edited = table(spark, sf_dir, "documents").select("doc_id", "source", F.translate("text", "0", "8").alias("text"))
+    added = F.when(F.col("source") == "src1", F.lit(LATER_TEXT)).otherwise("")
+    edited = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.translate("text", "0@", "8#"), added).alias("text"))
     hits = detect(edited, "text", ["doc_id", "source"], with_confidence(BASE, {"IP_ADDRESS": 0.95}))
     return to_findings(hits, scan_id=F.col("source"), source=F.col("doc_id"))
 

@@ -142,7 +142,7 @@ KEYS = ("source", "location", "pii_type", "content")
 def _later_sql() -> str:
     patterns = [p for p in BASE]
     spans = K.spans("edited", ["doc_id", "source"], patterns).replace("__", "__b").replace("spans AS", "later_spans AS")
-    return f"""edited AS (SELECT doc_id, source, replace(text, '0', '8') AS text FROM documents), {spans},
+    return f"""edited AS (SELECT doc_id, source, translate(text, '0@', '8#') || CASE WHEN source = 'src1' THEN chr(10) || 'SSN 123-45-6789' ELSE '' END AS text FROM documents), {spans},
 later AS (SELECT source AS scan_id, doc_id, CAST(doc_id AS VARCHAR) AS source, 'Document' AS location, seq, pii_type,
   value AS content, context, start, "end", CASE WHEN pii_type = 'IP_ADDRESS' THEN 0.95 ELSE confidence END AS confidence,
   {K.DOCUMENT_SEVERITY} AS severity FROM later_spans)"""

@@ -29,7 +29,10 @@ def event_counts(
     stream: DataFrame, ts: str = "ts", keys: Sequence[str] = ("event_type",), *,
     window: str = "1 day", slide: str | None = None, delay: str = "1 hour",
 ) -> DataFrame:
-    """Events per time window. State is one row per window and key; windows leave once the watermark passes."""
+    """Events per time window. State is one row per window and key, kept until the watermark passes.
+
+    ``run_to_epochs`` writes open windows as well; ``run_to_table`` only closed ones.
+    """
     late = _event_time(stream, ts).withWatermark(ts, delay)
     bucket = F.window(ts, window, slide) if slide else F.window(ts, window)
     return late.groupBy(bucket.alias("w"), *keys).agg(F.count("*").alias("events")).select(
@@ -115,3 +118,34 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         .trigger(availableNow=True)
         .start()
     )
+
+
+def epoch_writer(path: str) -> Handler:
+    """A handler that writes each batch to a folder of its own, so a batch that is delivered again replaces itself."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
+def run_to_epochs(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Process everything available, each batch into a folder of its own, and stop.
+
+    In update mode the sink gets every group that a batch has changed, also windows that are still open;
+    ``latest`` reads the last state of each.
+    """
+    return (
+        stream.writeStream.foreachBatch(epoch_writer(path))
+        .option("checkpointLocation", checkpoint)
+        .outputMode(mode)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest(written: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last state of each group in a table of epochs; combined before the shuffle."""
+    rest = [c for c in written.columns if c not in (*keys, "epoch")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("__last"))
+    return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest])
