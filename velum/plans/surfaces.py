@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velum.flows import scan_pages
@@ -59,18 +60,30 @@ def _profile_sql(name: str, source: str, columns) -> str:
 SELECT {K.text(name)} AS table_name, column_name, pii_type, hits, "values", CAST(hits AS DOUBLE) / "values" * 100 AS percent FROM h WHERE hits > 0)"""
 
 
-_CONTACT_COLUMNS = [(c, c) for c in ("full_name", "email_address", "phone", "ssn", "last_login", "remark")]
+def _all_columns(*names: str) -> list[tuple[str, str]]:
+    """Column and SQL expression; amounts are shown with two decimals on both sides."""
+    money = ("balance", "o_totalprice", "s_acctbal", "c_acctbal")
+    return [(c, f"CAST({c} AS DECIMAL(18, 2))" if c in money else c) for c in names]
+
+
+def _amounts(df: DataFrame) -> DataFrame:
+    """Doubles as decimals with two places, in all columns of a table."""
+    return df.select(*[F.col(f.name).cast("decimal(18,2)").alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+_CONTACT_COLUMNS = _all_columns("contact_id", "full_name", "email_address", "phone", "ssn", "last_login", "remark", "balance")
 
 
 @query("column_profile", f"WITH {CONTACTS_SQL} SELECT * FROM {_profile_sql('contacts', 'contacts', _CONTACT_COLUMNS)}")
 def column_profile(spark, sf_dir):
-    return T.profile_columns(contacts(spark, sf_dir), "contacts", [c for c, _ in _CONTACT_COLUMNS])
+    return T.profile_columns(_amounts(contacts(spark, sf_dir)), "contacts")
 
 
 _DB_TABLES = {
     "contacts": _CONTACT_COLUMNS,
-    "orders": [(c, c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")],
-    "supplier": [(c, c) for c in ("s_suppkey", "s_name", "s_nationkey")],
+    "orders": _all_columns("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "supplier": _all_columns("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
 }
 
 
@@ -90,10 +103,7 @@ UNION ALL SELECT 'database_schema', 'OTHER', 'medium', CAST(0.7 AS DOUBLE)"""
 @query("database_scan", _database_sql())
 def database_scan(spark, sf_dir):
     """Names, whole contents and schema of three tables as one plan."""
-    tables = {
-        name: (contacts(spark, sf_dir) if name == "contacts" else table(spark, sf_dir, name)).select(*[c for c, _ in cols])
-        for name, cols in _DB_TABLES.items()
-    }
+    tables = {name: _amounts(contacts(spark, sf_dir) if name == "contacts" else table(spark, sf_dir, name)) for name in _DB_TABLES}
     return T.scan_database(tables, "sqlite:///shop.db", {}, rows=None).select("location", "pii_type", "severity", "confidence")
 
 
@@ -169,20 +179,22 @@ def file_kinds(spark, sf_dir):
 
 @query(
     "rows_as_text",
-    """SELECT c_custkey, c_name || chr(9) || c_nationkey || chr(9) || c_mktsegment AS line FROM customer""",
+    """SELECT c_custkey, c_custkey || chr(9) || c_name || chr(9) || c_nationkey || chr(9) || CAST(c_acctbal AS DECIMAL(18, 2)) || chr(9) || c_mktsegment AS line
+FROM customer""",
 )
 def rows_as_text(spark, sf_dir):
-    return T.rows_as_text(table(spark, sf_dir, "customer"), ["c_name", "c_nationkey", "c_mktsegment"], row_number="c_custkey")
+    customers = _amounts(table(spark, sf_dir, "customer"))
+    return T.rows_as_text(customers, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], row_number="c_custkey")
 
 
 @query(
     "rows_as_structured_text",
     """WITH n AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS row_number FROM supplier)
-SELECT row_number, 'Row ' || (row_number + 1) || ': s_suppkey: ' || s_suppkey || ' | s_name: ' || s_name || ' | s_nationkey: ' || s_nationkey AS line FROM n""",
+SELECT row_number, 'Row ' || (row_number + 1) || ': s_suppkey: ' || s_suppkey || ' | s_name: ' || s_name || ' | s_nationkey: ' || s_nationkey || ' | s_acctbal: ' || CAST(s_acctbal AS DECIMAL(18, 2)) AS line FROM n""",
 )
 def rows_as_structured_text(spark, sf_dir):
-    numbered = T.number_rows(table(spark, sf_dir, "supplier"), "s_suppkey")
-    return T.rows_as_text(numbered, ["s_suppkey", "s_name", "s_nationkey"], structured=True, row_number="row_number")
+    numbered = T.number_rows(_amounts(table(spark, sf_dir, "supplier")), "s_suppkey")
+    return T.rows_as_text(numbered, ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], structured=True, row_number="row_number")
 
 
 @query("numbered_rows", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_number FROM orders")
