@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.llm.tokens import mixed
+from velum.operators.summary import top_per_group
 
 BITS = 13
 #: Rows per language that are used to fit at most, and languages at most.
@@ -68,13 +69,11 @@ def fit(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "tex
         rows: int = SAMPLE_ROWS, bits: int = BITS, clusters: int = CLUSTERS) -> dict:
     """Centroids of all languages; ``train`` is a condition on ``__key``, the id.
 
-    Ids are drawn per language by the order of a hash: every scan task passes on ``rows`` of each
-    language at most, and only the chosen ids, ``rows * MAX_LANGUAGES`` at most, are broadcast.
+    Ids are drawn per language by the order of a hash, in slices, so no task meets a whole language; only
+    the chosen ids, ``rows * MAX_LANGUAGES`` at most, are broadcast.
     """
     narrow = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang")).filter(F.col("__lang").isNotNull() & train)
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64("__key"), "__key")
-    chosen = narrow.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= rows).drop("__rank")
-    chosen = chosen.distinct().limit(rows * MAX_LANGUAGES)
+    chosen = top_per_group(narrow, ["__lang"], [F.xxhash64("__key"), F.col("__key")], rows).distinct().limit(rows * MAX_LANGUAGES)
     texts = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
     sample = texts.join(F.broadcast(chosen), ["__key", "__lang"]).select(F.xxhash64("__key").alias("__order"), "__lang", "__text")
 
