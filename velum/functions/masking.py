@@ -123,9 +123,9 @@ def apply_strategy(value: Column, pii_type: Column, strategy: Column, key: Colum
 
 
 def replacement(
-    value: Column, pii_type: Column, default: str = "mask", overrides: Mapping[str, str] | None = None
+    value: Column, pii_type: Column, default: str = "mask", overrides: Mapping[str, str] | None = None, key: Column | None = None
 ) -> Column:
-    return apply_strategy(value, pii_type, strategy_for(pii_type, default, overrides))
+    return apply_strategy(value, pii_type, strategy_for(pii_type, default, overrides), key)
 
 
 def type_from_field_name(name: Column) -> Column:

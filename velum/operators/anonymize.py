@@ -12,12 +12,12 @@ from velum.functions.spans import cut, let, pieces
 from velum.operators.detect import resolve_overlaps
 
 
-def _replacement(d: Column, strategy: str, overrides: Mapping[str, str] | None) -> Column:
-    return masking.replacement(d["value"], d["pii_type"], strategy, overrides)
+def _replacement(d: Column, strategy: str, overrides: Mapping[str, str] | None, key: Column | None) -> Column:
+    return masking.replacement(d["value"], d["pii_type"], strategy, overrides, key)
 
 
 def text_by_value(
-    text: Column, found: Column, strategy: str = "mask", overrides: Mapping[str, str] | None = None
+    text: Column, found: Column, strategy: str = "mask", overrides: Mapping[str, str] | None = None, key: Column | None = None
 ) -> Column:
     """Replace every occurrence of each hit's value, in the order of the hits.
 
@@ -27,21 +27,21 @@ def text_by_value(
     pairs = F.array_distinct(
         F.transform(
             F.filter(found, lambda d: d["value"] != ""),
-            lambda d: F.struct(d["value"].alias("value"), _replacement(d, strategy, overrides).alias("new")),
+            lambda d: F.struct(d["value"].alias("value"), _replacement(d, strategy, overrides, key).alias("new")),
         )
     )
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["value"], p["new"]))
 
 
 def text_by_span(
-    text: Column, found: Column, strategy: str = "mask", overrides: Mapping[str, str] | None = None
+    text: Column, found: Column, strategy: str = "mask", overrides: Mapping[str, str] | None = None, key: Column | None = None
 ) -> Column:
     """Replace the hits at their positions; where hits overlap, ``resolve_overlaps`` decides."""
 
     def replaced(kept: Column, parts: Column) -> Column:
         def one(d: Column, i: Column) -> Column:
             before = F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
-            return F.concat(cut(parts, before, d["start"]), _replacement(d, strategy, overrides))
+            return F.concat(cut(parts, before, d["start"]), _replacement(d, strategy, overrides, key))
 
         last = F.element_at(kept, -1)["end"]
         return F.concat(F.array_join(F.transform(kept, one), ""), cut(parts, last, F.length(text)))
@@ -69,12 +69,12 @@ def attach_findings(docs: DataFrame, findings: DataFrame, doc_key: str, finding_
 
 
 def anonymize_findings(
-    findings: DataFrame, strategy: str = "mask", overrides: Mapping[str, str] | None = None
+    findings: DataFrame, strategy: str = "mask", overrides: Mapping[str, str] | None = None, key: Column | None = None
 ) -> DataFrame:
-    """A new scan ``<id>_anonymized`` with replaced contents."""
+    """A new scan ``<id>_anonymized`` with replaced contents; ``key`` is for the strategy ``encrypt``."""
     return findings.withColumns(
         {
-            "content": masking.replacement(F.col("content"), F.col("pii_type"), strategy, overrides),
+            "content": masking.replacement(F.col("content"), F.col("pii_type"), strategy, overrides, key),
             "scan_id": F.concat(F.col("scan_id"), F.lit("_anonymized")),
         }
     )

@@ -14,7 +14,10 @@ from velum.operators import findings as FN
 from velum.plans import sqlkit as K
 from velum.plans.corpus import CONTACTS_SQL, SCANS_SQL, contacts, document_findings, later_findings, scans
 from velum.plans.registry import query, table
-from velum.session import materialize
+from velum.session import materialize, scratch_dir
+from velum.sinks import reports as R
+from velum.sources import saved
+from velum.streaming import streams as ST
 
 # --- rules ---------------------------------------------------------------------------------
 
@@ -415,3 +418,38 @@ SELECT content AS value, {_chosen_sql()} AS replacement FROM l""",
 )
 def replacement_map(spark, sf_dir):
     return A.replacement_map(document_findings(spark, sf_dir), _order())
+
+
+@query(
+    "encrypted_findings",
+    f"WITH {K.DOC_FINDINGS} SELECT scan_id || '_anonymized' AS scan_id, finding_id, content AS decrypted, false AS shown FROM findings",
+)
+def encrypted_findings(spark, sf_dir):
+    """Contents encrypted with a key and decrypted again; none is left readable in between."""
+    key = F.lit("0123456789abcdef")
+    found = document_findings(spark, sf_dir).withColumn("plain", F.col("content"))
+    hidden = A.anonymize_findings(found, "encrypt", {t: "encrypt" for t in masking.STRATEGY_BY_TYPE}, key)
+    back = F.aes_decrypt(F.unbase64("content"), key).cast("string")
+    return hidden.select("scan_id", "finding_id", back.alias("decrypted"), F.col("content").contains(F.col("plain")).alias("shown"))
+
+
+@query(
+    "violation_events",
+    f"""WITH {VIOLATIONS_SQL} SELECT 'compliance.violation_detected' AS event_type, scan_id, rule_id, article, severity, count(*) AS events
+FROM violations GROUP BY ALL""",
+)
+def violation_events(spark, sf_dir):
+    events = ST.violation_events(C.violations(document_findings(spark, sf_dir)))
+    data = [F.col("data")[k].alias(k) for k in ("scan_id", "rule_id", "article", "severity")]
+    return events.select("event_type", *data).groupBy("event_type", "scan_id", "rule_id", "article", "severity").agg(F.count("*").alias("events"))
+
+
+@query(
+    "saved_findings",
+    f"WITH {K.DOC_FINDINGS} SELECT scan_id, pii_type, severity, count(*) AS findings FROM findings GROUP BY ALL",
+)
+def saved_findings(spark, sf_dir):
+    """Findings saved as a scan and read again."""
+    path = scratch_dir(spark, "saved")
+    R.save_findings(document_findings(spark, sf_dir), path)
+    return saved.read_findings(spark, path).groupBy("scan_id", "pii_type", "severity").agg(F.count("*").alias("findings"))
