@@ -151,7 +151,7 @@ def test_language_sets(spark):
 
 def test_catalog(spark):
     rows = {r.entity_type: r.description for r in D.pattern_catalog(spark).collect()}
-    assert set(rows) == {p.entity for p in P.VALIDATED} and rows["EU_VAT"] == "EU VAT Number"
+    assert set(rows) == {p.entity for p in P.VALIDATED} and rows["EU_VAT"] == "VAT registration in the EU"
 
 
 @pytest.mark.parametrize(
