@@ -1,4 +1,4 @@
-"""Decontamination: odd rows, spans and offsets; whole results are compared with SQL by ``test_llm_queries``."""
+"""Decontamination: odd rows, spans and offsets; whole results are compared with SQL by ``tests/test_queries.py``."""
 
 from llm_fixtures import docs  # noqa: F401
 
