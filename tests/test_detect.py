@@ -249,3 +249,10 @@ def test_chains_of_overlaps_and_pieces(spark):
     assert [c.context for c in got.c] == [text[max(a - 50, 0) : b + 50].replace("\n", " ") for a, b in at]
     between = [text[b:a] for (_, b), (a, _) in zip([(0, 0), *kept], [*kept, (len(text), 0)])]
     assert re.fullmatch(r"(\S+?)".join(map(re.escape, between)), got.r)
+
+
+def test_every_pattern_has_hits(spark, sf):
+    from velum.plans import QUERIES
+
+    found = {r.entity_type for r in QUERIES["every_pattern"](spark, sf).select("entity_type").distinct().collect()}
+    assert found == {p.entity for p in (*P.DOCUMENT, *P.CUSTOM)}

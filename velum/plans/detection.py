@@ -475,3 +475,34 @@ SELECT doc_id, pii_type, entity_type, start, "end", value, confidence FROM spans
 def model_entities(spark, sf_dir):
     """Any model can be plugged in; this one takes three capitalised words for a name."""
     return D.detect_with_model(table(spark, sf_dir, "documents"), "text", ["doc_id"], _toy_model)
+
+
+# --- a text for every pattern --------------------------------------------------------------
+
+_D6 = "lpad(CAST(c_custkey % 1000000 AS VARCHAR(6)), 6, '0')"
+_D4, _D3 = (f"lpad(CAST(c_custkey % {10**n} AS VARCHAR(6)), {n}, '0')" for n in (4, 3))
+_SHAPES = (
+    f"'mail x' || {_D6} || '@example.com'", f"'call 555-123-' || {_D4}", f"'number 123-45-' || {_D4}", f"'card 4111 1111 1111 ' || {_D4}",
+    f"'host 10.0.7.' || CAST(c_custkey % 256 AS VARCHAR(6))", f"'iban DE89370400440532' || {_D6}", f"'hetu 010190-' || {_D3} || 'A'",
+    f"'pnr 900101-' || {_D4}", f"'fnr 010190 1' || {_D4}", f"'nino AB' || {_D6} || 'C'", "'swift DEUTDEFFXXX'", f"'vat DE123' || {_D6}",
+    f"'wallet bc1qar1srrr7xfkvy5l643lydnw9re59g' || {_D6}", f"'passport P' || {_D6}", f"'2001:db8:85a3:1:2:8a2e:370:' || {_D4}", "'aa:bb:cc:01:02:03'",
+    f"'at 52.5, 13.' || {_D3}", f"'EMP-' || {_D6}", f"'CUST-AB12' || {_D6}", f"'REF-0000' || {_D6}", f"'12-3' || {_D6}", f"'POL-12' || {_D6}",
+    f"'VIN 1HGCM82633A' || {_D6}", f"'account 12' || {_D6}", f"'HI-123' || {_D6}", f"'MEM-' || {_D6}", f"'api_key = abcdefghijklmnopqrst' || {_D6}",
+    f"'AKIAIOSFODNN77' || {_D6}", "'-----BEGIN RSA PRIVATE KEY-----'",
+)
+# The same expression in both dialects; every other customer also has things that are almost hits.
+_SHAPED = (
+    f"CASE c_custkey % {len(_SHAPES)} " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_SHAPES))
+    + " END || CASE WHEN c_custkey % 2 = 0 THEN ', EMP-123 REF-12 4111-1111 1.2.3 12-34 x@y AKIA12 a:b:c' ELSE '' END"
+)
+
+
+@query(
+    "every_pattern",
+    f"""WITH samples AS (SELECT c_custkey, {_SHAPED} AS text FROM customer),
+{K.spans('samples', ['c_custkey'], (*DOCUMENT, *CUSTOM), context=False)} SELECT c_custkey, seq, {SPAN_COLUMNS} FROM spans""",
+)
+def every_pattern(spark, sf_dir):
+    """Texts made from ``customer`` with the shape of every document and custom pattern, and near misses."""
+    samples = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_SHAPED).alias("text"))
+    return D.detect(samples, "text", ["c_custkey"], (*DOCUMENT, *CUSTOM)).drop("context")
