@@ -35,13 +35,13 @@ _CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WORDS = regex.compile(
     PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 48
 #: Words up to so many bytes are merged many at a time, a tree in each row of one array.
 WIDTHS = (8, 16, 32, 64)
 _WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDTHS[-1] + 1)]
 #: Characters of text that are tokenised together; a longer text is taken alone.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 #: Words that are merged in one array, which then fits a core's cache.
 ROWS = 4096
 _NONE = np.int32(2**31 - 1)
