@@ -129,3 +129,22 @@ def test_no_python_in_the_plan(spark, sf):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         QUERIES["op2_pii_pseudonyms"](spark, sf).explain("formatted")
     assert "Scan" in plan.getvalue() and not re.search("Python|Arrow|Pandas", plan.getvalue())
+
+
+CARD, ES, BE, AT = "4111 1111 1111 1111", "ES9121000418450200051332", "BE68539007547034", "AT611904300234573201"
+
+
+@pytest.mark.parametrize("text, value", [
+    (f"{CARD} 123", CARD), (f"order 2025 {CARD}", CARD), (f"12-34 {CARD} 99 2", CARD), (f"AB12 {CARD}", CARD), ("7 123-45-6789 5555", "123-45-6789"),
+    ("1 2021-03-04 1234567", "2021-03-04"), (f"{ES} EUR", ES), (f"{BE} PAID", BE), (f"{AT} 1200", AT), (f"AB12 {ES} EUR 7", ES),
+    ("ES91 2100 0418 4502 0005 1332 EUR", "ES91 2100 0418 4502 0005 1332"), (f"{CARD} 12abc", CARD)])
+def test_a_failed_run_is_searched_for_the_value_in_it(spark, text, value):
+    alone, within = run(spark, [value, text])
+    assert alone.text != value and alone.replaced == 1
+    assert within.text == text.replace(value, alone.text) and within.replaced == 1
+
+
+def test_two_values_in_one_run(spark):
+    a, b = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    x, y, both, phones = run(spark, [a, b, f"{a} {b} 77", "555-123-4567 555-123-4568"])
+    assert tuple(both) == (f"{x.text} {y.text} 77", 2) and phones.replaced == 2

@@ -31,11 +31,37 @@ DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}|(?<=[0-9][ .-])[0-9]{2,4}[ .-][0-9]{3,4})(?:[ .-]?[0-9]{2,4}){1,3}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-# ---
-_BEFORE, _AFTER = r"(?<![A-Za-z0-9_@])(?<![0-9][.,/-])", r"(?![A-Za-z0-9_@])(?![.,/-][0-9])"
+# --- a value ends where a neighbour cannot continue its own format
+_WORD_BEFORE, _WORD_AFTER = r"(?<![A-Za-z0-9_@])", r"(?![A-Za-z0-9_@])"
 _MAIL_BEFORE = r"(?<![A-Za-z0-9._%+-])"
-_NUMBERS = "|".join((SECRET, IBAN, SSN, DATE, IPV4, CARD, PHONE))
-PATTERN = rf"{_MAIL_BEFORE}{EMAIL}|{_BEFORE}(?:{_NUMBERS}){_AFTER}"
+
+
+def _between(pattern: str, separators: str, after: str = _WORD_AFTER) -> str:
+    """``pattern`` where no digit stands behind one of ``separators`` beside it."""
+    return rf"{_WORD_BEFORE}(?<![0-9][.,/-])(?:{pattern}){_WORD_AFTER}(?![.,/-][0-9])"
+
+
+#: A time (``T10:00``) or a zone (``Z``) may follow a date at once.
+_DAY_AFTER = r"(?![0-9_@A-SU-Ya-z]|T(?![0-9])|Z[A-Za-z0-9_])"
+_DATES = "|".join(_between(d, s, _DAY_AFTER) for d, s in (
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "-"), (r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", "."), (r"[0-9]{2}/[0-9]{2}/[0-9]{4}", "/")))
+#: Runs of groups, in which any groups in a row may be an IBAN or a card number.
+_GROUP = r"[A-Z0-9]++(?![a-z_@])(?![.,/][0-9])"
+RUN = rf"{_WORD_BEFORE}(?<![0-9][.,/-])(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11}}|[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?:[ -]{_GROUP})*+"
+#: Dots before a comma and digits group the thousands of an amount.
+_PHONE_AFTER = rf"{_WORD_AFTER}(?!(?<=\.[0-9]{{3}}),[0-9])"
+#: Tried one after another, the run between the two others, on what is left of the text.
+FIXED = "|".join((
+    rf"{_MAIL_BEFORE}{EMAIL}", rf"{_WORD_BEFORE}{SECRET}{_WORD_AFTER}", _between(SSN, "-"), _DATES, _between(IPV4, "."),
+    _between(rf"(?=\+){PHONE}", ".-", _PHONE_AFTER)))
+PHONES = tuple(_between(p, ".-", _PHONE_AFTER) for p in (PHONE, PHONE.removesuffix("{1,3}")))
+CARD_LAYOUTS = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+#: Length of a country's IBANs; among several candidates the one of this length is taken.
+IBAN_LENGTHS = {n: c.split() for n, c in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST LY",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items()}
 
 
 def _chars(s: Column) -> Column:
@@ -212,21 +238,102 @@ def pseudonym(value: Column, key: str) -> Column:
     return F.when(value.contains("@"), _email(value, key)).otherwise(F.coalesce(secret, first, phone))
 
 
+def _piece(text: Column, settled: Column | bool) -> Column:
+    return F.struct(text.alias("s"), (F.lit(settled) if isinstance(settled, bool) else settled).alias("settled"))
+
+
+def _usual(s: Column) -> Column:
+    """Whether an IBAN without blanks has the length of its country."""
+    pairs = [F.lit(c + str(n)) for n, countries in IBAN_LENGTHS.items() for c in countries]
+    return F.concat(F.substr(s, F.lit(1), F.lit(2)), F.length(s).cast("string")).isin(*pairs)
+
+
+def _rank(s: Column, run: Column) -> Column:
+    """3 for a card number in a usual layout or an IBAN of its country's length, 2 for another card number, 1 for
+    another IBAN, 0 for neither. A card number that is not the whole run has one kind of separator.
+    """
+    plain = F.regexp_replace(s, "[ -]", "")
+    card = s.rlike(_whole(CARD)) & ((s == run) | ~(s.contains(" ") & s.contains("-")))
+    iban = s.rlike(_whole(IBAN)) & F.length(plain).between(15, 34)
+    return (F.when(card, F.when(_luhn_sum(plain, 1) % 10 != 0, 0).when(s.rlike(_whole(CARD_LAYOUTS)), 3).otherwise(2))
+            .when(iban, F.when(_mod97(plain) != 1, 0).when(_usual(plain), 3).otherwise(1)).otherwise(0))
+
+
+def _in_run(run: Column) -> Column:
+    """Pieces of a run: the values in it, from left to right, and what stands between them.
+
+    Of the candidates that start at a group the one of the best rank is taken, the longest if there are several;
+    it gives way to one of a better rank that starts within it.
+    """
+
+    def of(groups: Column) -> Column:
+        def best(i: Column) -> Column:
+            def ranked(c: Column) -> Column:
+                s = F.regexp_replace(F.array_join(F.slice(groups, i + 1, c), ""), "^[ -]", "")
+                return F.struct(_rank(s, run).alias("rank"), c.alias("size"), i.alias("i"), s.alias("s"))
+
+            counts = F.sequence(F.lit(1), F.least(F.lit(34), F.size(groups) - i))
+            return F.when(F.get(groups, i).rlike("^[ -]?(?:[A-Z]{2}[0-9]{2}|[0-9])"), F.array_max(F.transform(counts, ranked)))
+
+        def chosen(state: Column, x: Column) -> Column:
+            one = F.struct(state["next"].alias("first"), x["i"].alias("i"), x["s"].alias("s"))
+            return F.when(x["i"] >= state["next"], F.struct(
+                (x["i"] + x["size"]).alias("next"), F.concat(state["out"], F.array(one)).alias("out"))).otherwise(state)
+
+        def pieces(state: Column) -> Column:
+            def shown(x: Column) -> Column:
+                lead = F.regexp_extract(F.get(groups, x["i"]), "^[ -]", 0)
+                between = F.concat(F.array_join(F.slice(groups, x["first"] + 1, x["i"] - x["first"]), ""), lead)
+                return F.array(_piece(between, False), _piece(x["s"], True))
+
+            rest = F.array_join(F.slice(groups, state["next"] + 1, F.size(groups)), "")
+            return F.concat(F.flatten(F.transform(state["out"], shown)), F.array(_piece(rest, False)))
+
+        valid = F.filter(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), best), lambda x: x["rank"] > 0)
+        valid = _let(valid, lambda all: F.filter(all, lambda x: ~F.exists(
+            all, lambda y: (y["rank"] > x["rank"]) & (y["i"] > x["i"]) & (y["i"] < x["i"] + x["size"]))))
+        empty = F.array().cast("array<struct<first:int,i:int,s:string>>")
+        return _let(F.aggregate(valid, F.struct(F.lit(0).alias("next"), empty.alias("out")), chosen), pieces)
+
+    return _let(F.regexp_extract_all(run, F.lit("[ -]?[^ -]+"), F.lit(0)), of)
+
+
+def _found(h: Column) -> Column:
+    """A hit with a fixed form is settled, whether it passes or not; of phone numbers those of 7 to 15 digits."""
+    digits = F.length(F.regexp_replace(h, "[^0-9]", ""))
+    fixed = h.contains("@") | h.rlike(rf"{_whole(SSN)}|{_whole(DATE)}|{_whole(IPV4)}|{_whole(SECRET)}")
+    return F.array(_piece(h, fixed | digits.between(7, 15)))
+
+
+def _searched(pieces: Column, pattern: str, found: Callable[[Column], Column]) -> Column:
+    """``pieces`` with those that are not settled cut up by ``pattern``; ``found`` gives the pieces of a hit."""
+
+    def cut(p: Column) -> Column:
+        between = F.transform(F.split(p["s"], pattern, -1), lambda b: F.array(_piece(b, False)))
+        hits = F.transform(F.regexp_extract_all(p["s"], F.lit(pattern), F.lit(0)), found)
+        both = F.zip_with(between, hits, lambda b, h: F.when(h.isNull(), b).otherwise(F.concat(b, h)))
+        return F.when(p["settled"] | ~p["s"].rlike(pattern), F.array(p)).otherwise(F.flatten(both))
+
+    return F.flatten(F.transform(pieces, cut))
+
+
 def pseudonymised(text: Column | str, key: str) -> Column:
-    """``struct<text, replaced>``: the text with pseudonyms for its values, and how many were replaced."""
-    text = F.col(text) if isinstance(text, str) else text
+    """``struct<text, replaced>``: the text with pseudonyms for its values, and how many were replaced.
 
-    def joined(found: Column) -> Column:
-        def assembled(new: Column) -> Column:
-            between = F.split(text, PATTERN, -1)
-            shown = F.concat(F.zip_with(found, new, lambda old, n: F.coalesce(n, old)), F.array(F.lit("")))
-            parts = F.flatten(F.zip_with(between, shown, lambda b, s: F.array(b, s)))
-            replaced = F.size(F.filter(new, lambda n: n.isNotNull())).cast("long")
-            return F.struct(F.array_join(parts, "").alias("text"), replaced.alias("replaced"))
+    Each step searches what the steps before it left, so a hit that fails its check hides no other value.
+    """
+    text = F.col(text) if isinstance(text, str) else text
 
-        none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("replaced"))
-        some = _let(F.transform(found, lambda h: pseudonym(h, key)), assembled)
-        return F.when(F.size(found) > 0, some).otherwise(none)
+    def assembled(new: Column) -> Column:
+        replaced = F.size(F.filter(new, lambda n: n["replaced"])).cast("long")
+        return F.struct(F.array_join(new["s"], "").alias("text"), replaced.alias("replaced"))
 
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
-    return _let(found, joined)
+    def shown(p: Column) -> Column:
+        made = F.array(F.when(p["settled"], pseudonym(p["s"], key)))
+        return F.transform(made, lambda n: F.struct(F.coalesce(n, p["s"]).alias("s"), n.isNotNull().alias("replaced")))[0]
+
+    pieces = F.array(_piece(text, False))
+    for pattern, found in ((FIXED, _found), (RUN, _in_run), *((p, _found) for p in PHONES)):
+        pieces = _searched(pieces, pattern, found)
+    none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("replaced"))
+    return F.when(text.rlike("[0-9@]"), _let(F.transform(pieces, shown), assembled)).otherwise(none)
