@@ -148,3 +148,22 @@ def test_two_values_in_one_run(spark):
     a, b = "4111 1111 1111 1111", "5500 0000 0000 0004"
     x, y, both, phones = run(spark, [a, b, f"{a} {b} 77", "555-123-4567 555-123-4568"])
     assert tuple(both) == (f"{x.text} {y.text} 77", 2) and phones.replaced == 2
+
+
+@pytest.mark.parametrize("text, values", [
+    ("4111111111111111,2021-03-04", ("4111111111111111", "2021-03-04")), ("123-45-6789,2", ("123-45-6789",)), ("1,2021-03-04,1", ("2021-03-04",)),
+    ("2021-03-04T10:00:00", ("2021-03-04",)), ("2021-03-04/2021-03-09", ("2021-03-04", "2021-03-09")), ("7,97.51.17.173,5", ("97.51.17.173",)),
+    ("97.51.17.173/24", ("97.51.17.173",)), ("31.12.1999-25.12.2020", ("31.12.1999", "25.12.2020")), ("2021-03-04Z", ("2021-03-04",))])
+def test_neighbouring_fields_do_not_hide_a_value(spark, text, values):
+    whole, *alone = run(spark, [text, *values])
+    want = text
+    for value, r in zip(values, alone):
+        assert r.text != value
+        want = want.replace(value, r.text)
+    assert tuple(whole) == (want, len(values))
+
+
+@pytest.mark.parametrize("text", ["0.4111111111111111", "4111111111111111.5", "1.2021-03-04-5", "97.51.17.173.4", "123-45-6789-1", "2021-03-04Tea",
+                                  "123.456.789,12"])
+def test_a_part_of_a_longer_number_stays(spark, text):
+    assert tuple(run(spark, [text])[0]) == (text, 0)

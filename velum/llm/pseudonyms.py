@@ -38,7 +38,7 @@ _MAIL_BEFORE = r"(?<![A-Za-z0-9._%+-])"
 
 def _between(pattern: str, separators: str, after: str = _WORD_AFTER) -> str:
     """``pattern`` where no digit stands behind one of ``separators`` beside it."""
-    return rf"{_WORD_BEFORE}(?<![0-9][.,/-])(?:{pattern}){_WORD_AFTER}(?![.,/-][0-9])"
+    return rf"{_WORD_BEFORE}(?<![0-9][{separators}])(?:{pattern}){after}(?![{separators}][0-9])"
 
 
 #: A time (``T10:00``) or a zone (``Z``) may follow a date at once.
@@ -46,8 +46,8 @@ _DAY_AFTER = r"(?![0-9_@A-SU-Ya-z]|T(?![0-9])|Z[A-Za-z0-9_])"
 _DATES = "|".join(_between(d, s, _DAY_AFTER) for d, s in (
     (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "-"), (r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", "."), (r"[0-9]{2}/[0-9]{2}/[0-9]{4}", "/")))
 #: Runs of groups, in which any groups in a row may be an IBAN or a card number.
-_GROUP = r"[A-Z0-9]++(?![a-z_@])(?![.,/][0-9])"
-RUN = rf"{_WORD_BEFORE}(?<![0-9][.,/-])(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11}}|[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?:[ -]{_GROUP})*+"
+_GROUP = r"[A-Z0-9]++(?![a-z_@])(?!\.[0-9])"
+RUN = rf"{_WORD_BEFORE}(?<![0-9]\.)(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11}}|[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?:[ -]{_GROUP})*+"
 #: Dots before a comma and digits group the thousands of an amount.
 _PHONE_AFTER = rf"{_WORD_AFTER}(?!(?<=\.[0-9]{{3}}),[0-9])"
 #: Tried one after another, the run between the two others, on what is left of the text.
