@@ -126,3 +126,29 @@ def test_components(spark):
 def test_bits_of_ties():
     assert simhash.bits_of(np.array([1, 0], np.uint64)) == bytes(8)
     assert simhash.bits_of(np.array([1, 1, 0], np.uint64)) == bytes(7) + b"\1"
+
+
+def shingles(text, k=5):
+    w = text.split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+@pytest.mark.parametrize("tile", [16, 8192])
+def test_only_pairs_of_enough_jaccard_are_linked(spark, docs, monkeypatch, tile):
+    """Templated lines that share much, and texts with some words changed, against plain Jaccard."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    pick = random.Random(4)
+    texts = [f"t{i} of the same seven words and {x}{i}" for i in range(20) for x in "abc"]
+    for size in (8, 9, 30, 120):
+        for _ in range(12):
+            base = [f"w{pick.randrange(10**6)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for changes in (1, 2, 4):
+                near = list(base)
+                for place in pick.sample([0, *range(size // 2, size)], min(changes, size // 2)):
+                    near[place] = f"x{pick.randrange(10**6)}"
+                texts += [" ".join(near), " ".join(near[1:])]
+    sets = list(map(shingles, texts))
+    roots = plain_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9)
+    kept = simhash.one_of_each(docs(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
