@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from velum.llm.tokens import mixed
 from velum.operators.summary import top_per_group
+from velum.session import materialize
 
 BITS = 13
-#: Rows per language that are used to fit at most, and languages at most.
-SAMPLE_ROWS, MAX_LANGUAGES = 1_000, 64
+#: Ids per language that are used to fit at most.
+SAMPLE_ROWS = 1_000
 CLUSTERS, ROUNDS = 4, 8
 #: Share of the sample whose distance is within the rejection threshold.
 ACCEPTED = 0.999
@@ -70,12 +71,18 @@ def fit(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "tex
     """Centroids of all languages; ``train`` is a condition on ``__key``, the id.
 
     Ids are drawn per language by the order of a hash, in slices, so no task meets a whole language; only
-    the chosen ids, ``rows * MAX_LANGUAGES`` at most, are broadcast.
+    the chosen ids, ``rows`` a language at most, are broadcast. Each language is learnt in a
+    task of its own.
     """
-    narrow = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang")).filter(F.col("__lang").isNotNull() & train)
-    chosen = top_per_group(narrow, ["__lang"], [F.xxhash64("__key"), F.col("__key")], rows).distinct().limit(rows * MAX_LANGUAGES)
-    texts = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
-    sample = texts.join(F.broadcast(chosen), ["__key", "__lang"]).select(F.xxhash64("__key").alias("__order"), "__lang", "__text")
+    spark = docs.sparkSession
+    texts = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__text")).filter(
+        F.col("__lang").isNotNull() & F.col("__text").isNotNull())
+    narrow = texts.filter(train).select("__key", "__lang").distinct()
+    chosen = top_per_group(narrow, ["__lang"], [F.xxhash64("__key"), F.col("__key")], rows)
+    sample = (
+        texts.join(F.broadcast(chosen), ["__key", "__lang"])
+        .select(F.xxhash64("__key").alias("__order"), "__lang", "__text")
+    )
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,36 +92,42 @@ def fit(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "tex
                  pa.array([m[2].astype("<u4").tobytes() for m in made], pa.binary()), pa.array([m[3].astype("<f4").tobytes() for m in made], pa.binary())],
                 names=["order", "lang", "at", "tf"])
 
-    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))})
-        seen = np.zeros(1 << bits)
-        for _, _, at, _ in rows:
+    def counted(own: pa.Table) -> pa.Table:
+        seen = np.zeros(1 << bits, "<i4")
+        for at in own["at"].to_pylist():
             seen[np.frombuffer(at, "<u4")] += 1
-        idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32)
-        names, centres, within = [], [], []
-        for name in sorted({r[1] for r in rows}):
-            own = [r for r in rows if r[1] == name]
-            x = np.zeros((len(own), 1 << bits), np.float32)
-            for i, (_, _, at, tf) in enumerate(own):
-                at = np.frombuffer(at, "<u4")
-                x[i, at] = np.frombuffer(tf, "<f4") * idf[at]
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            c = clustered(x, clusters)
-            centres.append(c.astype("<f4"))
-            names += [name] * len(c)
-            within.append((x @ c.T).max(axis=1))
-        farthest = 1.0 - float(np.quantile(np.concatenate(within), 1 - ACCEPTED)) if within else 0.0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([names], pa.list_(pa.string())), pa.array([np.vstack(centres).tobytes() if centres else b""]),
-             pa.array([idf.astype("<f4").tobytes()]), pa.array([farthest])], names=["names", "centres", "idf", "farthest"])
-
-    made = (
-        sample.mapInArrow(hashed, "order long, lang string, at binary, tf binary")
-        .repartition(1)
-        .mapInArrow(learnt, "names array<string>, centres binary, idf binary, farthest double")
-        .first()
-    )
-    return {"bits": bits, **{k: made[k] for k in ("names", "farthest")}, **{k: bytes(made[k]) for k in ("centres", "idf")}}
+        return pa.table({"rows": [len(own)], "seen": pa.array([seen.tobytes()], pa.binary())})
+
+    def learnt(own: pa.Table) -> pa.Table:
+        own = sorted(zip(*(own[c].to_pylist() for c in ("order", "at", "tf"))))
+        x = np.zeros((len(own), 1 << bits), np.float32)
+        for i, (_, at, tf) in enumerate(own):
+            at = np.frombuffer(at, "<u4")
+            x[i, at] = np.frombuffer(tf, "<f4") * sent.value[at]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        c = clustered(x, clusters)
+        return pa.table({"centres": pa.array([c.astype("<f4").tobytes()], pa.binary()),
+                         "within": pa.array([(x @ c.T).max(axis=1).astype("<f4").tobytes()], pa.binary())})
+
+    made = materialize(sample.mapInArrow(hashed, "order long, lang string, at binary, tf binary"), "language-sample")
+    total, seen = 0, np.zeros(1 << bits, np.int64)
+    for r in made.groupBy("lang").applyInArrow(counted, "rows long, seen binary").toLocalIterator():
+        total += r["rows"]
+        seen += np.frombuffer(r["seen"], "<i4")
+    idf = np.log((1 + total) / (1 + seen)).astype("<f4")
+    sent = spark.sparkContext.broadcast(idf)
+
+    def named(key: tuple, own: pa.Table) -> pa.Table:
+        return learnt(own).add_column(0, "lang", [pa.array([key[0].as_py()], pa.string())])
+
+    found = sorted(made.groupBy("lang").applyInArrow(named, "lang string, centres binary, within binary").collect(), key=lambda r: r["lang"])
+    centres = [bytes(r["centres"]) for r in found]
+    within = [np.frombuffer(bytes(r["within"]), "<f4") for r in found]
+    return {
+        "bits": bits, "names": [r["lang"] for r, c in zip(found, centres) for _ in range(len(c) // (4 << bits))],
+        "farthest": 1.0 - float(np.quantile(np.concatenate(within), 1 - ACCEPTED)) if within else 0.0,
+        "centres": b"".join(centres), "idf": idf.tobytes(),
+    }
 
 
 def predict(text: Column | str, model: dict, spark) -> Column:
