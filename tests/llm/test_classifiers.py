@@ -110,10 +110,12 @@ def test_clusters_separate():
     assert sorted(map(tuple, langid.clustered(x, 3).round(6))) == sorted(map(tuple, np.eye(3, 8)))
 
 
-def test_all_of_many_languages_are_learnt(spark, docs):
+def test_all_of_many_languages_are_learnt_from_one_row_an_id(spark, docs):
     from pyspark.sql import functions as F
 
     names = [f"l{i:02d}" for i in range(70)]
     rows = [(i * 100 + j, f"{chr(0x4e00 + i * 7) * 3} {chr(0x4e01 + i * 7) * 2}", y) for i, y in enumerate(names) for j in range(2)]
+    rows += [(7, "b" * n, "hot") for n in range(1, 40)] + [(8, "123", "hot"), (9, None, "hot"), (10, "c d", "hot")]
     model = langid.fit(docs(rows), F.lit(True), rows=2, clusters=4)
-    assert sorted(set(model["names"])) == names
+    assert sorted(set(model["names"])) == ["hot", *names]
+    assert model["names"].count("hot") == 2

@@ -71,16 +71,19 @@ def fit(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "tex
     """Centroids of all languages; ``train`` is a condition on ``__key``, the id.
 
     Ids are drawn per language by the order of a hash, in slices, so no task meets a whole language; only
-    the chosen ids, ``rows`` a language at most, are broadcast. Each language is learnt in a
+    the chosen ids, ``rows`` a language at most, are broadcast. An id that stands in several rows of a language
+    counts once there, with its smallest text; texts without letters take no part. Each language is learnt in a
     task of its own.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__text")).filter(
-        F.col("__lang").isNotNull() & F.col("__text").isNotNull())
+        F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}"))
     narrow = texts.filter(train).select("__key", "__lang").distinct()
     chosen = top_per_group(narrow, ["__lang"], [F.xxhash64("__key"), F.col("__key")], rows)
     sample = (
         texts.join(F.broadcast(chosen), ["__key", "__lang"])
+        .groupBy("__key", "__lang")
+        .agg(F.min("__text").alias("__text"))
         .select(F.xxhash64("__key").alias("__order"), "__lang", "__text")
     )
 
