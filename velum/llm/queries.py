@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm import bpe, decontam, hosts, langid, pseudonyms, quality, simhash, suffix_tree, topk, toxicity
+from velum.llm import bpe, decontam, hosts, langid, periodic, pseudonyms, quality, simhash, suffix_tree, topk, toxicity
 from velum.llm.linear import remainder
 from velum.llm.registry import ORACLES, QUERIES, query, table
 
@@ -149,3 +150,37 @@ RULES = (
 @query("op10_url_verdicts")
 def op10_url_verdicts(spark, sf_dir):
     return hosts.verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+def _with_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Key and text by the contract: one in ten documents, by the hash of its id, repeats its own words from some place on."""
+    h = F.crc32(F.col(key).cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = docs.select(key, F.col(text).alias("text"), F.floor(h / 10).alias("g"), words.alias("w"))
+    rows = rows.withColumn("n", F.when(F.size("w") > 0, F.size("w")))
+    rows = rows.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1).cast("int"))
+    rest = F.col("n") - F.col("a")
+    # No lambda here: Spark does not run a Python function on an argument that holds one.
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    repeated = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), rest)), " ")
+    return rows.select(key, F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    found = _with_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = found.select("doc_id", periodic.periodic_runs("text").alias("found")).select("doc_id", "found.runs", "found.collapsed")
+    # The longest run, then the first, then the one with the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
