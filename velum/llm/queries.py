@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm import bpe, decontam, hosts, langid, periodic, pseudonyms, quality, simhash, suffix_tree, topk, toxicity
+from velum.llm import bpe, decontam, hosts, langid, mixture, periodic, pseudonyms, quality, ranked, simhash, suffix_tree, topk, toxicity
 from velum.llm.linear import remainder
 from velum.llm.registry import ORACLES, QUERIES, query, table
 
@@ -152,6 +152,32 @@ def op10_url_verdicts(spark, sf_dir):
     return hosts.verdicts(table(spark, sf_dir, "pages"), RULES)
 
 
+@query("op11_source_mix")
+def op11_source_mix(spark, sf_dir):
+    mixed = mixture.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_sql_words('text')}) AS w FROM benchmark),
+c AS (SELECT count(*) AS docs, sum(len(w)) AS words FROM d WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+v AS (SELECT r, doc_id, 10 + (90 * len(w) * docs) // words AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT i, item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM (SELECT i, item_id, unnest(w) AS term FROM i) JOIN f USING (term) JOIN p USING (term) JOIN v USING (r) GROUP BY i, item_id, doc_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op12_ranked_search", OP12_SQL)
+def op12_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _with_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Key and text by the contract: one in ten documents, by the hash of its id, repeats its own words from some place on."""
     h = F.crc32(F.col(key).cast("string").cast("binary"))
