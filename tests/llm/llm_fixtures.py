@@ -5,7 +5,8 @@ DOCS = T.StructType([T.StructField(n, t()) for n, t in (
     ("doc_id", T.LongType), ("text", T.StringType), ("lang", T.StringType), ("source", T.StringType), ("n_chars", T.LongType))])
 
 #: Names that the operators use inside or for results; clashing columns must do no harm.
-CLASH = ("score", "bits", "node", "root", "key", "block", "word", "found", "both", "ids", "rank", "host", "order")
+CLASH = ("score", "bits", "node", "root", "key", "block", "word", "found", "both", "ids", "rank", "host", "order",
+         "n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "__row0", "__tokens0", "__key", "row", "first", "text_")
 
 
 @pytest.fixture

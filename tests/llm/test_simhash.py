@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_fixtures import docs, folder, odd  # noqa: F401
 
@@ -103,19 +104,28 @@ def test_links_of_four_lanes_with_sizes(spark, monkeypatch, tile):
 def test_one_of_each(spark, docs):
     pick = random.Random(2)
     words = [f"w{i}" for i in range(400)]
-    base = [pick.choice(words) for _ in range(300)]
-    near = [*base[:150], "other", *base[151:]]
+    base = [pick.choice(words) for _ in range(900)]
+    near = [*base[:450], "other", *base[451:]]
     far = [pick.choice(words) for _ in range(300)]
     rows = [(3, " ".join(base)), (2, " ".join(near)), (7, " ".join(base)), (7, " ".join(base)), (5, " ".join(far)), (None, " ".join(base)),
-            (8, None), (9, ""), (1, "short text")]
-    df = docs(rows, clash=True)
+            (8, None), (9, ""), (1, "short text"), (30, "long " * 60_000), (31, "LONG " * 60_000), (31, "LONG " * 60_000)]
+    df = docs(rows, clash=True).withColumns({"__row0": F.lit("mine"), "row": F.lit("mine"), "first": F.lit("mine")})
     kept = simhash.one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 8]
+    out = kept.collect()
+    assert sorted(r.doc_id for r in out) == [1, 2, 5, 8, 30] and {r["__row0"] for r in out} == {"mine"}
     assert simhash.one_of_each(docs([])).collect() == []
     assert [r.doc_id for r in simhash.one_of_each(docs([(None, "a b c"), (None, "a b c")])).collect()] == [None]
 
 
+def test_one_of_each_against_plain_components(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    roots = plain_components([plain_fingerprint(texts[i]) for i in ids], lambda a, b: (a ^ b).bit_count() <= 4)
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted({ids[r] for r in roots})
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (200, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -126,29 +136,3 @@ def test_components(spark):
 def test_bits_of_ties():
     assert simhash.bits_of(np.array([1, 0], np.uint64)) == bytes(8)
     assert simhash.bits_of(np.array([1, 1, 0], np.uint64)) == bytes(7) + b"\1"
-
-
-def shingles(text, k=5):
-    w = text.split()
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
-
-
-@pytest.mark.parametrize("tile", [16, 8192])
-def test_only_pairs_of_enough_jaccard_are_linked(spark, docs, monkeypatch, tile):
-    """Templated lines that share much, and texts with some words changed, against plain Jaccard."""
-    monkeypatch.setattr(simhash, "TILE", tile)
-    pick = random.Random(4)
-    texts = [f"t{i} of the same seven words and {x}{i}" for i in range(20) for x in "abc"]
-    for size in (8, 9, 30, 120):
-        for _ in range(12):
-            base = [f"w{pick.randrange(10**6)}" for _ in range(size)]
-            texts.append(" ".join(base))
-            for changes in (1, 2, 4):
-                near = list(base)
-                for place in pick.sample([0, *range(size // 2, size)], min(changes, size // 2)):
-                    near[place] = f"x{pick.randrange(10**6)}"
-                texts += [" ".join(near), " ".join(near[1:])]
-    sets = list(map(shingles, texts))
-    roots = plain_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9)
-    kept = simhash.one_of_each(docs(list(enumerate(texts))))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))

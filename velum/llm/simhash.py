@@ -7,22 +7,20 @@ if a ratio is asked for. With a small radius, groups are made by the pigeonhole
 ``radius + 2`` blocks of bits at least two are equal in any linked pair, so only fingerprints that
 agree in two blocks meet. With a larger radius all are one group.
 
-If the sets behind the fingerprints are given, the bits only find candidates: the fingerprints of a pair of
-tiles that have any meet again, with their sets, and are linked by the exact Jaccard similarity.
-
 Of the links in a pair of tiles a spanning forest is passed on, so many near copies give few rows and
 yet the same components. Copies share a fingerprint and are compared once.
 
 Null texts and texts without words have fingerprint zero and are linked like any other; a text of any
 length is read whole; repeated rows are in the same component. Null ids stay and are never the
-smallest id, unless no other is there. An empty table gives an empty result.
+smallest id, unless no other is there. An empty table gives an empty result. Further columns are not read
+by ``near_duplicates`` and stay as they are in ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +38,6 @@ TILE, STRIPE = 8_192, 64
 BLOCKED_RADIUS = 6
 #: Groups up to this size are compared by shifting the sorted rows against themselves.
 TINY = 8
-#: Of 256 bits of two sets with a Jaccard similarity of 0.8 or more, more than so many differ in fewer than one in a
-#: million pairs: 48 are expected for 4 of 5 shingles, the widest case, with a deviation of 6; 39 for large sets.
-CANDIDATE_BITS = 80
 _LANES = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -93,22 +88,6 @@ def fingerprint(text: Column | str, words: int = 4, lanes: int = 1, repeats: boo
     return made(text)
 
 
-def shingle_sets(text: Column | str, words: int, lanes: int) -> Column:
-    """``struct<bits binary, shingles long, hashes binary, node long>``: the fingerprint of the different shingles, these
-    themselves in order, and a hash of them."""
-
-    @F.arrow_udf("bits binary, shingles long, hashes binary, node long")
-    def made(column: pa.Array) -> pa.Array:
-        h = [np.unique(hashes(t, words)) for t in texts(column)]
-        raw = [x.astype("<u8").tobytes() for x in h]
-        nodes = np.array([xxhash.xxh64_intdigest(r, 7) for r in raw], np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays(
-            [pa.array([bits_of(x, lanes) for x in h], pa.binary()), pa.array(list(map(len, h)), pa.int64()), pa.array(raw, pa.binary()),
-             pa.array(nodes, pa.int64())], ["bits", "shingles", "hashes", "node"])
-
-    return made(text)
-
-
 class Forest:
     """Union-find over positions; a root is the smallest position of its set."""
 
@@ -182,32 +161,6 @@ def compare(lanes: np.ndarray, sizes: np.ndarray, side: np.ndarray, radius: int,
     return forest.root
 
 
-def confirm(lanes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Roots (positions) of the pairs within ``radius`` whose sets have a Jaccard similarity of ``similarity`` or more.
-
-    Pairs that are in one component already need no look; those of a row are counted at once.
-    """
-    forest, sizes = Forest(len(lanes)), np.fromiter(map(len, sets), np.int64, len(sets))
-    marked = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
-    ends = np.cumsum(sizes)
-    own = [marked[e - n : e] for e, n in zip(ends, sizes)]
-    mark = np.zeros(int(marked.max(initial=-1)) + 1, bool)
-    for i, j in near_pairs(lanes, sizes, side, radius, similarity):
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
-        for row, columns in zip(np.unique(i), np.split(j, np.flatnonzero(np.diff(i)) + 1)):
-            columns = columns[forest.root[columns] != forest.root[row]]
-            if not len(columns):
-                continue
-            mark[own[row]] = True
-            n = sizes[columns]
-            shared = np.add.reduceat(mark[np.concatenate([own[c] for c in columns])].astype(np.int64), np.cumsum(n) - n)
-            mark[own[row]] = False
-            alike = columns[shared >= similarity * (sizes[row] + n - shared) - 1e-9]
-            forest.join(np.full(len(alike), row), alike)
-    return forest.root
-
-
 def _keys(lanes: np.ndarray, radius: int) -> list[np.ndarray]:
     """Group numbers of fingerprints of one lane: equal in some group if at most ``radius`` bits differ."""
     bits = lanes[:, 0]
@@ -221,11 +174,10 @@ def _keys(lanes: np.ndarray, radius: int) -> list[np.ndarray]:
     return out
 
 
-def links(nodes: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0, sets: DataFrame | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0) -> DataFrame:
     """``(a, b)``: a spanning forest, or a little more, of the links among different ``(node, bits, size)``.
 
-    Linked are nodes whose bits differ in at most ``radius`` places and whose sizes are within ``ratio``. With ``sets``,
-    ``(node, hashes)``, these are candidates, and linked are those whose sets have a Jaccard similarity of ``ratio`` or more.
+    Linked are nodes whose bits differ in at most ``radius`` places and whose sizes are within ``ratio``.
     """
     blocked = radius <= BLOCKED_RADIUS and lanes == 1
     step = log(1 / ratio) if ratio else 1.0
@@ -240,10 +192,10 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0, set
                 yield pa.RecordBatch.from_arrays([pa.array(k), b.column("node"), b.column("bits"), b.column("size"),
                                                   pa.array(population), pa.array(length)], names=["key", "node", "bits", "size", "p", "l"])
 
-    def by_unit(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], _edges: Callable) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list = []
         for b in batches:
-            rest.append(b.select(columns))
+            rest.append(b.select(["key", "unit", "side", "node", "bits", "size"]))
             table = pa.Table.from_batches(rest).combine_chunks()
             unit = table["unit"].to_numpy()
             key = table["key"].to_numpy()
@@ -256,37 +208,6 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0, set
             table = pa.Table.from_batches(rest).combine_chunks()
             yield from _edges(table, np.array([0, len(table)]))
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from by_unit(batches, ("key", "unit", "side", "node", "bits", "size"), _edges)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from by_unit(batches, ("key", "unit", "side", "node", "bits", "size"), _candidates)
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from by_unit(batches, ("key", "unit", "side", "node", "bits", "hashes"), _confirmed)
-
-    def _units(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-        for start, end in zip(starts[starts < len(table)], np.append(starts, len(table))[1:]):
-            part = table.slice(start, min(end, len(table)) - start)
-            raw = np.frombuffer(b"".join(part["bits"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)
-            yield part, raw, part["side"].to_numpy()
-
-    def _candidates(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The rows that are in any pair of their unit."""
-        for part, raw, side in _units(table, starts):
-            met = np.zeros(len(part), bool)
-            for i, j in near_pairs(raw, part["size"].to_numpy(), side, radius, ratio):
-                apart = i != j
-                met[i[apart]] = met[j[apart]] = True
-            yield from part.select(["key", "unit", "side", "node", "bits"]).filter(pa.array(met)).combine_chunks().to_batches()
-
-    def _confirmed(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for part, raw, side in _units(table, starts):
-            node = part["node"].to_numpy()
-            root = confirm(raw, [np.frombuffer(h, "<u8") for h in part["hashes"].to_pylist()], side, radius, ratio)
-            linked = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
-
     def _edges(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, size, side = (table[c].to_numpy() for c in ("node", "size", "side"))
         raw = np.frombuffer(b"".join(table["bits"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)
@@ -344,10 +265,7 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0, set
     )
     whole = rows.join(large, "key", "left_anti").select("key", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), "node", "bits", "size")
     met = (whole.union(cut) if blocked else cut.union(whole)).repartition("key", "unit").sortWithinPartitions("key", "unit")
-    if sets is None:
-        return met.mapInArrow(compared, "a long, b long")
-    found = met.mapInArrow(candidates, "key long, unit long, side int, node long, bits binary").join(sets, "node")
-    return found.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(confirmed, "a long, b long")
+    return met.mapInArrow(compared, "a long, b long")
 
 
 def clusters(fingerprints: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0) -> DataFrame:
@@ -368,28 +286,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return made.join(named, "bits").select(F.col("__key").alias(key), F.lower(F.hex("bits")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-                lanes: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the row with the smallest key stays.
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest key stays.
 
-    Linked are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Candidates are those
-    whose fingerprints differ in at most ``CANDIDATE_BITS`` of 256 bits (in proportion for other ``lanes``; the bound holds
-    for a similarity from 0.8) and whose numbers of shingles are within that ratio, as those of similar sets must be; each
-    link is confirmed with the sets. Texts of equal sets are linked whatever their length. A key that
-    is null comes last, ties go to the smallest hash of the text, and of equal rows one stays.
+    Components are those of ``near_duplicates``. A key that is null comes last, ties go to the smallest hash of the
+    text, and of equal rows one stays.
     """
     row = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    made = docs.select(F.col(key).alias("__key"), row.alias("row"), shingle_sets(text, words, lanes).alias("f"))
-    made = materialize(made.select("__key", "row", "f.node", "f.bits", F.col("f.shingles").alias("size"), "f.hashes"), "fingerprints")
-    # Different sets below this size cannot be that similar.
-    least = ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1
-    nodes = materialize(made.filter(F.col("size") >= least).select("node", "bits", "size").distinct(), "nodes")
-    sets = made.groupBy("node").agg(F.first("hashes").alias("hashes"))
-    linked = components(links(nodes, CANDIDATE_BITS * lanes // 4, lanes, similarity, sets))
-    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("row").alias("row"))).alias("first")
-    stay = (
-        made.groupBy("node").agg(first).join(linked, "node", "left")
-        .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    )
-    kept = docs.withColumn("__row", row).join(stay.select(F.col("first.row").alias("__row")), "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*docs.columns)
+    made = docs.select(F.col(key).alias("__key"), row.alias("row"), fingerprint(text, words).alias("f"))
+    made = materialize(made.select("__key", "row", F.col("f.bits").alias("bits"), F.lit(0).cast("long").alias("size")), "fingerprints")
+    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), "row")).alias("first")
+    roots = clusters(made, radius).select("bits", "root")
+    stay = made.groupBy("bits").agg(first).join(roots, "bits").groupBy("root").agg(F.min("first").alias("first"))
+    mark = unused("row", docs)
+    kept = docs.withColumn(mark, row).join(stay.select(F.col("first.row").alias(mark)), mark, "left_semi")
+    return kept.dropDuplicates([mark]).select(*docs.columns)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"__{name}{i}" for i in range(len(taken) + 1)) if n not in taken)
