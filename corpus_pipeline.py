@@ -3,7 +3,8 @@
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``, works on all rows that the stage before it kept,
 and is written as Parquet and read again before the next one. All but the last return the columns of
 ``docs``, the last adds tokens. Null texts count as empty for every decision and stay null until they
-are encoded; an empty table passes through; further columns stay as they are.
+are encoded; an empty table passes through; further columns stay as they are, but for those named like one
+that the last stage adds, which give way to it. Null ids and repeated rows are documents like any other.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return simhash.one_of_each(docs)
+    """One row of each group of near duplicates: fingerprints of four-word shingles that differ in at most four bits."""
+    return simhash.one_of_each(docs, words=4, radius=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +51,16 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their tokens, and the digest of the text that the tokens decode to."""
     vocabulary = bpe.read_vocabulary(spark, os.path.join(TOKENIZERS, VOCABULARY))
-    both = docs.withColumn("token_ids", bpe.round_trip("text", vocabulary))
-    return both.select(
-        *docs.columns,
-        (F.length("token_ids.ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("token_ids.ids", 256).alias("ids_sha256"),
-        F.sha2("token_ids.decoded", 256).alias("decoded_sha256"),
-        F.col("token_ids.ids").alias("token_ids"),
-    )
+    made = simhash.unused("tokens", docs)
+    both = docs.withColumn(made, bpe.round_trip("text", vocabulary))
+    added = {
+        "n_tokens": (F.length(f"{made}.ids") / 4).cast("long"),
+        "ids_sha256": F.sha2(f"{made}.ids", 256),
+        "decoded_sha256": F.sha2(f"{made}.decoded", 256),
+        "token_ids": F.col(f"{made}.ids"),
+    }
+    kept = [c for c in docs.columns if c.lower() not in added]
+    return both.select(*kept, *[value.alias(name) for name, value in added.items()])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
