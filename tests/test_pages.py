@@ -145,3 +145,57 @@ def test_page_cap(spark):
 def test_page_pii(spark):
     row = P.page_pii_findings(page(spark, "<title>Team</title><p>Write to a@b.com</p>"), F.col("url")).first()
     assert (row.source, row.location, row.pii_type, row.severity, row.source_type) == ("https://example.com/a/b", "Team", "EMAIL", "high", "web")
+
+
+# --- tokens ---
+
+TRICKY = [
+    '<a title="x > y" href="/one">1</a>', "<a title='a>b' href=/two>2</a >", "<p>a < b and c > d</p>", '<a data-href="/no" href="/yes">x</a>',
+    '<a title=" href=/no " HREF = "/yes">x</a>', "<!-- <a href='/no'> --><b>text</b>", "<!-- open <a href=x>", "<script>if (a < b) '<a href=x>'</script>after",
+    "<style>a > b {}</style>", "<SCRIPT src='a>b'>x</SCRIPT\n>end", "<script>never closed <p>", "<div <p>nested</p>", "plain", "", "<", "a<", "</>x", "<3 hearts",
+    "<textarea><b>x</b></textarea>", '<img alt="a"b>c', "<a href='it''s'>q</a>", "<a title=it's href=/x>it's</a>", "<!doctype html><?xml version='1'?><p/>",
+    "<form action='/a>b'><input name='x>y'><form><input name=z></form><input name=out>", "<a\nhref\n=\n'/nl'\n>x</a>", "<scripty>s</scripty>",
+    "<p title='never closed>x</p> text <b>y</b>", "x" * 5000 + "<b " + "a=1 " * 3000 + ">end</b>", "<a " + "x" * 100_000 + ">t</a>",
+]
+
+
+def test_tokens_are_the_page(spark):
+    from velum.functions import markup
+
+    df = spark.createDataFrame(list(enumerate(TRICKY)), "i int, html string")
+    rows = df.select("html", markup.tokens(F.col("html")).alias("t"), markup.with_offsets(markup.tokens(F.col("html"))).alias("o")).collect()
+    for r in rows:
+        assert "".join(r.t) == r.html
+        assert [r.html[o.start : o.end] for o in r.o] == r.t
+    by = {r.html: r for r in rows}
+    assert by[TRICKY[0]].t == ['<a title="x > y" href="/one">', "1", "</a>"] and [o.name for o in by[TRICKY[0]].o] == ["a", "", "/a"]
+    assert by[TRICKY[2]].t == ["<p>", "a ", "<", " b and c > d", "</p>"]
+    assert by[TRICKY[7]].t == [TRICKY[7][: TRICKY[7].index("after")], "after"]
+    assert by[TRICKY[10]].t == [TRICKY[10]] and by[TRICKY[6]].t == [TRICKY[6]]
+
+
+@pytest.mark.parametrize("html, text", [
+    (TRICKY[0], "1"), (TRICKY[2], "a < b and c > d"), (TRICKY[5], "text"), (TRICKY[7], "after"), (TRICKY[9], "end"), (TRICKY[17], "<3 hearts"),
+    (TRICKY[22], ""), ("a\u00a0 \n\t b  c\u2028d e \x1c", "a\nb\nc\nd e"), ("  a\tb  ", "a\tb"), (None, None)])
+def test_text_of_tricky_pages(spark, html, text):
+    assert page(spark, html).select(P.page_text(F.col("html")).alias("t")).first().t == text
+
+
+def test_links_of_tricky_pages(spark):
+    want = {0: ["/one"], 1: ["/two"], 3: ["/yes"], 4: ["/yes"], 5: [], 6: [], 7: [], 21: ["/x"], 24: ["/nl"]}
+    df = spark.createDataFrame([(i, TRICKY[i]) for i in want], "i int, html string")
+    for r in df.select("i", P.anchors(F.col("html")).alias("a")).collect():
+        assert [a.href for a in r.a] == want[r.i], TRICKY[r.i]
+
+
+def test_forms_of_tricky_pages(spark):
+    rows = page(spark, TRICKY[23]).select(F.inline(P.forms(F.col("html")))).collect()
+    assert [(r.action, [i.name for i in r.inputs]) for r in rows] == [("/a>b", ["x>y", "z"])]
+    rows = page(spark, "</form><form><input name=a>").select(F.inline(P.forms(F.col("html")))).collect()
+    assert [[i.name for i in r.inputs] for r in rows] == [["a"]]
+
+
+@pytest.mark.parametrize("html, title", [("<title>A &amp; <b>B</title>x<title>C</title>", "A & <b>B"), ("<!-- <title>no</title> --><TITLE\n>yes</TITLE >", "yes"),
+                                         ("<title>open", ""), ("", "")])
+def test_titles(spark, html, title):
+    assert page(spark, html).select(P.title(F.col("html")).alias("t")).first().t == title

@@ -63,6 +63,45 @@ def running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Col
     return F.aggregate(F.sequence(F.lit(0), F.greatest(rounds - 1, F.lit(0))), numbers, step)
 
 
+def _rounds(n: Column) -> Column:
+    """0, 1, … for as many doublings as reach ``n``."""
+    return F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1)).cast("int") - 1)
+
+
+def below(ordered: Column, limits: Column) -> Column:
+    """For each limit, how many numbers of an ascending array are smaller: a binary search of all limits at once."""
+
+    def search(at: Column, limit: Column) -> Column:
+        def step(done: Column, k: Column) -> Column:
+            to = done + F.call_function("shiftleft", F.lit(1), k)
+            return F.when(F.get(ordered, to - 1) < limit, to).otherwise(done)
+
+        return F.aggregate(F.reverse(at), F.lit(0), step)
+
+    return let(_rounds(F.size(ordered)), lambda at: F.transform(limits, lambda x: search(at, x)))
+
+
+def chain(following: Column) -> Column:
+    """Numbers of the elements on the way from the first one, where each element leads to the one its entry names (a later
+    one, or past the end).
+
+    In round k the way known so far, of ``2**k`` elements, is put behind itself, every element moved on ``2**k`` places.
+    Arrays are copied log2(n) times, not n times.
+    """
+    def way(follow: Column) -> Column:
+        size = F.size(follow)
+
+        def step(state: Column, _: Column) -> Column:
+            jumps = state["jump"]
+            further = F.filter(F.transform(state["way"], lambda i: F.get(jumps, i)), lambda i: i < size)
+            return F.struct(F.transform(jumps, lambda i: F.coalesce(F.get(jumps, i), i)).alias("jump"), F.concat(state["way"], further).alias("way"))
+
+        start = F.struct(follow.alias("jump"), F.array(F.lit(0)).alias("way"))
+        return F.aggregate(_rounds(size), start, step, lambda state: state["way"])
+
+    return let(following, way)
+
+
 def pieces(text: Column) -> Column:
     """A text cut into pieces of ``PIECE`` characters, from which ``cut`` takes parts without counting from its start."""
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))

@@ -213,7 +213,11 @@ def pattern_catalog(spark: SparkSession, patterns: Sequence[Pattern] = VALIDATED
 
 
 def resolve_overlaps(found: Column) -> Column:
-    """Keep a set of hits that do not overlap: earliest start, then longest, then surest."""
+    """Keep a set of hits that do not overlap: earliest start, then longest, then surest.
+
+    Each hit knows the next one that is free of it; the kept ones are the chain from the first, which
+    ``spans.chain`` follows in steps that double.
+    """
     keyed = F.transform(
         found,
         lambda d: F.struct(
@@ -222,30 +226,13 @@ def resolve_overlaps(found: Column) -> Column:
         ),
     )
 
-    def greedy(cluster: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            free = k["hit"]["start"] >= acc["pos"]
-            return F.struct(
-                F.when(free, k["hit"]["end"]).otherwise(acc["pos"]).alias("pos"),
-                F.when(free, F.array_append(acc["out"], k["hit"])).otherwise(acc["out"]).alias("out"),
-            )
-
-        zero = F.struct(F.lit(0).alias("pos"), spans.no_detections().alias("out"))
-        return F.when(F.size(cluster) == 1, F.array(F.get(cluster, F.lit(0))["hit"])).otherwise(
-            F.aggregate(cluster, zero, step, lambda acc: acc["out"]))
-
-    # A hit that starts behind the ends of all before it opens a cluster; clusters do not touch each other,
-    # so only hits that overlap in a chain are gone through one by one.
-    def clustered(hits: Column, ends: Column) -> Column:
-        opens = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: (i == 0) | (F.get(hits, i)["a"] >= F.get(ends, i - 1)))
-        return spans.let(opens, lambda at: F.flatten(F.transform(at, lambda start, n: greedy(
-            F.slice(hits, start + 1, F.coalesce(F.get(at, n + 1), F.size(hits)) - start)))))
-
-    def of(hits: Column) -> Column:
-        ends = spans.running(F.transform(hits, lambda k: -k["b"]), lambda a, b: F.greatest(a, b))
-        return F.when(F.size(hits) == 0, spans.no_detections()).otherwise(spans.let(ends, lambda e: clustered(hits, e)))
-
-    return spans.let(F.array_sort(keyed), of)
+    def kept(hits: Column) -> Column:
+        starts = F.transform(hits, lambda k: k["a"])
+        following = spans.let(starts, lambda s: F.transform(spans.below(s, F.transform(hits, lambda k: -k["b"])), lambda n, i: F.greatest(n, i + 1)))
+        chosen = F.transform(spans.chain(following), lambda i: F.get(hits, i)["hit"])
+        return F.when(F.size(hits) > 1, chosen).otherwise(F.transform(hits, lambda k: k["hit"]))
+
+    return spans.let(F.array_sort(keyed), kept)
 
 
 def text_sections(df: DataFrame, text: str, source: Column, section_id: Column) -> DataFrame:

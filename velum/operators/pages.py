@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velum.functions import markup
 from velum.functions.patterns import DOCUMENT, Pattern
+from velum.functions.spans import let
 from velum.functions.text import is_web_url, unescape
 from velum.operators.detect import detect
 from velum.operators.findings import REDACTED, conform, finding_id, to_findings
@@ -29,46 +31,38 @@ SECURITY_HEADERS = {
     "x_content_type_options": "x-content-type-options",
 }
 DEFAULT_PAGE_CAP = 50
+#: Column with the tokens of a page, made once for all that is read from them.
+TOKENS = "__tokens"
 
-_HIDDEN = r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>"
-_COMMENT = r"(?s)<!--.*?-->|<![^>]*>"
-_TAG = r"<[^>]+>"
-_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085\u2028\u2029]| {2}"
-_EDGE = r"^[\s\u00A0]+|[\s\u00A0]+$"
-_LINK = r"(?is)<a(?:\s[^>]*)?>.*?(?=<a[\s>]|</a[\s>]|\z)"  # up to the next link where one is not closed
-_FORM = r"(?is)<form\b[^>]*>.*?(?:</form\s*>|\z)"
-_FIELD = r"(?is)<(?:input|textarea|select)\b[^>]*>"
+# Line breaks and double spaces part the text; white space beside them goes.
+_SPACES = r"\s\u00A0\x1C-\x1E\u0085\u2028\u2029"
+_BREAK = rf"(?:(?! {{2}})[ \t\u00A0])*+(?: {{2}}|[\n\x0B\f\r\x1C-\x1E\u0085\u2028\u2029])[{_SPACES}]*+"
+_EDGE = r"^[\s\u00A0]++|[\s\u00A0]++$"
 
 
-def visible(html: Column) -> Column:
-    """Markup without scripts, styles, noscript blocks and comments. Scripts go first: they may hold tags."""
-    return F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), _COMMENT, "")
+def _found(html: Column) -> Column:
+    """The token array of a page. Functions with a parameter ``found`` take it instead of the page."""
+    return markup.tokens(html)
 
 
-def page_text(html: Column) -> Column:
+def page_text(html: Column, found: Column | None = None) -> Column:
     """Readable text: one chunk per line, split at tags and double spaces, blanks dropped."""
-    lines = F.split(unescape(F.regexp_replace(visible(html), _TAG, "\n")), _BREAK)
-    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, _EDGE, ""))
-    return F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
+    lines = unescape(markup.lined(_found(html) if found is None else found))
+    return F.regexp_replace(F.regexp_replace(lines, _BREAK, "\n"), _EDGE, "")
 
 
 def attributes(tag: Column, *names: str) -> Column:
     """Values of attributes of a tag as an array, null where missing; double, single or no quotes."""
+    values = let(markup.attribute_list(tag), lambda found: F.array(*[markup.attribute(found, n) for n in names]))
+    return F.transform(values, unescape)
 
-    def raw(name: str) -> Column:
-        return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
 
-    values = F.array(*[raw(n) for n in names])
-    bare = F.transform(values, lambda v: F.when(v != "", F.regexp_replace(v, r"""^["']|["']$""", "")))
-    return F.transform(bare, unescape)
+def title(html: Column, found: Column | None = None) -> Column:
+    return unescape(markup.title(_found(html) if found is None else found))
 
 
-def title(html: Column) -> Column:
-    return unescape(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
-
-
-def link_count(html: Column) -> Column:
-    return F.regexp_count(visible(html), F.lit(r"(?i)<a[\s>]"))
+def link_count(html: Column, found: Column | None = None) -> Column:
+    return F.size(F.filter(_found(html) if found is None else found, lambda t: markup.is_tag(t, "a")))
 
 
 def host(url: Column) -> Column:
@@ -115,17 +109,10 @@ def _without_dots(path: Column) -> Column:
     return F.when(main.rlike(r"(^|/)\.\.?(/|$)"), F.concat(clean, slash, rest)).otherwise(path)
 
 
-def anchors(html: Column) -> Column:
+def anchors(html: Column, found: Column | None = None) -> Column:
     """``array<struct(href, text)>`` of the links that have an address."""
-    tags = F.regexp_extract_all(visible(html), F.lit(_LINK), F.lit(0))
-    read = F.transform(
-        tags,
-        lambda a: F.struct(
-            attributes(F.regexp_extract(a, r"(?is)^<a(?:\s[^>]*)?>", 0), "href").alias("found"),
-            F.regexp_replace(a, _TAG, "").alias("text"),
-        ),
-    )
-    pairs = F.transform(read, lambda p: F.struct(F.get(p["found"], F.lit(0)).alias("href"), unescape(p["text"]).alias("text")))
+    links = let(_found(html) if found is None else found, markup.links)
+    pairs = F.transform(links, lambda a: F.struct(F.get(attributes(a["tag"], "href"), F.lit(0)).alias("href"), unescape(a["text"]).alias("text")))
     return F.filter(pairs, lambda p: p["href"].isNotNull())
 
 
@@ -138,17 +125,17 @@ def internal_links(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), h
     return resolved.filter(host(F.col("link")) == host(F.col("__url"))).drop("__url")
 
 
-def has_privacy_policy(html: Column) -> Column:
+def has_privacy_policy(html: Column, found: Column | None = None) -> Column:
     """Whether the text or address of some link speaks of a privacy policy."""
     wanted = "|".join(POLICY_WORDS)
-    return F.exists(anchors(html), lambda a: F.lower(F.concat_ws("\n", a["href"], a["text"])).rlike(wanted))
+    return F.exists(anchors(html, found), lambda a: F.lower(F.concat_ws("\n", a["href"], a["text"])).rlike(wanted))
 
 
 def _mentions(text: Column, words: Sequence[str]) -> Column:
     return F.coalesce(F.lower(text).rlike("|".join(words)), F.lit(False))
 
 
-def forms(html: Column) -> Column:
+def forms(html: Column, found: Column | None = None) -> Column:
     """``array<struct(action, method, inputs, collects_pii)>`` of a page."""
 
     def field(found: Column) -> Column:
@@ -162,10 +149,9 @@ def forms(html: Column) -> Column:
         )
 
     def read(form: Column) -> Column:
-        tags = F.regexp_extract_all(form, F.lit(_FIELD), F.lit(0))
         return F.struct(
-            attributes(F.regexp_extract(form, r"(?is)^<form\b[^>]*>", 0), "action", "method").alias("head"),
-            F.transform(F.transform(tags, lambda t: attributes(t, "name", "type", "placeholder")), field).alias("inputs"),
+            attributes(form["tag"], "action", "method").alias("head"),
+            F.transform(F.transform(form["fields"], lambda t: attributes(t, "name", "type", "placeholder")), field).alias("inputs"),
         )
 
     def shape(found: Column) -> Column:
@@ -176,8 +162,7 @@ def forms(html: Column) -> Column:
             F.exists(found["inputs"], lambda i: i["may_collect_pii"]).alias("collects_pii"),
         )
 
-    tags = F.regexp_extract_all(visible(html), F.lit(_FORM), F.lit(0))
-    return F.transform(F.transform(tags, read), shape)
+    return F.transform(F.transform(let(_found(html) if found is None else found, markup.forms), read), shape)
 
 
 def cookie_class(name: Column) -> Column:
@@ -205,13 +190,15 @@ def analyze_pages(pages: DataFrame, *, html: str = "html", url: str = "url") ->
     headers = F.col("headers") if "headers" in cols else None
     cookies = F.col("cookies") if "cookies" in cols else F.array().cast(
         "array<struct<name:string,secure:boolean,httponly:boolean,samesite:string>>")
-    return pages.select(
-        "*",
-        page_text(F.col(html)).alias("text"),
-        title(F.col(html)).alias("title"),
-        link_count(F.col(html)).alias("links_count"),
-        has_privacy_policy(F.col(html)).alias("has_privacy_policy"),
-        forms(F.col(html)).alias("forms"),
+    page, found = F.col(html), F.col(TOKENS)
+    tokenised = pages.withColumn(TOKENS, markup.tokens(page))
+    return tokenised.select(
+        *[F.col(f"`{c}`") for c in cols],
+        page_text(page, found).alias("text"),
+        title(page, found).alias("title"),
+        link_count(page, found).alias("links_count"),
+        has_privacy_policy(page, found).alias("has_privacy_policy"),
+        forms(page, found).alias("forms"),
         F.transform(cookies, lambda c: c.withField("type", cookie_class(c["name"]))).alias("cookie_types"),
         security(F.col(url), headers).alias("security"),
     )
@@ -350,8 +337,10 @@ def page_pii_findings(
                      F.col(html).alias("__html")),
         "__key",
     )
-    texts = source.select(
-        "__key", "__scan", "__url", title(F.col("__html")).alias("__title"), page_text(F.col("__html")).alias("text")
+    tokenised = source.withColumn(TOKENS, markup.tokens(F.col("__html")))
+    texts = tokenised.select(
+        "__key", "__scan", "__url", title(F.col("__html"), F.col(TOKENS)).alias("__title"),
+        page_text(F.col("__html"), F.col(TOKENS)).alias("text")
     )
     hits = detect(texts, "text", ["__key", "__scan", "__url", "__title"], patterns, spread_input=False)
     return to_findings(hits, scan_id=F.col("__scan"), source=F.col("__url"), location=F.col("__title"), source_type="web")
