@@ -1,5 +1,7 @@
 """Decontamination: odd rows, spans and offsets; whole results are compared with SQL by ``tests/test_queries.py``."""
 
+import random
+
 from llm_fixtures import docs  # noqa: F401
 
 from velum.llm import decontam
@@ -11,7 +13,7 @@ def bench(spark, rows):
 
 def found(spark, docs, items, texts, **kw):
     df = docs(list(enumerate(texts)), clash=True)
-    rows = df.select("doc_id", decontam.contamination(bench(spark, items), "text", **kw).alias("f")).collect()
+    rows = decontam.contamination(df, bench(spark, items), out="f", **kw).select("doc_id", "f").collect()
     return [r.f for r in sorted(rows)]
 
 
@@ -37,8 +39,25 @@ def test_empty_tables(spark, docs):
     assert found(spark, docs, [("a", "b")], []) == []
 
 
-def test_a_benchmark_that_is_too_large_is_refused(spark):
-    import pytest
+def test_a_benchmark_in_parts_gives_the_same(spark, docs, monkeypatch):
+    """Above the size of an automaton: windows in parts, hits united, against one automaton."""
+    pick = random.Random(3)
+    prose = lambda n: " ".join(pick.choice(["Aa", "b", "c,", "dé", "e", "f", "g-h", "I"]) for _ in range(n))
+    items = [(f"i{i}", prose(pick.randint(3, 12))) for i in range(40)] + [("none", None), ("i1", prose(9))]
+    texts = [prose(pick.randint(0, 80)) for _ in range(60)] + [None, "", "zz"]
+    whole = found(spark, docs, items, texts, words=4)
+    monkeypatch.setattr(decontam, "MAX_WINDOWS", 30)
+    assert found(spark, docs, items, texts, words=4) == whole
+    assert sum(len(r.spans) > 1 for r in whole) > 5 and found(spark, docs, items, [], words=4) == []
+
+
+def test_the_query_in_parts_equals_its_sql(spark, sf, monkeypatch):
+    import duckdb
+
+    from velum.llm.queries import ORACLES, QUERIES
 
-    with pytest.raises(ValueError):
-        decontam.windows_of(bench(spark, [("a", "a b c d e f")]), "item_id", "text", 2, limit=3)
+    monkeypatch.setattr(decontam, "MAX_WINDOWS", 300)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert sorted(map(tuple, QUERIES["op8_decontamination"](spark, sf).collect())) == sorted(con.execute(ORACLES["op8_decontamination"]).fetchall())

@@ -42,6 +42,8 @@ WIDTHS = (8, 16, 32, 64)
 _WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDTHS[-1] + 1)]
 #: Characters of text that are tokenised together; a longer text is taken alone.
 TOGETHER = 4_000_000
+#: Texts of a batch that exist as Python objects at once.
+SLICE = 512
 #: Words that are merged in one array, which then fits a core's cache.
 ROWS = 4096
 _NONE = np.int32(2**31 - 1)
@@ -335,8 +337,12 @@ def round_trip(text: Column | str, vocabulary) -> Column:
     @F.arrow_udf("ids binary, decoded string")
     def both(column: pa.Array) -> pa.Array:
         t = _tokenizer(vocabulary.value)
-        ids = t.encode([x or "" for x in column.to_pylist()])
-        return pa.StructArray.from_arrays(
-            [pa.array(ids, pa.binary()), pa.array(t.decode(ids), pa.string())], ["ids", "decoded"])
+        kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+        parts = []
+        # A few texts at a time exist as Python objects; the batch is held in Arrow's form only.
+        for at in range(0, len(column), SLICE):
+            ids = t.encode([x or "" for x in column.slice(at, SLICE).to_pylist()])
+            parts.append(pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(t.decode(ids), pa.string())], fields=list(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return both(text)

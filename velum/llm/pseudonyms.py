@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from velum.functions.spans import below, chain
+
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days from 1900 to 2099
 
@@ -204,8 +206,51 @@ def _date(h: Column, key: str) -> Column:
 
         return F.when(h.rlike(shape), _let(F.try_to_date(h, format), permuted))
 
-    slash = r"^\d{2}/"
-    return F.coalesce(of("yyyy-MM-dd", r"^\d{4}-"), of("dd.MM.yyyy", r"^\d{2}\."), of("dd/MM/yyyy", slash), of("MM/dd/yyyy", slash))
+    return F.coalesce(of("yyyy-MM-dd", r"^\d{4}-"), of("dd.MM.yyyy", r"^\d{2}\."), F.when(h.rlike(r"^\d{2}/"), _slash_date(h, key)))
+
+
+#: Days of the months, and days from the 13th on in the months before each, without leap days.
+_MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+_LATE_BEFORE = tuple(sum(_MONTHS[:m]) - 12 * m for m in range(12))
+_LATE = sum(_MONTHS) - 12 * 12
+YEARS, LEAP_DAYS = (1900, 200), (1904, 49)  # first and number of the years, and of the leap years, which are four years apart
+
+
+def _slash_date(h: Column, key: str) -> Column:
+    """Dates with slashes may be read day first or month first, so the strings are permuted that are a date in either
+    reading: those with two numbers up to 12 among themselves; those with a later day among the strings of their order
+    of day and month; leap days among leap days. Every string has one place in one of these, so none is made twice.
+    """
+    a, b, year = (F.substr(h, F.lit(at), F.lit(n)).cast("int") for at, n in ((1, 2), (4, 2), (7, 4)))
+
+    def of(d: Column) -> Column:
+        a, b, year = d["a"], d["b"], d["year"]
+        day, month, day_first = F.greatest(a, b), F.least(a, b), a > b
+        leap = (month == 2) & (day == 29) & (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+
+        def table(values: tuple[int, ...], at: Column) -> Column:
+            return F.get(F.array(*map(F.lit, values)), at)
+
+        def shown(p: Column, q: Column, y: Column) -> Column:
+            return F.format_string("%02d/%02d/%04d", p.cast("int"), q.cast("int"), y.cast("int"))
+
+        def ordered(day_: Column, month_: Column, y: Column) -> Column:
+            return F.when(day_first, shown(day_, month_, y)).otherwise(shown(month_, day_, y))
+
+        def late(p: Column) -> Column:
+            month_ = F.size(F.filter(F.array(*map(F.lit, _LATE_BEFORE)), lambda n: n <= p["x"]))
+            return ordered(p["x"] - table(_LATE_BEFORE, month_ - 1) + 13, month_, p["y"] + YEARS[0])
+
+        early = feistel_pair((a - 1) * 12 + b - 1, year - YEARS[0], (144, YEARS[1]), key, "date/")
+        late_ = feistel_pair(table(_LATE_BEFORE, month - 1) + day - 13, year - YEARS[0], (_LATE, YEARS[1]), key, "late/")
+        number = F.floor((year - LEAP_DAYS[0]) / 4)
+        leap_ = feistel_pair(F.floor(number / 7), number % 7, (7, LEAP_DAYS[1] // 7), key, "leap/")
+        return F.when(~year.between(YEARS[0], YEARS[0] + YEARS[1] - 1) | (month < 1) | (month > 12), None).when(
+            day <= 12, _let(early, lambda p: shown(F.floor(p["x"] / 12) + 1, p["x"] % 12 + 1, p["y"] + YEARS[0]))).when(
+            leap, _let(leap_, lambda p: ordered(F.lit(29), F.lit(2), LEAP_DAYS[0] + 4 * (p["x"] * 7 + p["y"])))).when(
+            day <= table(_MONTHS, month - 1), _let(late_, late))
+
+    return _let(F.struct(a.alias("a"), b.alias("b"), year.alias("year")), of)
 
 
 def _phone(h: Column, key: str) -> Column:
@@ -275,25 +320,31 @@ def _in_run(run: Column) -> Column:
             counts = F.sequence(F.lit(1), F.least(F.lit(34), F.size(groups) - i))
             return F.when(F.get(groups, i).rlike("^[ -]?(?:[A-Z]{2}[0-9]{2}|[0-9])"), F.array_max(F.transform(counts, ranked)))
 
-        def chosen(state: Column, x: Column) -> Column:
-            one = F.struct(state["next"].alias("first"), x["i"].alias("i"), x["s"].alias("s"))
-            return F.when(x["i"] >= state["next"], F.struct(
-                (x["i"] + x["size"]).alias("next"), F.concat(state["out"], F.array(one)).alias("out"))).otherwise(state)
-
-        def pieces(state: Column) -> Column:
-            def shown(x: Column) -> Column:
+        def shown(kept: Column) -> Column:
+            def one(x: Column, n: Column) -> Column:
+                before = F.get(kept, n - 1)
+                first = F.coalesce(before["i"] + before["size"], F.lit(0))
                 lead = F.regexp_extract(F.get(groups, x["i"]), "^[ -]", 0)
-                between = F.concat(F.array_join(F.slice(groups, x["first"] + 1, x["i"] - x["first"]), ""), lead)
+                between = F.concat(F.array_join(F.slice(groups, first + 1, x["i"] - first), ""), lead)
                 return F.array(_piece(between, False), _piece(x["s"], True))
 
-            rest = F.array_join(F.slice(groups, state["next"] + 1, F.size(groups)), "")
-            return F.concat(F.flatten(F.transform(state["out"], shown)), F.array(_piece(rest, False)))
+            end = F.coalesce(F.array_max(F.transform(kept, lambda x: x["i"] + x["size"])), F.lit(0))
+            rest = F.array_join(F.slice(groups, end + 1, F.size(groups)), "")
+            return F.concat(F.flatten(F.transform(kept, one)), F.array(_piece(rest, False)))
+
+        def chosen(all_: Column) -> Column:
+            # A candidate spans 34 groups at most, so only so many behind it can be within it.
+            def beaten(x: Column) -> Column:
+                return F.exists(F.slice(all_, x["i"] + 2, x["size"] - 1), lambda y: F.coalesce(y["rank"] > x["rank"], F.lit(False)))
+
+            valid = F.filter(all_, lambda x: F.coalesce(x["rank"] > 0, F.lit(False)) & ~beaten(x))
+            # Each leads to the next one that starts behind it.
+            following = _let(valid, lambda v: F.transform(below(F.transform(v, lambda x: x["i"]), F.transform(v, lambda x: x["i"] + x["size"])),
+                                                          lambda n, i: F.greatest(n, i + 1)))
+            return _let(valid, lambda v: F.when(F.size(v) < 2, v).otherwise(F.transform(chain(following), lambda i: F.get(v, i))))
 
-        valid = F.filter(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), best), lambda x: x["rank"] > 0)
-        valid = _let(valid, lambda all: F.filter(all, lambda x: ~F.exists(
-            all, lambda y: (y["rank"] > x["rank"]) & (y["i"] > x["i"]) & (y["i"] < x["i"] + x["size"]))))
-        empty = F.array().cast("array<struct<first:int,i:int,s:string>>")
-        return _let(F.aggregate(valid, F.struct(F.lit(0).alias("next"), empty.alias("out")), chosen), pieces)
+        # One candidate a group, null where none starts.
+        return _let(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), best), lambda all_: _let(chosen(all_), shown))
 
     return _let(F.regexp_extract_all(run, F.lit("[ -]?[^ -]+"), F.lit(0)), of)
 

@@ -114,18 +114,14 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 @query("op8_decontamination", OP8_SQL)
 def op8_decontamination(spark, sf_dir):
-    found = decontam.contamination(table(spark, sf_dir, "benchmark"), "text")
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", found.alias("found"))
-        .select(
-            "doc_id",
-            "found.n_words",
-            "found.n_hit",
-            F.size("found.item_ids").cast("long").alias("n_items"),
-            F.sha2(F.array_join("found.item_ids", ","), 256).alias("items_sha256"),
-            (F.col("found.n_hit") > 0).alias("contaminated"),
-        )
+    found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.item_ids", ","), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
     )
 
 

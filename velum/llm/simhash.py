@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.llm.components import components
-from velum.llm.tokens import texts
+from velum.llm.tokens import each_text, unused
 from velum.session import materialize
 
 #: Fingerprints in a tile, and rows of a tile that are compared with another tile at once.
@@ -81,9 +81,12 @@ def fingerprint(text: Column | str, words: int = 4, lanes: int = 1, repeats: boo
 
     @F.arrow_udf("bits binary, shingles long")
     def made(column: pa.Array) -> pa.Array:
-        h = [hashes(t, words) if repeats else np.unique(hashes(t, words)) for t in texts(column)]
-        return pa.StructArray.from_arrays([pa.array([bits_of(x, lanes) for x in h], pa.binary()),
-                                           pa.array(list(map(len, h)), pa.int64())], ["bits", "shingles"])
+        bits, counts = [], []
+        for t in each_text(column):
+            h = hashes(t, words) if repeats else np.unique(hashes(t, words))
+            bits.append(bits_of(h, lanes))
+            counts.append(len(h))
+        return pa.StructArray.from_arrays([pa.array(bits, pa.binary()), pa.array(counts, pa.int64())], ["bits", "shingles"])
 
     return made(text)
 
@@ -301,9 +304,3 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
     mark = unused("row", docs)
     kept = docs.withColumn(mark, row).join(stay.select(F.col("first.row").alias(mark)), mark, "left_semi")
     return kept.dropDuplicates([mark]).select(*docs.columns)
-
-
-def unused(name: str, df: DataFrame) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    return next(n for n in (f"__{name}{i}" for i in range(len(taken) + 1)) if n not in taken)

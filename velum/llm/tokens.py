@@ -1,11 +1,13 @@
-"""Byte-level views of texts that several operators share. All helpers work inside tasks."""
+"""What several operators share: byte-level views of texts, for use inside tasks, and free column names."""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _ASCII = bytes(range(128))
 _LETTERS_DIGITS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
@@ -19,10 +21,22 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def each_text(column: pa.Array | pa.ChunkedArray, rows: int = 512) -> Iterator[bytes]:
+    """The same one after another, ``rows`` of them as Python objects at once."""
+    for at in range(0, len(column), rows):
+        yield from texts(column.slice(at, rows))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"__{name}{i}" for i in range(len(taken) + 1)) if n not in taken)
+
+
 class WordIds(dict):
     """CRC-32 of a word, remembered for up to ``limit`` words; the numbers never depend on what is remembered."""
 
-    limit = 1_000_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         value = zlib.crc32(word)

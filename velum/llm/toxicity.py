@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.llm.linear import bounded_sample
-from velum.llm.tokens import ALNUM, WordIds, mixed, texts
+from velum.llm.tokens import ALNUM, WordIds, each_text, mixed, texts
 
 BITS = 20
 #: Labelled rows that are used to fit at most; a model of this kind gains nothing from more.
@@ -108,7 +108,7 @@ def score(text: Column | str, model: dict) -> Column:
         ids = WordIds()
         for column in batches:
             sums = np.full(len(column), model["intercept"])
-            for i, raw in enumerate(texts(column)):
+            for i, raw in enumerate(each_text(column)):
                 at = features(raw, ids, model["bits"])
                 at = np.unique(at[weights[at] != 0])
                 sums[i] += weights[at].sum(dtype=np.float64)
