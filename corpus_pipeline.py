@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from velum.llm import bpe, decontam, pseudonyms, simhash, toxicity
 from velum.llm.linear import remainder
 from velum.llm.queries import KEY, TOKENIZERS, VOCABULARY, table
+from velum.llm.tokens import unused
 from velum.session import materialize
 
 TOXIC = 0.3
@@ -36,8 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share no window of ten words with the benchmark."""
-    found = decontam.contamination(table(spark, sf_dir, "benchmark"), "text")
-    return docs.filter(found["n_hit"] == 0)
+    found = unused("found", docs)
+    scanned = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), out=found)
+    return scanned.filter(F.col(found)["n_hit"] == 0).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their tokens, and the digest of the text that the tokens decode to."""
     vocabulary = bpe.read_vocabulary(spark, os.path.join(TOKENIZERS, VOCABULARY))
-    made = simhash.unused("tokens", docs)
+    made = unused("tokens", docs)
     both = docs.withColumn(made, bpe.round_trip("text", vocabulary))
     added = {
         "n_tokens": (F.length(f"{made}.ids") / 4).cast("long"),
