@@ -110,3 +110,40 @@ def test_replacement_map_last_type_wins(spark):
     df = spark.createDataFrame([("a@b.com", "EMAIL", 1), ("a@b.com", "OTHER", 2), ("x", "SSN", 3)], "content string, pii_type string, seq int")
     got = {r.value: r.replacement for r in A.replacement_map(df, F.col("seq")).collect()}
     assert got["a@b.com"] == "" and got["x"].startswith("[HASH:")
+
+
+def test_many_values_at_once_give_the_sequential_text(spark, monkeypatch):
+    """Random texts whose values touch, contain and create each other, against one replacement after another."""
+    import random
+
+    from velum.operators import anonymize as A
+
+    def new(v):
+        return v[::-1] + ("" if len(v) > 4 else "zz")
+
+    monkeypatch.setattr(A, "MANY", 2)
+    monkeypatch.setattr(A, "_replacement", lambda d, *_: F.concat(F.reverse(d["value"]), F.when(F.length(d["value"]) > 4, "").otherwise("zz")))
+    rows, want = [], []
+    for seed in range(1200):
+        pick = random.Random(seed)
+        letters = ("ab", "abcdefghij", "abcdefghijklmnopqrstuvwxyz0123456789")[seed % 3]
+        text, hits = "", []
+        for _ in range(pick.randint(3, 12)):
+            text += "".join(pick.choice(letters + " 🙂") for _ in range(pick.randint(0, 5)))
+            value = "".join(pick.choice(letters) for _ in range(pick.randint(3, 9)))
+            hits.append(("EMAIL", "E", len(text), len(text) + len(value), value, 0.5))
+            text += value
+        text += "".join(pick.choice(letters) for _ in range(pick.randint(0, 5)))
+        pick.shuffle(hits)
+        done = text
+        for value in dict.fromkeys(h[4] for h in hits):
+            done = done.replace(value, new(value))
+        rows.append((seed, text, hits))
+        want.append(done)
+    df = spark.createDataFrame(rows, f"i int, t string, d {DETECTIONS}")
+    got = df.select("i", A.text_by_value(F.col("t"), F.col("d")).alias("g")).orderBy("i").collect()
+    assert [r.g for r in got] == want
+    pairs = F.array_distinct(F.transform("h", lambda h: F.struct(h["value"].alias("value"), h["new"].alias("new"))))
+    hits = F.transform("d", lambda d: F.struct(d["start"], d["end"], d["value"], A._replacement(d).alias("new")))
+    fast = df.withColumn("h", F.array_sort(hits)).withColumn("p", pairs).select(A._at_once(F.col("t"), F.col("h"), F.col("p")).isNotNull().alias("f"))
+    assert 200 < fast.filter("f").count() < 1100

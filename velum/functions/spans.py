@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import Pattern
-from velum.functions.validators import VALIDATORS, swedish_id
+from velum.functions.validators import CHECKS, VALIDATORS, swedish_id
 
 DETECTION = "struct<pii_type:string,entity_type:string,start:int,end:int,value:string,confidence:double>"
 DETECTIONS = f"array<{DETECTION}>"
@@ -30,13 +30,21 @@ def gate(text: Column, pattern: Pattern) -> Column:
     return text.contains(pattern.gate)
 
 
+#: Put around hits. U+FFFF is no character; a text that holds it anyway is searched with U+FFFE in its place.
+MARK, OTHER_MARK = "\uffff", "\ufffe"
+
+
+def unmarked(text: Column) -> Column:
+    """A text without ``MARK``."""
+    return F.when(text.contains(MARK), F.translate(text, MARK, OTHER_MARK)).otherwise(text)
+
+
 def parts(text: Column, pattern: Pattern) -> Column:
-    """Alternating pieces of a text: what precedes each match (``gap``) and the match (``hit``)."""
-    regex = pattern.java_regex
-    return F.arrays_zip(
-        F.split(text, regex, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hit"),
-    )
+    """A text without ``MARK`` in pieces: in even places what precedes each match, in odd ones the match.
+
+    The expression runs once: it puts marks around its matches, and the text is cut at the marks.
+    """
+    return F.split(F.regexp_replace(text, pattern.java_regex, f"{MARK}$0{MARK}"), MARK, -1)
 
 
 #: Characters in a piece of a text.
@@ -118,21 +126,19 @@ def cut(parts_: Column, start: Column, end: Column) -> Column:
 def _located(recogniser: Column) -> Column:
     """Detections of one recogniser: running sums over the lengths of the pieces give every end."""
     found = recogniser["parts"]
-    lengths = F.transform(found, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0)))
-    ends = running(lengths, lambda a, b: a + b)
+    ends = running(F.transform(found, F.length), lambda a, b: a + b)
 
     def located(part: Column, end: Column) -> Column:
         return F.struct(
             recogniser["meta"]["pii_type"].alias("pii_type"),
             recogniser["meta"]["entity_type"].alias("entity_type"),
-            (end - F.length(part["hit"])).alias("start"),
+            (end - F.length(part)).alias("start"),
             end.alias("end"),
-            part["hit"].alias("value"),
+            part.alias("value"),
             recogniser["meta"]["confidence"].alias("confidence"),
         )
 
-    # The last piece is what follows the last hit.
-    return F.slice(F.zip_with(found, ends, located), 1, F.size(found) - 1)
+    return F.filter(F.zip_with(found, ends, located), lambda _, i: i % 2 == 1)
 
 
 def _sql_text(value: str) -> str:
@@ -186,6 +192,33 @@ def _near(parts_: Column, d: Column, width: int = 100) -> Column:
     return F.lower(window(parts_, d["start"], d["end"], width))
 
 
+def late_checks(patterns: Sequence[Pattern], entity: Column, value: Column, pivot_year: int | None = None) -> tuple[Column, Callable[[Column], Column]]:
+    """For hits that are rows: a column with the plain value, and the test of it."""
+    plain, tests = None, []
+    for p in patterns:
+        if p.validator:
+            clean, check = CHECKS[p.validator](pivot_year)
+            plain = F.when(entity == p.entity, clean(value)) if plain is None else plain.when(entity == p.entity, clean(value))
+            tests.append((p.entity, check))
+
+    def passes(s: Column) -> Column:
+        ok = F.lit(True)
+        for name, check in tests:
+            ok = F.when(entity == name, F.coalesce(check(s), F.lit(False))).otherwise(ok)
+        return ok
+
+    return F.lit(None).cast("string") if plain is None else plain, passes
+
+
+def late_boost(patterns: Sequence[Pattern], entity: Column, confidence: Column, near: Column) -> Column:
+    """For hits that are rows: the confidence, raised where a context word of the pattern is near."""
+    out = confidence
+    for p in patterns:
+        if p.keywords:
+            out = F.when(entity == p.entity, _raised(confidence, near, p.keywords)).otherwise(out)
+    return out
+
+
 def _raised(confidence: Column, near: Column, keywords: Sequence[str]) -> Column:
     hit = near.rlike("|".join(re.escape(word) for word in keywords))
     return F.when(hit, F.least(F.lit(0.95), F.round(confidence + 0.10, 2))).otherwise(confidence)
@@ -196,12 +229,15 @@ def window(parts_: Column, start: Column, end: Column, width: int) -> Column:
     return cut(parts_, F.greatest(start - width, F.lit(0)), end + width)
 
 
-def with_contexts(text: Column, found: Column, width: int = 50) -> Column:
-    """Detections with the text around each as a further field ``context``."""
+def with_contexts(text: Column, found: Column, width: int = 50, near: int | None = None) -> Column:
+    """Detections with the text around each as a further field ``context``, and a wider one, in lower case, as ``near``."""
 
     def around(parts_: Column) -> Column:
-        return F.transform(
-            found, lambda d: F.struct(d.alias("hit"), F.translate(window(parts_, d["start"], d["end"], width), "\n", " ").alias("context")))
+        def one(d: Column) -> Column:
+            wide = [] if near is None else [_near(parts_, d, near).alias("near")]
+            return F.struct(d.alias("hit"), F.translate(window(parts_, d["start"], d["end"], width), "\n", " ").alias("context"), *wide)
+
+        return F.transform(found, one)
 
     # Texts without hits are not cut.
     return let(F.when(F.size(found) > 0, pieces(text)), around)
@@ -215,24 +251,29 @@ def detections(
     pivot_year: int | None = None,
     gates: dict[str, Column] | None = None,
     only_if: dict[str, Column] | None = None,
+    bare: Column | None = None,
 ) -> Column:
     """``array<struct>`` of every hit of every pattern, in catalogue order.
 
     ``gates`` may carry gate results computed beforehand, keyed by the gate expression;
     ``only_if`` restricts patterns, keyed by entity, to texts for which a condition holds.
+    ``bare`` is the text without ``MARK`` (see ``unmarked``), if the caller has it as a column.
     """
     if not patterns:
         return no_detections()
+    bare = unmarked(text) if bare is None else bare
     tried = []
     for p in patterns:
-        open_ = text.rlike(p.java_regex)
+        open_ = None
         if p.gate is not None:
-            open_ = (gates[p.gate] if gates else gate(text, p)) & open_
+            open_ = gates[p.gate] if gates else gate(text, p)
         if only_if and p.entity in only_if:
-            open_ = only_if[p.entity] & open_
-        tried.append(F.when(open_, parts(text, p)))
+            open_ = only_if[p.entity] if open_ is None else only_if[p.entity] & open_
+        found = parts(bare, p)
+        tried.append(found if open_ is None else F.when(open_, found))
     recognisers = F.arrays_zip(_meta(patterns).alias("meta"), F.array(*tried).alias("parts"))
-    found = F.flatten(F.transform(F.filter(recognisers, lambda r: r["parts"].isNotNull()), _located))
+    # A single piece is a text without a match.
+    found = F.flatten(F.transform(F.filter(recognisers, lambda r: F.size(r["parts"]) > 1), _located))
     if validate:
         found = let(_validated(found, patterns, pivot_year), lambda valid: _boosted(text, valid, patterns))
     return found

@@ -36,15 +36,18 @@ def _real_date(year: Column, month: Column, day: Column) -> Column:
     return month.between(1, 12) & (day >= 1) & (day <= last)
 
 
-def _verdict(c: Column, cleaned: Column, check: Callable[[Column], Column]) -> Column:
-    """``check`` of the cleaned value, which is bound once instead of being rebuilt at every use."""
-    ok = F.get(F.transform(F.array(cleaned), check), F.lit(0))
-    return F.when(c.isNotNull(), F.coalesce(ok, F.lit(False)))
+#: What makes a value plain, and the test of the plain value.
+Check = tuple[Callable[[Column], Column], Callable[[Column], Column]]
 
 
-def finnish_id(c: Column) -> Column:
-    """DDMMYY, century sign, three digits, check character (number modulo 31)."""
+def _verdict(c: Column, how: Check) -> Column:
+    """The test of the plain value, which is bound once instead of being rebuilt at every use."""
+    clean, check = how
+    ok = F.get(F.transform(F.array(clean(c)), check), F.lit(0))
+    return F.when(c.isNotNull(), F.coalesce(ok, F.lit(False)))
+
 
+def _finnish(pivot_year: int | None = None) -> Check:
     def check(s: Column) -> Column:
         sign = F.substring(s, 7, 1)
         century = F.when(sign == "+", 1800).when(sign == "-", 1900).when(sign == "A", 2000)
@@ -56,19 +59,19 @@ def finnish_id(c: Column) -> Column:
             & (F.substring(s, 11, 1) == expected)
         )
 
-    return _verdict(c, F.upper(_without(c, " ")), check)
+    return lambda c: F.upper(_without(c, " ")), check
+
+
+def finnish_id(c: Column) -> Column:
+    """DDMMYY, century sign, three digits, check character (number modulo 31)."""
+    return _verdict(c, _finnish())
 
 
 def luhn(c: Column) -> Column:
     return F.when(c.isNotNull(), F.coalesce(F.call_function("luhn_check", c), F.lit(False)))
 
 
-def swedish_id(c: Column, pivot_year: int | None = None) -> Column:
-    """Ten or twelve digits, birth date, Luhn.
-
-    Two-digit years above ``pivot_year`` belong to the 1900s; by default the pivot
-    is the current year, as a fixed one would age.
-    """
+def _swedish(pivot_year: int | None = None) -> Check:
     pivot = F.lit(pivot_year) if pivot_year is not None else F.year(F.current_date()) % 100
 
     def check(s: Column) -> Column:
@@ -80,8 +83,20 @@ def swedish_id(c: Column, pivot_year: int | None = None) -> Column:
             & F.call_function("luhn_check", s)
         )
 
-    digits = _without(c, " ", "-", "+")
-    return _verdict(c, F.when(F.length(digits) == 12, F.substring(digits, 3, 10)).otherwise(digits), check)
+    def clean(c: Column) -> Column:
+        digits = _without(c, " ", "-", "+")
+        return F.when(F.length(digits) == 12, F.substring(digits, 3, 10)).otherwise(digits)
+
+    return clean, check
+
+
+def swedish_id(c: Column, pivot_year: int | None = None) -> Column:
+    """Ten or twelve digits, birth date, Luhn.
+
+    Two-digit years above ``pivot_year`` belong to the 1900s; by default the pivot
+    is the current year, as a fixed one would age.
+    """
+    return _verdict(c, _swedish(pivot_year))
 
 
 def _mod11_digit(s: Column, weights: tuple[int, ...]) -> Column:
@@ -90,9 +105,7 @@ def _mod11_digit(s: Column, weights: tuple[int, ...]) -> Column:
     return F.when(digit == 11, 0).otherwise(digit)
 
 
-def norwegian_id(c: Column) -> Column:
-    """Eleven digits; century from the individual number; two modulo-11 check digits."""
-
+def _norwegian(pivot_year: int | None = None) -> Check:
     def check(s: Column) -> Column:
         yy, individual = _num(s, 5, 2), _num(s, 7, 3)
         century = (
@@ -107,12 +120,15 @@ def norwegian_id(c: Column) -> Column:
             & (_mod11_digit(s, NORWEGIAN_WEIGHTS_2) == _num(s, 11, 1))
         )
 
-    return _verdict(c, _without(c, " ", "-"), check)
+    return lambda c: _without(c, " ", "-"), check
 
 
-def danish_id(c: Column) -> Column:
-    """Ten digits; century from digit seven; only the date is checked."""
+def norwegian_id(c: Column) -> Column:
+    """Eleven digits; century from the individual number; two modulo-11 check digits."""
+    return _verdict(c, _norwegian())
 
+
+def _danish(pivot_year: int | None = None) -> Check:
     def check(s: Column) -> Column:
         yy, seventh = _num(s, 5, 2), _num(s, 7, 1)
         century = (
@@ -122,12 +138,15 @@ def danish_id(c: Column) -> Column:
         )
         return s.rlike(r"^\d{10}\z") & _real_date(century + yy, _num(s, 3, 2), _num(s, 1, 2))
 
-    return _verdict(c, _without(c, " ", "-"), check)
+    return lambda c: _without(c, " ", "-"), check
 
 
-def uk_nino(c: Column) -> Column:
-    """Two prefix letters, six digits, suffix A to D; some prefixes are never issued."""
+def danish_id(c: Column) -> Column:
+    """Ten digits; century from digit seven; only the date is checked."""
+    return _verdict(c, _danish())
 
+
+def _nino(pivot_year: int | None = None) -> Check:
     def check(s: Column) -> Column:
         return (
             s.rlike(rf"^[^{NINO_BAD_FIRST}].\d{{6}}[A-D]\z")
@@ -135,8 +154,23 @@ def uk_nino(c: Column) -> Column:
             & ~F.substring(s, 1, 2).isin(*NINO_BAD_PREFIX)
         )
 
-    return _verdict(c, F.upper(_without(c, " ")), check)
+    return lambda c: F.upper(_without(c, " ")), check
+
 
+def uk_nino(c: Column) -> Column:
+    """Two prefix letters, six digits, suffix A to D; some prefixes are never issued."""
+    return _verdict(c, _nino())
+
+
+#: Per validator what makes a value plain and what the plain value must pass, for callers that keep the plain value in a column.
+CHECKS = {
+    "finnish_id": _finnish,
+    "swedish_id": _swedish,
+    "norwegian_id": _norwegian,
+    "danish_id": _danish,
+    "uk_nino": _nino,
+    "luhn": lambda pivot_year=None: (lambda c: c, luhn),
+}
 
 VALIDATORS = {
     "finnish_id": finnish_id,

@@ -14,6 +14,10 @@ from velum.functions.patterns import for_language
 from velum.session import spread
 
 
+#: The text as it is searched.
+BARE = "__bare"
+
+
 def with_detections(
     df: DataFrame,
     text: str,
@@ -30,7 +34,7 @@ def with_detections(
     t = F.col(text)
     found = spans.detections(
         t, patterns, validate=validate, pivot_year=pivot_year, gates={g: F.col(n) for g, n in names.items()},
-        only_if=only_if,
+        only_if=only_if, bare=F.col(BARE),
     )
     blank = F.trim(F.coalesce(t, F.lit(""))) == ""
     return gated.select(*df.columns, F.when(blank, spans.no_detections()).otherwise(found).alias(out))
@@ -48,6 +52,7 @@ def with_gates(df: DataFrame, text: str, patterns: Sequence[Pattern]) -> tuple[D
     t, has_digit = F.col(text), F.col("__digit")
     gated = df.select("*", t.rlike(DIGIT).alias("__digit")).select(
         "*",
+        spans.unmarked(t).alias(BARE),
         *[
             (has_digit & spans.gate(t, p) if g.startswith(DIGIT) else spans.gate(t, p)).alias(names[g])
             for g, p in owners.items()
@@ -64,6 +69,7 @@ def explode_detections(
     array: str = "detections",
     threshold: float = 0.5,
     context: int = 50,
+    near: int | None = None,
 ) -> DataFrame:
     """One row per hit: ``keep``, ordinal ``seq`` within the text, the hit, and its context.
 
@@ -75,9 +81,10 @@ def explode_detections(
         rows = df.select(*keep, F.posexplode_outer(array).alias("seq", "d")).filter(F.col("d.confidence") >= threshold)
         return rows.select(*keep, "seq", *[F.col(f"d.{f}").alias(f) for f in fields])
     # Contexts are cut before the hits become rows, so no row carries the text.
-    around = spans.let(F.col(array), lambda found: spans.with_contexts(F.col(text), found, context))
+    around = spans.let(F.col(array), lambda found: spans.with_contexts(F.col(text), found, context, near))
     rows = df.select(*keep, F.posexplode_outer(around).alias("seq", "d")).filter(F.col("d.hit.confidence") >= threshold)
-    return rows.select(*keep, "seq", *[F.col(f"d.hit.{f}").alias(f) for f in fields], F.col("d.context").alias("context"))
+    wide = [] if near is None else [F.col("d.near").alias("__near")]
+    return rows.select(*keep, "seq", *[F.col(f"d.hit.{f}").alias(f) for f in fields], F.col("d.context").alias("context"), *wide)
 
 
 def detect(
@@ -99,8 +106,16 @@ def detect(
     source = df.select(*dict.fromkeys([*keep, text]))
     if spread_input:
         source = spread(source, *keep)
-    found = with_detections(source, text, patterns, validate=validate, pivot_year=pivot_year)
-    return explode_detections(found, keep, text, threshold=threshold, context=context)
+    found = with_detections(source, text, patterns)
+    if not validate:
+        return explode_detections(found, keep, text, threshold=threshold, context=context)
+    # Checks and boosts are plain columns of the rows that the hits have become. Ordinals count all hits of a text.
+    hits = explode_detections(found, keep, text, threshold=0.0, context=context, near=100)
+    entity = F.col("entity_type")
+    plain, passes = spans.late_checks(patterns, entity, F.col("value"), pivot_year)
+    checked = hits.withColumn("__plain", plain).filter(passes(F.col("__plain")))
+    boosted = checked.withColumn("confidence", spans.late_boost(patterns, entity, F.col("confidence"), F.col("__near")))
+    return boosted.filter(F.col("confidence") >= threshold).drop("__plain", "__near")
 
 
 def detect_validated(df: DataFrame, text: str, keep: Sequence[str], *, pivot_year: int | None = None) -> DataFrame:

@@ -15,10 +15,12 @@ from velum.operators import findings as FN
 from velum.operators import summary as S
 from velum.plans import sqlkit as K
 from velum.plans.corpus import AUDIT_SQL, SCANS_SQL, audit_log, document_findings, scans
+from velum.plans.governance import SCORE_SQL
 from velum.plans.registry import query, table
 from velum.session import materialize, scratch_dir
 from velum.sinks import reports as R
 from velum.streaming import streams as ST
+from velum.streaming import totals as TT
 
 # --- exports and listings ------------------------------------------------------------------
 
@@ -286,6 +288,65 @@ def stream_routes(spark, sf_dir):
     return stored.groupBy("event_type").agg(F.count("*").alias("delivered"))
 
 
+@query(
+    "stream_dead_letters",
+    """SELECT s.name AS subscriber, count(*) AS delivered, count(*) FILTER (WHERE s.name = 'flaky') AS missed_at_first, 0 AS batches_left
+FROM events JOIN (VALUES ('flaky', 'error'), ('steady', 'error'), ('shop', 'purchase')) s(name, kind) ON event_type = kind GROUP BY s.name""",
+)
+def stream_dead_letters(spark, sf_dir):
+    """A subscriber that fails once: what it missed is kept, replayed, and complete in the end."""
+    path, dead, checkpoint = (scratch_dir(spark, f"letters-{x}") for x in ("out", "dead", "progress"))
+    calls = []
+
+    def flaky(events, epoch):
+        calls.append(epoch)
+        if len(calls) == 1:
+            raise ConnectionError("subscriber is down")
+        ST.epoch_writer(f"{path}/subscriber=flaky")(events, epoch)
+
+    subscribers = {"flaky": ("error", flaky), "steady": ("error", ST.epoch_writer(f"{path}/subscriber=steady")),
+                   "shop": ("purchase", ST.epoch_writer(f"{path}/subscriber=shop"))}
+    schema = "event_id long, event_type string"
+    events = _stream(spark, sf_dir, "events").select("event_id", "event_type")
+    events.writeStream.foreachBatch(ST.route_durably(subscribers, dead)).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+    missed = materialize(ST.dead_letters(spark, dead, schema).groupBy("subscriber").agg(F.count("*").alias("missed_at_first")), "missed")
+    left = ST.replay(spark, subscribers, dead, schema)
+    stored = spark.read.schema(f"{schema}, subscriber string").parquet(path)
+    counted = stored.groupBy("subscriber").agg(F.count("*").alias("delivered"))
+    return counted.join(missed, "subscriber", "left").select(
+        "subscriber", "delivered", F.coalesce("missed_at_first", F.lit(0)).alias("missed_at_first"), F.lit(left).alias("batches_left"))
+
+
+@query(
+    "stream_running_score",
+    f"""WITH {SCORE_SQL}, s AS (SELECT scan_id, severity, count(*) AS n FROM findings GROUP BY ALL), t AS (SELECT scan_id, pii_type, count(*) AS n FROM findings GROUP BY ALL),
+sm AS (SELECT scan_id, sum(n)::BIGINT AS total_findings, string_agg(severity || '=' || n, ',' ORDER BY severity) AS by_severity FROM s GROUP BY scan_id),
+tm AS (SELECT scan_id, string_agg(pii_type || '=' || n, ',' ORDER BY pii_type) AS by_type FROM t GROUP BY scan_id)
+SELECT scan_id, total_findings, by_severity, by_type, compliance_score, status FROM sm JOIN tm USING (scan_id) JOIN compliance USING (scan_id)""",
+)
+def stream_running_score(spark, sf_dir):
+    """Findings as a stream of several batches, one of them delivered twice, the oldest ones last."""
+    found = document_findings(spark, sf_dir).select("scan_id", "finding_id", "pii_type", "severity", "source_type")
+    # An hour between findings of one hash and the next; the last batch holds the oldest.
+    hour = F.pmod(F.xxhash64("finding_id"), F.lit(72)) * 3600
+    found = found.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + hour))
+    path = scratch_dir(spark, "findings-in")
+    dealt = materialize(found.withColumn("part", F.floor(hour / 86400)), "findings")
+    for part in (2, 1, 0, 1):
+        dealt.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, checkpoint = scratch_dir(spark, "totals-out"), scratch_dir(spark, "totals-progress")
+    TT.run_totals(TT.running_counts(stream, delay="4 days", slices=4), out, checkpoint).awaitTermination()
+    totals = TT.current_totals(spark.read.schema(f"{TT.SCHEMA}, epoch int").parquet(out))
+
+    def shown(pairs):
+        return F.array_join(F.transform(F.map_entries(pairs), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+
+    return totals.select("scan_id", "total_findings", shown("by_severity").alias("by_severity"), shown("by_type").alias("by_type"),
+                         "compliance_score", "status")
+
+
 @query(
     "scan_events",
     f"""WITH {K.DOC_FINDINGS}, {SCANS_SQL}, t AS (SELECT scan_id, count(*) AS n FROM findings GROUP BY scan_id)

@@ -64,10 +64,21 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Remove every scratch folder of this process, once the results that read them have been used."""
-    context = spark.sparkContext
     while _MADE:
-        path = context._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, _MADE.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all that is in it; one that is not there does no harm."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

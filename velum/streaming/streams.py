@@ -5,12 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from velum.functions.patterns import DOCUMENT, Pattern
 from velum.operators.detect import detect
+from velum.session import exists, remove
 
 log = logging.getLogger(__name__)
 
@@ -108,6 +109,67 @@ def route(subscribers: Mapping[str, Sequence[Handler]], type_column: str = "even
     return deliver
 
 
+#: Subscribers by name: the type of event they want, and their handler.
+Subscribers = Mapping[str, tuple[str, Handler]]
+
+
+def route_durably(subscribers: Subscribers, dead: str, type_column: str = "event_type") -> Handler:
+    """As ``route``, but what a failed handler missed is kept below ``dead``, with the reason, for ``replay``.
+
+    There is one folder a subscriber and batch. A batch that is delivered again replaces its folder, or removes it where the handler
+    now succeeds, so the table holds exactly what is still missing.
+    """
+
+    def deliver(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            for name, (event_type, handler) in subscribers.items():
+                _try_to_deliver(batch.filter(F.col(type_column) == event_type), epoch, name, handler, dead)
+        finally:
+            batch.unpersist()
+
+    return deliver
+
+
+def _letters(dead: str, name: str, epoch: int) -> str:
+    return f"{dead}/subscriber={name}/epoch={epoch}"
+
+
+def _try_to_deliver(events: DataFrame, epoch: int, name: str, handler: Handler, dead: str, replayed: bool = False) -> bool:
+    place = _letters(dead, name, epoch)
+    try:
+        handler(events, epoch)
+    except Exception as e:
+        log.warning("subscriber %s failed in batch %s", name, epoch, exc_info=True)
+        if not replayed:  # what is replayed is there already
+            events.withColumn("reason", F.lit(f"{type(e).__name__}: {e}")).write.mode("overwrite").parquet(place)
+        return False
+    remove(events.sparkSession, place)
+    return True
+
+
+def dead_letters(spark: SparkSession, dead: str, schema: str) -> DataFrame:
+    """What subscribers missed: events of ``schema`` with ``reason``, ``subscriber`` and ``epoch``."""
+    whole = f"{schema}, reason string, subscriber string, epoch int"
+    return spark.read.schema(whole).parquet(dead) if exists(spark, dead) else spark.createDataFrame([], whole)
+
+
+def replay(spark: SparkSession, subscribers: Subscribers, dead: str, schema: str) -> int:
+    """Hand each subscriber just what it missed, batch by batch in order; what succeeds leaves the table.
+
+    Handlers see the number of the batch as at first, so writers by batch do not write twice. Returns how many
+    batches are still missing; those of unknown subscribers stay.
+    """
+    # One row a failed batch and subscriber.
+    missed = dead_letters(spark, dead, schema).select("subscriber", "epoch").distinct().orderBy("subscriber", "epoch").collect()
+    left = 0
+    for row in missed:
+        known = subscribers.get(row.subscriber)
+        events = spark.read.schema(schema).parquet(_letters(dead, row.subscriber, row.epoch)) if known else None
+        left += not (known and _try_to_deliver(events, row.epoch, row.subscriber, known[1], dead, replayed=True))
+    return left
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything available into Parquet files and stop."""
     return (
