@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import DOCUMENT, Pattern
-from velum.functions.text import FILE_KINDS
+from velum.functions.text import FILE_KINDS, SUPPORTED_EXTENSIONS, extension
 from velum.operators import pages as P
 from velum.operators.detect import detect, explode_detections, with_detections
 from velum.operators.findings import merge, to_findings
@@ -18,6 +18,7 @@ from velum.operators.tables import scan_database
 from velum.plugins import Registry
 from velum.session import spread
 from velum.sources import files as FS
+from velum.sources import tree as TREE
 
 
 @dataclass
@@ -50,19 +51,28 @@ def scan_folder(
 ) -> Scan:
     """Text and mail files of a folder, plus whatever the readers of ``registry`` can take.
 
-    A registered reader takes the place of the built-in one for its endings. ``errors`` lists mails that
-    could not be parsed, supported files without a reader here, files over the size that can be read, and
-    files whose names Spark's readers pass over.
+    A registered reader takes the place of the built-in one for its endings. Names that start with ``_`` or ``.`` are read
+    like any other. ``errors`` lists mails that could not be parsed, supported files without a reader here, and
+    files and folders that could not be read. (In a store that only Spark's readers can open, hidden names are among the errors.)
     """
     readers = registry.of_kind("reader") if registry else []
     taken = {e.lower() for r in readers for e in r.extensions}
     of = {kind: tuple(e for e in FILE_KINDS[kind] if e not in taken) for kind in ("text", "eml")}
-    texts, mails = (FS.collect_files(spark, folder, recursive=recursive, extensions=of[k]) if of[k] else None for k in ("text", "eml"))
+    read = [*taken, *of["text"], *of["eml"]]
+    if TREE.reachable(folder):
+        every, most = TREE.listing(spark, folder, recursive=recursive), FS.max_length(spark)
+        texts, mails = (TREE.contents(every.filter(extension(F.col("path")).isin(*of[k])), most) if of[k] else None for k in ("text", "eml"))
+        known = sorted({*SUPPORTED_EXTENSIONS, *read})
+        unread = TREE.contents(TREE.supported(every, tuple(known)), most, probe=True)
+        none = F.when(~extension(F.col("path")).isin(*read), F.concat(F.lit("No reader for "), extension(F.col("path"))))
+        errors = [unread.select("path", F.coalesce("error", none).alias("error")).filter(F.col("error").isNotNull())]
+    else:
+        texts, mails = (FS.collect_files(spark, folder, recursive=recursive, extensions=of[k]) if of[k] else None for k in ("text", "eml"))
+        errors = [FS.unread_files(spark, folder, read, recursive=recursive), FS.hidden_files(spark, folder, recursive=recursive)]
     # Every mail is decoded once for its text and once for its error, and read by no other reader.
     sections = [FS.read_text_files(texts)] if texts is not None else []
     sections += [FS.read_mail_files(mails)] if mails is not None else []
     sections += [reader.read(spark, folder) for reader in readers]
-    errors = [FS.unread_files(spark, folder, [*taken, *of["text"], *of["eml"]], recursive=recursive), FS.hidden_files(spark, folder, recursive=recursive)]
     errors += [FS.failed_mails(mails)] if mails is not None else []
     findings = scan_sections(reduce(DataFrame.unionByName, sections), F.lit(scan_id or folder), patterns=patterns, registry=registry)
     return Scan(findings, reduce(DataFrame.unionByName, errors))

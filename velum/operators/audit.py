@@ -118,8 +118,14 @@ def query(
 ) -> DataFrame:
     """Entries that pass all filters (times inclusive); with a ``limit``, the first ones in log order.
 
-    Filters reach the file scan; the limit is a top-k per task, not a sort of the log.
+    Filters reach the file scan; of a log written by day only the days in question are read. The limit is a top-k per
+    task, not a sort of the log.
     """
+    if "day" in log.columns:
+        if start is not None:
+            log = log.filter(F.col("day") >= F.to_date(start))
+        if end is not None:
+            log = log.filter(F.col("day") <= F.to_date(end))
     if event is not None:
         log = log.filter(F.col("event") == event)
     if user is not None:

@@ -106,7 +106,7 @@ def sample(
     order = {
         "top": [F.col(key).asc()],
         "bottom": [F.col(key).desc()],
-        "random": [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)],
+        "random": [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)],
     }[strategy]
     return top_n(df, order, rows)
 
@@ -253,6 +253,16 @@ def header_line(columns: Sequence[str]) -> str:
     return "Headers: " + ", ".join(columns)
 
 
+def sheet_text(lines: DataFrame, columns: Sequence[str], row_number: str, keys: Sequence[str] = (), *, structured: bool = False) -> DataFrame:
+    """Sheets as one text each: the rows of ``rows_as_text``, in order, below the line of headers if ``structured``.
+
+    A text is one value, so a sheet must fit into one; longer tables are scanned row by row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(row_number).alias("n"), F.col("line").alias("line"))))
+    body = lines.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    return body.withColumn("text", F.concat(F.lit(header_line(columns) + "\n"), "text")) if structured else body
+
+
 def number_rows(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """Consecutive row numbers (``row_number``, from 1) in the order of a unique ``key``.
 

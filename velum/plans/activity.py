@@ -19,6 +19,7 @@ from velum.plans.governance import SCORE_SQL
 from velum.plans.registry import query, table
 from velum.session import materialize, scratch_dir
 from velum.sinks import reports as R
+from velum.sources import saved as SV
 from velum.streaming import streams as ST
 from velum.streaming import totals as TT
 
@@ -164,6 +165,34 @@ def audit_filter(spark, sf_dir):
     return found.select("log_seq", _stamp().alias("at"), "event", "user", "resource", "result")
 
 
+@query(
+    "audit_days",
+    f"""WITH {AUDIT_SQL} SELECT {_STAMP} AS at, event, "user", resource, result, strftime("timestamp", '%Y-%m-%d') AS day, count(*) AS entries FROM audit
+WHERE "timestamp" >= TIMESTAMP '2024-01-05 06:00:00' AND "timestamp" <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY ALL""",
+)
+def audit_days(spark, sf_dir):
+    """A log by day, written in two batches, one of them twice; the query reads the days of its range only."""
+    log = audit_log(spark, sf_dir).withColumn("details", F.create_map().cast("map<string,string>"))
+    path = scratch_dir(spark, "audit-days")
+    for batch, odd in (("a", 0), ("b", 1), ("a", 0)):
+        R.write_audit_days(log.filter(F.pmod("log_seq", F.lit(2)) == odd), path, batch)
+    found = AU.query(SV.read_audit_days(spark, path), start=F.to_timestamp(F.lit("2024-01-05 06:00:00")), end=F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    rows = found.select(_stamp().alias("at"), "event", "user", "resource", "result", F.col("day").cast("string").alias("day"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("entries"))
+
+
+@query(
+    "audit_log_lines",
+    f"""WITH {AUDIT_SQL} SELECT event, result, count(*) AS entries, count(DISTINCT "user") AS users FROM audit GROUP BY ALL""",
+)
+def audit_log_lines(spark, sf_dir):
+    """A log of JSON lines with blank ones between, read back."""
+    path = scratch_dir(spark, "audit-lines")
+    entries = audit_log(spark, sf_dir).withColumn("details", F.create_map().cast("map<string,string>"))
+    R.audit_lines(entries).select(F.concat("value", F.lit("\n")).alias("value")).write.text(path)
+    return SV.read_audit_log(spark, path).groupBy("event", "result").agg(F.count("*").alias("entries"), F.countDistinct("user").alias("users"))
+
+
 @query("audit_by_user", f"""WITH {AUDIT_SQL} SELECT log_seq, event, result FROM audit WHERE "user" = 'user7'""")
 def audit_by_user(spark, sf_dir):
     return AU.query(audit_log(spark, sf_dir), user="user7", limit=None).select("log_seq", "event", "result")
@@ -416,6 +445,32 @@ def enrich_stub(spark, sf_dir):
                       "gdpr_reasoning", "anonymization_strategy", "recommendation")
 
 
+@query(
+    "reply_cache",
+    """WITH p AS (SELECT event_type || '-' || user_id AS prompt, user_id, event_type FROM events),
+a AS (SELECT DISTINCT prompt, user_id % 2 = 0 AS first, event_type = 'error' AS broken FROM p)
+SELECT CASE WHEN broken THEN 'failed' WHEN first THEN 'hit' ELSE 'asked' END AS outcome, count(*) AS prompts,
+  sha256(string_agg(CASE WHEN broken THEN '' ELSE upper(prompt) END, ',' ORDER BY prompt)) AS replies FROM a GROUP BY 1""",
+)
+def reply_cache(spark, sf_dir):
+    """Prompts of even users are asked first; then all are: hits, misses, and replies that failed and are not kept."""
+    cache = scratch_dir(spark, "replies")
+    prompt = F.concat_ws("-", "event_type", "user_id")
+    rows = table(spark, sf_dir, "events").select(prompt.alias("prompt"), "user_id").withColumn("key", E.prompt_key(F.col("prompt")))
+    E.cached_answers(rows.filter(F.col("user_id") % 2 == 0), _once, cache).count()
+    # The second model tells who answered by lower case.
+    replies = E.cached_answers(rows, lambda prompts: [p if r else r for p, r in zip(prompts, _once(prompts))], cache)
+    every = rows.groupBy("prompt").agg(F.first("key").alias("key"), F.first("user_id").alias("user_id")).join(replies, "key", "left")
+    outcome = F.when(F.col("reply").isNull(), "failed").when(F.col("reply") == F.upper("prompt"), "hit").otherwise("asked")
+    listed = F.array_sort(F.collect_list(F.struct("prompt", F.upper(F.coalesce("reply", F.lit(""))).alias("reply"))))
+    return every.groupBy(outcome.alias("outcome")).agg(
+        F.count("*").alias("prompts"), F.sha2(F.array_join(F.transform(listed, lambda x: x["reply"]), ","), 256).alias("replies"))
+
+
+def _once(prompts: list[str]) -> list[str]:
+    return ["" if p.startswith("error") else p.upper() for p in prompts]
+
+
 @query(
     "distinct_prompts",
     f"""WITH {K.DOC_FINDINGS} SELECT sha256(chr(10) || 'Classify the hidden value.' || chr(10) || 'Detected type: ' || pii_type || chr(10) || 'Value: [REDACTED]' || chr(10) ||

@@ -15,7 +15,7 @@ from velum.operators import summary as S
 from velum.plans import sqlkit as K
 from velum.plans.corpus import IDENTITY_SQL, PIVOT_YEAR, document_findings, document_hits, identity_cards
 from velum.plans.registry import query, table
-from velum.plugins import Detector, Registry
+from velum.plugins import Detector, Reader, Registry
 
 SPAN_COLUMNS = 'pii_type, entity_type, start, "end", value, confidence'
 
@@ -459,6 +459,27 @@ def plugin_detector(spark, sf_dir):
     return D.explode_detections(found, ["doc_id"])
 
 
+@query(
+    "plugin_registry",
+    """SELECT * FROM (VALUES ('rows', 'reader', true, 'csv'), ('shout', 'detector', false, ''), ('ticket', 'detector', true, '')) t(name, kind, enabled, endings)
+JOIN (SELECT count(*) AS texts FROM documents WHERE text <> '') ON true""",
+)
+def plugin_registry(spark, sf_dir):
+    """Plug-ins registered, replaced, switched off and unloaded; the reader that is left reads the table as sections."""
+    registry = Registry()
+    registry.register(Detector("ticket", lambda t: matches_of(t, SHOUT), ["OTHER"]))
+    registry.register(Detector("ticket", lambda t: matches_of(t, TICKET), ["OTHER"], priority=9))
+    registry.register(Detector("shout", lambda t: matches_of(t, SHOUT), ["OTHER"]))
+    registry.register(Detector("gone", lambda t: matches_of(t, SHOUT), ["OTHER"]))
+    registry.register(Reader("rows", lambda s, path: D.text_sections(s.read.parquet(path), "text", F.lit(path), F.col("doc_id")), "table", [".csv"]))
+    registry.disable("shout")
+    registry.unload("gone")
+    sections = registry.reader_for(".CSV").read(spark, f"{sf_dir}/documents.parquet")
+    rows = [(p["name"], p["kind"], p["enabled"], "csv" if p["kind"] == "reader" else "") for p in registry.listing()]
+    listed = spark.createDataFrame(rows, "name string, kind string, enabled boolean, endings string")
+    return listed.withColumn("texts", F.lit(sections.filter(F.col("text") != "").count()))
+
+
 def _toy_model(texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
     shape = re.compile(r"[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+")
     return [[("PERSON", m.start(), m.end(), 0.75) for m in shape.finditer(t)] for t in texts]

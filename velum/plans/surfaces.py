@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velum.flows import scan_pages
+from velum.flows import scan_folder, scan_pages
 from velum.functions import text as textfn
 from velum.functions.patterns import DOCUMENT
 from velum.operators import pages as P
@@ -14,8 +16,9 @@ from velum.operators.compliance import compliance
 from velum.plans import sqlkit as K
 from velum.plans.corpus import CONTACTS_SQL, FORMS_SQL, contacts, web_forms
 from velum.plans.registry import query, table
-from velum.session import spread
-from velum.sources.files import unsupported
+from velum.session import scratch_dir, spread
+from velum.sources import tree as TREE
+from velum.sources.files import base_name, unsupported
 
 # --- tables --------------------------------------------------------------------------------
 
@@ -118,7 +121,10 @@ def table_samples(spark, sf_dir):
     return top.withColumn("side", F.lit("top")).unionByName(bottom.withColumn("side", F.lit("bottom")))
 
 
-@query("table_sample_random")
+@query(
+    "table_sample_random",
+    """SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1000""",
+)
 def table_sample_random(spark, sf_dir):
     return T.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
 
@@ -197,11 +203,73 @@ def rows_as_structured_text(spark, sf_dir):
     return T.rows_as_text(numbered, ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], structured=True, row_number="row_number")
 
 
+@query(
+    "sheet_texts",
+    """WITH r AS (SELECT n_regionkey AS sheet, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n, n_nationkey, n_name FROM nation)
+SELECT sheet, 'Headers: n_nationkey, n_name' || chr(10) || string_agg('Row ' || (n + 1) || ': n_nationkey: ' || n_nationkey || ' | n_name: ' || n_name, chr(10) ORDER BY n) AS text,
+  string_agg(n_nationkey || chr(9) || n_name, chr(10) ORDER BY n) AS plain FROM r GROUP BY sheet""",
+)
+def sheet_texts(spark, sf_dir):
+    """The nations of a region as a sheet: its text with headers, and plain."""
+    n = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    rows = table(spark, sf_dir, "nation").withColumn("n", n)
+    columns = ["n_nationkey", "n_name"]
+
+    def texts(structured):
+        parts = [T.rows_as_text(rows.filter(F.col("n_regionkey") == k), columns, structured=structured, row_number="n").withColumn("sheet", F.lit(k)) for k in range(5)]
+        return T.sheet_text(reduce(DataFrame.unionByName, parts), columns, "n", ["sheet"], structured=structured)
+
+    return texts(True).join(texts(False).withColumnRenamed("text", "plain"), "sheet")
+
+
 @query("numbered_rows", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_number FROM orders")
 def numbered_rows(spark, sf_dir):
     return T.number_rows(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
+# --- folders ---------------------------------------------------------------------------------
+
+_FILE_SQL = """f AS (SELECT 'n' || contact_id % 5 || CASE contact_id % 3 WHEN 0 THEN '/_drafts/c' WHEN 1 THEN '/.c' ELSE '/c' END || contact_id
+    || CASE WHEN contact_id % 7 = 0 THEN '.pdf' WHEN contact_id % 2 = 0 THEN '.TXT' ELSE '.text' END AS path,
+  concat_ws(chr(10), full_name, email_address, phone, ssn, remark) AS text FROM contacts)"""
+
+
+def _written_contacts(spark, sf_dir) -> str:
+    """One file a contact below a scratch folder: some hidden, in hidden folders, or of a kind without a reader."""
+    key = F.col("contact_id")
+    name = F.concat(
+        F.lit("n"), key % 5, F.when(key % 3 == 0, "/_drafts/c").when(key % 3 == 1, "/.c").otherwise("/c"), key,
+        F.when(key % 7 == 0, ".pdf").when(key % 2 == 0, ".TXT").otherwise(".text"))
+    body = F.concat_ws("\n", "full_name", "email_address", "phone", "ssn", "remark")
+    path = scratch_dir(spark, "folder")
+
+    def write(frames):
+        for frame in frames:
+            for name_, text in zip(frame["name"], frame["text"]):
+                system, place, _ = TREE.opened(f"{path}/{name_}")
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place) as f:
+                    f.write(text.encode())
+            yield frame[["name"]]
+
+    contacts(spark, sf_dir).select(name.alias("name"), body.alias("text")).mapInPandas(write, "name string").count()
+    return path
+
+
+@query(
+    "folder_scan",
+    f"""WITH {CONTACTS_SQL}, {_FILE_SQL}, r AS (SELECT * FROM f WHERE path NOT LIKE '%.pdf'),
+{K.spans('r', ['path'], DOCUMENT, plain=True, context=False)}
+SELECT regexp_extract(path, '[^/]*$') AS file, pii_type, value AS content FROM spans
+UNION ALL SELECT regexp_extract(path, '[^/]*$'), 'error', 'No reader for .pdf' FROM f WHERE path LIKE '%.pdf'""",
+)
+def folder_scan(spark, sf_dir):
+    folder = _written_contacts(spark, sf_dir)
+    scan = scan_folder(spark, folder, scan_id="folder")
+    found = scan.findings.select(F.col("source").alias("file"), "pii_type", "content")
+    return found.unionByName(scan.errors.select(base_name(F.col("path")).alias("file"), F.lit("error").alias("pii_type"), F.col("error").alias("content")))
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 

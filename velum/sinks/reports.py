@@ -113,10 +113,11 @@ def save_findings(findings: DataFrame, path: str, mode: str = "errorifexists") -
     redacted(findings).write.mode(mode).json(path)
 
 
-def audit_lines(entries: DataFrame) -> DataFrame:
+def audit_lines(entries: DataFrame, *keep: str) -> DataFrame:
     """Audit rows as JSON text, one ``value`` per entry; absent fields stay visible as null."""
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
     return entries.select(
+        *keep,
         F.to_json(
             F.struct(stamp, "event", "user", "resource", "action", "result", "details"), {"ignoreNullFields": "false"}
         ).alias("value")
@@ -127,6 +128,13 @@ def append_audit(entries: DataFrame, path: str) -> None:
     audit_lines(entries).write.mode("append").text(path)
 
 
+def write_audit_days(entries: DataFrame, path: str, batch: str) -> None:
+    """Audit lines below ``day=…/batch=…``. A batch that is written again replaces its own files and no others."""
+    stamped = entries.select(F.to_date("timestamp").alias("day"), F.lit(batch).alias("batch"), "*")
+    lines = audit_lines(stamped, "day", "batch")
+    lines.write.partitionBy("day", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+
+
 def write_report(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Report lines in order. The sort is by range, so a long report is several files that follow each other."""
     lines.orderBy("section", "sort_key", "part").select("line").write.mode(mode).text(path)

@@ -88,7 +88,7 @@ def read_text_files(files: DataFrame) -> DataFrame:
     """Text files as UTF-8 where valid, else Latin-1; the encoding is recorded, and line ends become line feeds."""
     content = F.col("content")
     utf8 = F.call_function("is_valid_utf8", content.cast("string"))
-    return files.filter(F.col("kind") == "text").select(
+    return files.filter((F.col("kind") == "text") & F.col("content").isNotNull()).select(
         base_name(F.col("path")).alias("source"),
         F.col("path").alias("section_id"),
         F.regexp_replace(F.when(utf8, F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1")), "\r\n?", "\n").alias("text"),
@@ -139,7 +139,7 @@ def _decode_mails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse_mails(files: DataFrame) -> DataFrame:
     """One row per mail file: headers, text parts, and the error of a file that cannot be parsed."""
-    return files.filter(F.col("kind") == "eml").select("path", "content").mapInPandas(_decode_mails, _MAILS)
+    return files.filter((F.col("kind") == "eml") & F.col("content").isNotNull()).select("path", "content").mapInPandas(_decode_mails, _MAILS)
 
 
 def read_mail_files(files: DataFrame) -> DataFrame:

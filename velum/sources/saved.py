@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velum.operators.audit import AUDIT_SCHEMA
 from velum.operators.findings import FINDINGS_SCHEMA
@@ -45,6 +46,12 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).json(path).filter(F.col("event").isNotNull())
 
 
+def read_audit_days(spark: SparkSession, path: str) -> DataFrame:
+    """An audit log written by day: ``day`` and ``batch`` are columns, and ``audit.query`` reads only the days it needs."""
+    schema = T.StructType([*AUDIT_SCHEMA.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.StringType())])
+    return spark.read.schema(schema).json(path).filter(F.col("event").isNotNull())
+
+
 def stream_audit_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(AUDIT_SCHEMA).json(path).filter(F.col("event").isNotNull())
 
