@@ -34,3 +34,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, train: Column, *, key: st
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of a key's decimal text, modulo ``modulus``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+
+
+def held_out(key: str, modulus: int, value: int) -> Column:
+    """Whether the remainder of a key is ``value``. A row without a key is neither held out nor learnt from."""
+    return F.coalesce(remainder(key, modulus) == value, F.lit(False)).alias("held_out")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velum.llm import bpe, decontam, hosts, langid, mixture, periodic, pseudonyms, quality, ranked, simhash, suffix_tree, topk, toxicity
-from velum.llm.linear import remainder
+from velum.llm.linear import held_out, remainder
 from velum.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -22,8 +22,7 @@ VOCABULARY = "byte_bpe_50k.json"
 def op1_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("__key", 3) != 1)
-    held_out = (remainder("doc_id", 3) == 1).alias("held_out")
-    scored = docs.select("doc_id", held_out, quality.score("text", model, spark).alias("score"))
+    scored = docs.select("doc_id", held_out("doc_id", 3, 1), quality.score("text", model, spark).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -57,15 +56,14 @@ def op4_bpe_round_trip(spark, sf_dir):
 @query("op5_suffix_tree")
 def op5_suffix_tree(spark, sf_dir):
     made = suffix_tree.scores(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
-    held_out = (remainder("doc_id", 10) == 0).alias("held_out")
-    return made.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return made.select("doc_id", held_out("doc_id", 10, 0), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @query("op6_toxicity")
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("__key", 4) != 2)
-    scored = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), toxicity.score("text", model).alias("score"))
+    scored = docs.select("doc_id", held_out("doc_id", 4, 2), toxicity.score("text", model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
@@ -129,7 +127,7 @@ def op8_decontamination(spark, sf_dir):
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, remainder("__key", 4) != 2)
-    found = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), langid.predict("text", model, spark).alias("found"))
+    found = docs.select("doc_id", held_out("doc_id", 4, 2), langid.predict("text", model, spark).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")
 
 
