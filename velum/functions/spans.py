@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import Pattern
-from velum.functions.validators import CHECKS, VALIDATORS, swedish_id
+from velum.functions.validators import VALIDATORS, swedish_id
 
 DETECTION = "struct<pii_type:string,entity_type:string,start:int,end:int,value:string,confidence:double>"
 DETECTIONS = f"array<{DETECTION}>"
@@ -192,33 +192,6 @@ def _near(parts_: Column, d: Column, width: int = 100) -> Column:
     return F.lower(window(parts_, d["start"], d["end"], width))
 
 
-def late_checks(patterns: Sequence[Pattern], entity: Column, value: Column, pivot_year: int | None = None) -> tuple[Column, Callable[[Column], Column]]:
-    """For hits that are rows: a column with the plain value, and the test of it."""
-    plain, tests = None, []
-    for p in patterns:
-        if p.validator:
-            clean, check = CHECKS[p.validator](pivot_year)
-            plain = F.when(entity == p.entity, clean(value)) if plain is None else plain.when(entity == p.entity, clean(value))
-            tests.append((p.entity, check))
-
-    def passes(s: Column) -> Column:
-        ok = F.lit(True)
-        for name, check in tests:
-            ok = F.when(entity == name, F.coalesce(check(s), F.lit(False))).otherwise(ok)
-        return ok
-
-    return F.lit(None).cast("string") if plain is None else plain, passes
-
-
-def late_boost(patterns: Sequence[Pattern], entity: Column, confidence: Column, near: Column) -> Column:
-    """For hits that are rows: the confidence, raised where a context word of the pattern is near."""
-    out = confidence
-    for p in patterns:
-        if p.keywords:
-            out = F.when(entity == p.entity, _raised(confidence, near, p.keywords)).otherwise(out)
-    return out
-
-
 def _raised(confidence: Column, near: Column, keywords: Sequence[str]) -> Column:
     hit = near.rlike("|".join(re.escape(word) for word in keywords))
     return F.when(hit, F.least(F.lit(0.95), F.round(confidence + 0.10, 2))).otherwise(confidence)
@@ -229,15 +202,12 @@ def window(parts_: Column, start: Column, end: Column, width: int) -> Column:
     return cut(parts_, F.greatest(start - width, F.lit(0)), end + width)
 
 
-def with_contexts(text: Column, found: Column, width: int = 50, near: int | None = None) -> Column:
-    """Detections with the text around each as a further field ``context``, and a wider one, in lower case, as ``near``."""
+def with_contexts(text: Column, found: Column, width: int = 50) -> Column:
+    """Detections with the text around each as a further field ``context``."""
 
     def around(parts_: Column) -> Column:
-        def one(d: Column) -> Column:
-            wide = [] if near is None else [_near(parts_, d, near).alias("near")]
-            return F.struct(d.alias("hit"), F.translate(window(parts_, d["start"], d["end"], width), "\n", " ").alias("context"), *wide)
-
-        return F.transform(found, one)
+        return F.transform(
+            found, lambda d: F.struct(d.alias("hit"), F.translate(window(parts_, d["start"], d["end"], width), "\n", " ").alias("context")))
 
     # Texts without hits are not cut.
     return let(F.when(F.size(found) > 0, pieces(text)), around)
@@ -251,17 +221,15 @@ def detections(
     pivot_year: int | None = None,
     gates: dict[str, Column] | None = None,
     only_if: dict[str, Column] | None = None,
-    bare: Column | None = None,
 ) -> Column:
     """``array<struct>`` of every hit of every pattern, in catalogue order.
 
     ``gates`` may carry gate results computed beforehand, keyed by the gate expression;
     ``only_if`` restricts patterns, keyed by entity, to texts for which a condition holds.
-    ``bare`` is the text without ``MARK`` (see ``unmarked``), if the caller has it as a column.
     """
     if not patterns:
         return no_detections()
-    bare = unmarked(text) if bare is None else bare
+    bare = unmarked(text)
     tried = []
     for p in patterns:
         open_ = None

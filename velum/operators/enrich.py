@@ -93,9 +93,8 @@ def cached_answers(prompts: DataFrame, predict: Predict, cache_path: str | None
 
 def _with_replies(findings: DataFrame, prompt: Column, schema: str, name: str, predict: Predict,
                   cache_path: str | None) -> DataFrame:
-    # Written once: the table is read for the prompts and again for the join.
-    keyed = materialize(findings, f"before-{name}")
-    keyed = keyed.withColumn("__prompt", prompt).withColumn("__key", prompt_key(F.col("__prompt"), name))
+    """Findings with the parsed reply to their prompt. ``findings`` are read twice: for the prompts, and for the join."""
+    keyed = findings.withColumn("__prompt", prompt).withColumn("__key", prompt_key(F.col("__prompt"), name))
     asked = keyed.select(F.col("__key").alias("key"), F.col("__prompt").alias("prompt"))
     replies = cached_answers(asked, predict, f"{cache_path}/{name}" if cache_path else None)
     parsed = replies.select(F.col("key").alias("__key"), parse_reply(F.col("reply"), schema).alias(name))
@@ -107,9 +106,10 @@ def enrich(findings: DataFrame, predict: Predict, cache_path: str | None = None)
 
     Confidence only rises; severity is replaced by a known level; articles and reasoning
     are replaced when the reply has articles; advice is appended. Without a usable reply
-    a finding stays as it was.
+    a finding stays as it was. The second and third question need the first reply only, so findings are written once, before
+    the first; what the replies change is computed anew from there.
     """
-    out = _with_replies(findings, classify_prompt(), CLASSIFY_REPLY, "classify", predict, cache_path)
+    out = _with_replies(materialize(findings, "to-enrich"), classify_prompt(), CLASSIFY_REPLY, "classify", predict, cache_path)
     level = F.lower(F.col("classify.sensitivity"))
     sure = F.col("classify.confidence")
     out = out.withColumns(
@@ -118,22 +118,16 @@ def enrich(findings: DataFrame, predict: Predict, cache_path: str | None = None)
             "severity": F.when(level.isin(*grading.SEVERITY_ORDER), level).otherwise(F.col("severity")),
         }
     ).drop("classify")
-
     out = _with_replies(out, articles_prompt(), ARTICLES_REPLY, "articles", predict, cache_path)
-    named = F.filter(F.transform("articles.violations", lambda v: v["article"]), lambda a: a.isNotNull())
-    out = out.withColumns(
-        {
-            "gdpr_articles": F.when(F.size(named) > 0, named).otherwise(F.col("gdpr_articles")),
-            "gdpr_reasoning": F.coalesce("articles.reasoning", "gdpr_reasoning"),
-        }
-    ).drop("articles")
-
     out = _with_replies(out, advice_prompt(), ADVICE_REPLY, "advice", predict, cache_path)
+    named = F.filter(F.transform("articles.violations", lambda v: v["article"]), lambda a: a.isNotNull())
     how = F.col("advice.implementation")
     appended = F.concat(F.col("recommendation"), F.lit("\n\nSuggested approach: "), how)
     return out.withColumns(
         {
+            "gdpr_articles": F.when(F.size(named) > 0, named).otherwise(F.col("gdpr_articles")),
+            "gdpr_reasoning": F.coalesce("articles.reasoning", "gdpr_reasoning"),
             "anonymization_strategy": F.coalesce("advice.recommended_strategy", "anonymization_strategy"),
             "recommendation": F.when(how != "", appended).otherwise(F.col("recommendation")),
         }
-    ).drop("advice")
+    ).drop("articles", "advice")
