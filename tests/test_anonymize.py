@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from velum.functions import masking as M
 from velum.functions.patterns import BASE, DOCUMENT
+from velum.functions.spans import DETECTIONS
 from velum.operators import anonymize as A
 from velum.operators import detect as D
 
@@ -141,7 +142,7 @@ def test_many_values_at_once_give_the_sequential_text(spark, monkeypatch):
         rows.append((seed, text, hits))
         want.append(done)
     df = spark.createDataFrame(rows, f"i int, t string, d {DETECTIONS}")
-    got = df.select("i", A.text_by_value(F.col("t"), F.col("d")).alias("g")).orderBy("i").collect()
+    got = df.select("i", A.text_by_value(F.col("t"), F.col("d"), placed=True).alias("g")).orderBy("i").collect()
     assert [r.g for r in got] == want
     pairs = F.array_distinct(F.transform("h", lambda h: F.struct(h["value"].alias("value"), h["new"].alias("new"))))
     hits = F.transform("d", lambda d: F.struct(d["start"], d["end"], d["value"], A._replacement(d).alias("new")))

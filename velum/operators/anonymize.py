@@ -21,25 +21,27 @@ MANY = 16
 
 
 def text_by_value(
-    text: Column, found: Column, strategy: str = "mask", overrides: Mapping[str, str] | None = None, key: Column | None = None
+    text: Column, found: Column, strategy: str = "mask", overrides: Mapping[str, str] | None = None, key: Column | None = None,
+    *, placed: bool = False,
 ) -> Column:
     """Replace every occurrence of each hit's value, in the order of the hits.
 
     Empty values are skipped. A value that occurs many times is replaced once, as the
-    first replacement already reaches all of its occurrences. Many values are replaced in one pass if that
-    gives the same text (see ``_at_once``), else one after another.
+    first replacement already reaches all of its occurrences. Of hits that are ``placed``, with ``start`` and ``end``, many
+    values are replaced in one pass if that gives the same text (see ``_at_once``), else one after another.
     """
-    hits = F.transform(
-        F.filter(found, lambda d: d["value"] != ""),
-        lambda d: F.struct(
-            d["start"].alias("start"), d["end"].alias("end"), d["value"].alias("value"), _replacement(d, strategy, overrides, key).alias("new")))
+    def with_new(d: Column) -> Column:
+        at = [d["start"].alias("start"), d["end"].alias("end")] if placed else []
+        return F.struct(*at, d["value"].alias("value"), _replacement(d, strategy, overrides, key).alias("new"))
+
+    hits = F.transform(F.filter(found, lambda d: d["value"] != ""), with_new)
 
     def replaced(all_: Column) -> Column:
         pairs = F.array_distinct(F.transform(all_, lambda d: F.struct(d["value"].alias("value"), d["new"].alias("new"))))
 
         def of(p: Column) -> Column:
             one_by_one = F.aggregate(p, text, lambda acc, x: F.replace(acc, x["value"], x["new"]))
-            return F.coalesce(F.when(F.size(p) > MANY, let(F.array_sort(all_), lambda h: _at_once(text, h, p))), one_by_one)
+            return one_by_one if not placed else F.coalesce(F.when(F.size(p) > MANY, let(F.array_sort(all_), lambda h: _at_once(text, h, p))), one_by_one)
 
         return let(pairs, of)
 
