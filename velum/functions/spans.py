@@ -232,13 +232,12 @@ def detections(
     bare = unmarked(text)
     tried = []
     for p in patterns:
-        open_ = None
+        open_ = text.rlike(p.java_regex)  # texts without a match are not cut
         if p.gate is not None:
-            open_ = gates[p.gate] if gates else gate(text, p)
+            open_ = (gates[p.gate] if gates else gate(text, p)) & open_
         if only_if and p.entity in only_if:
-            open_ = only_if[p.entity] if open_ is None else only_if[p.entity] & open_
-        found = parts(bare, p)
-        tried.append(found if open_ is None else F.when(open_, found))
+            open_ = only_if[p.entity] & open_
+        tried.append(F.when(open_, parts(bare, p)))
     recognisers = F.arrays_zip(_meta(patterns).alias("meta"), F.array(*tried).alias("parts"))
     # A single piece is a text without a match.
     found = F.flatten(F.transform(F.filter(recognisers, lambda r: F.size(r["parts"]) > 1), _located))

@@ -336,7 +336,7 @@ SELECT doc_id, arg_max(text, i) AS anonymized FROM r GROUP BY doc_id"""
 def anonymize_by_value(spark, sf_dir):
     docs = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = D.with_detections(docs, "text", BASE)
-    return found.select("doc_id", A.text_by_value(F.col("text"), F.col("detections"), placed=True).alias("anonymized"))
+    return found.select("doc_id", A.text_by_value(F.col("text"), F.col("detections").alias("anonymized"))
 
 
 @query("anonymize_from_findings", _by_value_sql(_chosen_sql()))
