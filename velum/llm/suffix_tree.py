@@ -1,279 +1,384 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the frequent words (a share of ``p_min`` of the training tokens or more, so at most
-``1 / p_min`` of them), the end of a text, and one symbol for all other words. The tree's contexts are
-the last one or two symbols: a context is tried if it makes up ``p_min`` of the training tokens and kept
-if its next-symbol counts diverge from those of its suffix by more than their description costs. Next
-symbols are smoothed by the distribution of the suffix (Witten-Bell), down to the empty context. A text
-is scored in the state of the longest kept suffix before each symbol. A word that is no symbol of its own
-costs its share among such words as well; absolute discounting keeps a share for words that were never
-seen, which are one outcome together, as they are in the base score.
-
-All counts are made over all training texts: word counts per block of texts, then summed by word. For
-scoring, each block gets the counts of its own words back, so nothing that grows with the vocabulary is
-gathered in one place; only the symbols and the tree, both of bounded size, are broadcast.
+Contexts are the words right before a token, up to ``depth`` of them; an end stands before the first word of a text. A context is
+tried if it stands ``min_context`` times in the training texts, an absolute number, so the tree grows with the corpus.
+Its next words are those that follow it ``MIN_NEXT`` times or more. It is kept if they diverge from the
+distribution of its suffix: the log-likelihood they gain must outweigh half the logarithm of the number of tokens for each of them. A
+token is scored in the state of the longest kept suffix of what stands before it:
+
+    p(x | g) = n(g x) / (n(g) + D) + (n(g) + D - S) / (n(g) + D) * p(x | next shorter kept suffix of g)
+
+with ``D`` different next words (of those that stand ``MIN_NEXT`` times in the corpus) and ``S`` the counts of those kept; this sums to 1. The empty context gives
+``(c - d) / N`` for words seen in training (absolute discounting), and all unseen words together, as in the base score, get the rest.
+
+Levels are grown one after another until none is kept or ``depth`` is reached. Texts are packed into blocks by bytes, numbers
+of words instead of words. On each level a block asks for its different (context, next word) pairs; they are dealt by context, those of a frequent
+context by pair, so no task sees more of one context than ``HOT`` tokens or a bounded share of the corpus. What is dealt are packed arrays of sorted pairs, one
+row for a block and shard, and answers come back in the same order. Only what is known of the frequent contexts, at most ``HOT_KINDS`` a level, is
+sent to every task. The probability in the suffix that the test compares with travels in steps of 1/20 of its logarithm.
 
 Null and empty texts consist of the end alone and are scored as such. Repeated rows count and are scored
 as often as they stand; a text of any length is one row; ids may be null or repeat. Without training
-texts every probability comes from the smoothing alone. Other columns of the input are never read.
+texts all is unseen, one outcome of probability 1. Other columns of the input, whatever their names, are never read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.session import materialize
 
-P_MIN, DEPTH, ADDED = 5e-4, 2, 0.1
-#: Texts in a block.
-BLOCK_ROWS = 4_096
-OTHER, END = 0, 1
+MIN_CONTEXT, MIN_NEXT, DEPTH, ADDED = 50, 2, 2, 0.1
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
+#: Different words, and tokens, that a shard counts on average.
+SHARD_WORDS, SHARD_TOKENS = 1 << 20, 4 << 20
+#: A context with more tokens than this, and more than the given part of the corpus, is dealt by pairs.
+HOT, HOT_KINDS = 1 << 22, 1 << 18
+#: Steps a unit of the decimal logarithm in which probabilities of the suffix travel.
+STEPS = 20
+_ANSWER = ("block long, level int, shard int, n binary, number binary, kept binary, d binary, s binary, "
+           "tokens long, kinds long, once long, twice long, made long")
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers from zero up, in as few bytes as the greatest needs, compressed a byte position at a time."""
+    top = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    raw = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _texts(batch: pa.RecordBatch | pa.Table) -> list[bytes]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _unpack(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    raw = pa.decompress(data[9:], width * n, "zstd", asbytes=True) if n else b""
+    planes = np.frombuffer(raw, np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n).astype(np.int64)
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """``(word, block, n)``: the different words of each block with their training counts; the end is the empty word."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, tuple[Counter, set]] = {}
-        for b in batches:
-            for block, train, text in zip(b.column("block").to_pylist(), b.column("train").to_pylist(), _texts(b)):
-                if block not in counts:
-                    yield from shown(counts)  # rows of a block stand together
-                    counts = {block: (Counter(), set())}
-                words = _words(text)
-                if train:
-                    counts[block][0].update(words)
-                    counts[block][0][b""] += 1
-                else:
-                    counts[block][1].update(words)
-                    counts[block][1].add(b"")
-        yield from shown(counts)
-
-    def shown(counts):
-        for block, (seen, other) in counts.items():
-            other -= seen.keys()
-            words = [*seen, *other]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(np.full(len(words), block)),
-                 pa.array(np.append(np.fromiter(seen.values(), np.int64, len(seen)), np.zeros(len(other), np.int64)))],
-                names=["word", "block", "n"])
+def _pack_words(words: list[bytes]) -> bytes:
+    raw = b" ".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-    return blocks.select("block", "train", "text").mapInArrow(counted, "word binary, block long, n long")
 
+def _unpack_words(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, "zstd", asbytes=True).split(b" ") if n else [b""]
 
-class Symbols(dict):
-    """Numbers of the symbols; any other word is ``OTHER``."""
 
+class _Places(dict):
     def __missing__(self, word: bytes) -> int:
-        return OTHER
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = _words(text)
-        return np.fromiter((*map(self.__getitem__, words), END), np.int64, len(words) + 1)
-
-
-def _before(symbols: np.ndarray, back: int) -> np.ndarray:
-    """The symbol ``back`` places before each; an end stands before the first."""
-    return np.concatenate([np.full(min(back, len(symbols)), END), symbols[:-back]])
-
+        self[word] = n = len(self)
+        return n
+
+
+def _packed_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of texts: ids, places of their words in the block's own list (most frequent first), the list with its training counts."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        ids, train, parts, places, size = [], [], [], _Places({b"": 0}), 0
+
+        def block() -> pa.RecordBatch:
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            seq = np.concatenate(parts)
+            order = np.argsort(-np.bincount(seq, minlength=len(places)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            seq, words = rank[seq], list(places)
+            learnt = np.bincount(seq[np.repeat(np.array(train, bool), sizes)], minlength=len(words))
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([part << 32 | made]), "ids": pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)),
+                "train": [_pack(np.array(train, np.int64))], "sizes": [_pack(sizes)], "seq": [_pack(seq)],
+                "words": [_pack_words([words[i] for i in order])], "learnt": [_pack(learnt)],
+                "n_words": pa.array([len(words)]), "n_tokens": pa.array([len(seq)])})
 
-def _transitions(blocks: DataFrame, symbols, contexts) -> DataFrame:
-    """``(context, next, n)`` over the training texts: counts after each of the broadcast contexts.
-
-    Without contexts these are single symbols, else pairs ``earlier * size + later``.
-    """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Symbols(symbols.value)
-        size = len(table) + 1
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            texts = [t for t, train in zip(_texts(b), b.column("train").to_pylist()) if train]
-            found = []
-            for s in map(table.of, texts):
-                context = _before(s, 1)
-                if contexts is not None:
-                    # The start of a text counts as an end before its first word, so one more place is known than there are symbols.
-                    context = _before(s, 2) * size + context
-                    keep = np.isin(context, contexts.value)
-                    context, s = context[keep], s[keep]
-                found.append(context * size + s)
-            if found:
-                new, n = np.unique(np.concatenate(found), return_counts=True)
-                codes, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-
-    return blocks.select("train", "text").mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """Kept contexts with their next-symbol counts, and smoothed probabilities in their states.
-
-    State 0 is the empty context; ``parent`` is the state of the next shorter kept suffix.
-    """
-
-    def __init__(self, size: int, root: np.ndarray):
-        self.size = size
-        self.root = np.log10((root + ADDED) / (root.sum() + ADDED * size))
-        self.single = np.zeros(size, np.int64)  # state of a context of one symbol
-        self.pairs, self.pair_states = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.parent, self.back = [0], [0.0]
-        self.entries, self.values = np.empty(0, np.int64), np.empty(0)
-
-    def logp(self, state: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """Log10 probability of a symbol in a state: its own, or the suffix's times the state's reserve."""
-        out, left = np.zeros(len(state)), np.arange(len(state))
-        state = state.copy()
-        parent, back = np.array(self.parent), np.array(self.back)
-        while len(left):
-            s, f = state[left], following[left]
-            at_root = s == 0
-            out[left[at_root]] += self.root[f[at_root]]
-            left, s, f = left[~at_root], s[~at_root], f[~at_root]
-            if not len(left):
-                break
-            code = s * self.size + f
-            at = np.minimum(np.searchsorted(self.entries, code), len(self.entries) - 1)
-            hit = self.entries[at] == code
-            out[left[hit]] += self.values[at[hit]]
-            out[left[~hit]] += back[s[~hit]]
-            left = left[~hit]
-            state[left] = parent[state[left]]
-        return out
-
-    def states(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """State before each symbol of texts that stand one after another; ``first`` marks their first symbols."""
-        one = _before(symbols, 1)
-        one[first] = END
-        two = _before(symbols, 2)
-        two[first] = END
-        two[np.minimum(np.flatnonzero(first) + 1, len(symbols) - 1)] = END
-        state = self.single[one]
-        if len(self.pairs):
-            code = two * self.size + one
-            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            state = np.where(self.pairs[at] == code, self.pair_states[at], state)
-        return state
-
-    def grow(self, context: np.ndarray, following: np.ndarray, n: np.ndarray, suffix: np.ndarray, tokens: int) -> np.ndarray:
-        """Keep the contexts whose counts diverge from their suffix's distribution; returns them.
-
-        ``suffix`` is the state of each context's suffix. A context is kept if the log-likelihood that its own
-        counts gain outweighs half the logarithm of the number of tokens for each of its next symbols.
-        """
-        order = np.lexsort((following, context))
-        context, following, n, suffix = context[order], following[order], n[order], suffix[order]
-        kinds, start, count = np.unique(context, return_index=True, return_counts=True)
-        if not len(kinds):
-            return kinds
-        total = np.add.reduceat(n, start)
-        gain = n * (np.log(n / np.repeat(total, count)) - self.logp(suffix, following) * np.log(10))
-        kept = np.add.reduceat(gain, start) > 0.5 * count * np.log(max(tokens, 2))
-        states = len(self.parent) + np.cumsum(kept) - 1
-        reserve = count / (total + count)
-        rows = np.repeat(kept, count)
-        lower = 10 ** self.logp(suffix[rows], following[rows])
-        p = (n[rows] + np.repeat(count[kept], count[kept]) * lower) / np.repeat((total + count)[kept], count[kept])
-        entries = np.repeat(states[kept], count[kept]) * self.size + following[rows]
-        self.parent += suffix[start][kept].tolist()
-        self.back += np.log10(reserve[kept]).tolist()
-        self.entries, self.values = np.concatenate([self.entries, entries]), np.concatenate([self.values, np.log10(p)])
-        return kinds[kept]
-
-
-def fit_tree(blocks: DataFrame, symbols: list[bytes], root: np.ndarray, tokens: int, p_min: float = P_MIN) -> Tree:
-    """Grow the tree a level at a time, each with one pass over the training texts.
-
-    Tried contexts number ``1 / p_min`` at most on each level, so their counts are at most
-    ``1 / p_min * (1 / p_min + 2)`` rows.
-    """
-    spark = blocks.sparkSession
-    size = len(symbols) + 2
-    table = spark.sparkContext.broadcast({b"": END, **{w: i + 2 for i, w in enumerate(symbols)}})
-    tree = Tree(size, root)
-
-    def counts(contexts):
-        got = _transitions(blocks, table, contexts).toArrow()
-        code, n = got["code"].to_numpy(), got["n"].to_numpy()
-        return code // size, code % size, n
-
-    context, following, n = counts(None)
-    often = np.bincount(context, n, size) >= p_min * tokens
-    use = often[context]
-    kept = tree.grow(context[use], following[use], n[use], np.zeros(use.sum(), np.int64), tokens)
-    tree.single[kept] = np.arange(1, len(kept) + 1)
-    # Pairs that are frequent enough: of an earlier symbol and the one that followed it.
-    pairs = np.unique((context * size + following)[(n >= p_min * tokens) & (following != END)])
-    pairs = np.unique(np.append(pairs, END * size + END))  # the start of a text
-    context, following, n = counts(spark.sparkContext.broadcast(pairs))
-    kept = tree.grow(context, following, n, tree.single[context % size], tokens)
-    tree.pairs, tree.pair_states = kept, np.arange(len(tree.parent) - len(kept), len(tree.parent))
-    return tree
-
-
-def scores(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", p_min: float = P_MIN) -> DataFrame:
+            for at in range(0, b.num_rows, 256):  # few texts as Python objects at once
+                rows = b.slice(at, 256)
+                for i, (learn, text) in enumerate(zip(rows.column("train").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist())):
+                    if size and size + len(text) > BLOCK_BYTES:
+                        yield block()
+                        ids, train, parts, places, size, made = [], [], [], _Places({b"": 0}), 0, made + 1
+                    words = text.lower().split()
+                    parts.append(np.fromiter((*map(places.__getitem__, words), 0), np.int32, len(words) + 1))
+                    ids.append(rows.column("id").slice(i, 1))
+                    train.append(learn)
+                    size += len(text) + 1
+        if size:
+            yield block()
+
+    return docs.mapInArrow(packed, f"block long, ids array<{kind}>, train binary, sizes binary, seq binary, words binary, learnt binary, "
+                                   "n_words long, n_tokens long")
+
+
+def _answers(rows: list[dict]) -> pa.Table:
+    fields = [f.split() for f in _ANSWER.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
+
+
+def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
+    """Training counts of the words of each block, over all blocks, and a number for each that stands ``MIN_NEXT`` times or more."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                words, n = _unpack_words(row["words"]), _unpack(row["learnt"])
+                order, cuts = _dealt(_word_shards(words, shards), shards)
+                for j, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    if z > a:
+                        yield pa.RecordBatch.from_pydict({
+                            "shard": pa.array([j], pa.int32()), "block": [row["block"]],
+                            "words": [_pack_words([words[i] for i in order[a:z]])], "n": [_pack(n[order[a:z]])]})
+
+    def counted(asks: pa.Table) -> pa.Table:
+        shard = asks["shard"][0].as_py()
+        names, n, sizes = [], [], []
+        for words, count in zip(asks["words"], asks["n"]):
+            names.append(pa.array(_unpack_words(words.as_py()), pa.binary()))
+            n.append(_unpack(count.as_py()))
+            sizes.append(len(n[-1]))
+        where = pa.chunked_array(names).combine_chunks().dictionary_encode().indices.to_numpy()
+        c = np.bincount(where, np.concatenate(n)).astype(np.int64)
+        often = c >= MIN_NEXT
+        number = np.where(often, np.cumsum(often) * shards + shard, 0)
+        rows = [{"block": -1, "level": 0, "tokens": int(c.sum()), "kinds": int((c > 0).sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())}]
+        for block, at in zip(asks["block"].to_pylist(), np.split(where, np.cumsum(sizes)[:-1])):
+            rows.append({"block": block, "level": 0, "shard": shard, "n": _pack(c[at]), "number": _pack(number[at])})
+        return _answers(rows)
+
+    asks = blocks.select("block", "words", "learnt").mapInArrow(asked, "shard int, block long, words binary, n binary")
+    return asks.groupBy("shard").applyInArrow(counted, _ANSWER)
+
+
+def _word_shards(words: list[bytes], shards: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+
+
+def _dealt(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their shards, and where each shard begins and ends."""
+    return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(shards + 1))
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64)
+
+
+class _Plan:
+    """What all tasks share: numbers of shards, totals of the corpus, and what is known of the frequent contexts of each level."""
+
+    def __init__(self, word_shards: int, shards: int, min_context: int, tokens: int, kinds: int, once: int, twice: int):
+        self.word_shards, self.shards, self.tokens, self.kinds = word_shards, shards, tokens, kinds
+        self.min_context = max(min_context, MIN_NEXT)
+        self.discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+        self.hot = max(HOT, tokens // HOT_KINDS)
+        self.frequent: list[tuple[np.ndarray, ...]] = []  # by level: context, kept, d, s
+
+    def keeps(self, entries: np.ndarray, s: np.ndarray, mass: np.ndarray, gain: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Whether contexts diverge from their suffixes by more than their next words cost."""
+        rest = total - s
+        with np.errstate(divide="ignore", invalid="ignore"):
+            others = np.where(rest > 0, rest * np.log(rest / total / np.maximum(1 - mass, 1e-9)), 0.0)
+        return (entries > 0) & (gain - s * np.log(total) + others > 0.5 * entries * np.log(max(self.tokens, 2)))
+
+
+class _Level:
+    """The different pairs of context and next word of a block on one level, in the order in which they are asked for."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, total: np.ndarray, plan: _Plan):
+        self.at = np.flatnonzero(context)
+        self.codes, self.first, self.inverse = np.unique(context[self.at] << 32 | word[self.at], return_index=True, return_inverse=True)
+        self.total = total[self.at][self.first]
+        key = np.where(self.total > plan.hot, self.codes, self.codes >> 32)
+        self.order, self.cuts = _dealt(_mixed(key) % plan.shards, plan.shards)
+
+    def shards(self) -> Iterator[tuple[int, np.ndarray]]:
+        for j, (a, z) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
+            if z > a:
+                yield j, self.order[a:z]
+
+
+def _replayed(block: pa.Table, answers: pa.Table, plan: _Plan):
+    """The tokens of a block after the levels that have answers: sizes, training, counts, probabilities, and the level that comes next."""
+    by_level: dict[int, dict[int, dict]] = {}
+    for a in answers.to_pylist():
+        by_level.setdefault(a["level"], {})[a["shard"]] = a
+    row = {name: block[name][0].as_py() for name in ("train", "sizes", "seq", "words")}
+    sizes, seq, words = _unpack(row["sizes"]), _unpack(row["seq"]), _unpack_words(row["words"])
+    train = np.repeat(_unpack(row["train"]), sizes)
+    c, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    order, cuts = _dealt(_word_shards(words, plan.word_shards), plan.word_shards)
+    for j, a in by_level[0].items():
+        c[order[cuts[j]:cuts[j + 1]]] = _unpack(a["n"])
+        number[order[cuts[j]:cuts[j + 1]]] = _unpack(a["number"])
+    end = words.index(b"")
+    first = np.cumsum(sizes) - sizes
+    p_word = np.where(c > 0, c - plan.discount, plan.discount * plan.kinds) / plan.tokens if plan.tokens else np.ones(len(c))
+    word, p, c = number[seq], p_word[seq], c[seq]
+    context = np.append(0, np.where(c >= plan.min_context, word, 0)[:-1])
+    total = np.append(0, c[:-1])
+    ends = c[sizes[0] - 1]  # every text closes with the end, and the start of a text counts as one
+    context[first], total[first] = (number[end], ends) if ends >= plan.min_context else (0, 0)
+    level = _Level(context, word, total, plan)
+    for depth in range(1, len(plan.frequent) + 1):
+        n, kept, d, s, made = (np.zeros(len(level.codes), np.int64) for _ in range(5))
+        got = by_level.get(depth, {})
+        for j, at in level.shards():
+            a = got[j]
+            n[at], made[at[n[at] >= plan.min_context]] = _unpack(a["n"]), _unpack(a["number"])
+            _, where = np.unique(level.codes[at] >> 32, return_inverse=True)
+            kept[at], d[at], s[at] = (_unpack(a[x])[where] for x in ("kept", "d", "s"))
+        hot_context, hot_kept, hot_d, hot_s = plan.frequent[depth - 1]
+        if len(hot_context):
+            places = np.minimum(np.searchsorted(hot_context, level.codes >> 32), len(hot_context) - 1)
+            is_hot = hot_context[places] == level.codes >> 32
+            for to, known in ((kept, hot_kept), (d, hot_d), (s, hot_s)):
+                to[is_hot] = known[places[is_hot]]
+        entry = np.where((level.codes & 0xFFFFFFFF > 0) & (n >= MIN_NEXT), n, 0)
+        divisor = np.maximum(level.total + d, 1)
+        own = np.where(kept > 0, entry / divisor, 0.0)
+        left = np.where(kept > 0, (level.total + d - s) / divisor, 1.0)
+        p[level.at] = own[level.inverse] + left[level.inverse] * p[level.at]
+        context, total = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        # Of a pair that goes on, the place behind it; a text's last pair ends with the end and has none.
+        going = level.at + 1 < len(word)
+        context[level.at[going] + 1], total[level.at[going] + 1] = made[level.inverse][going], n[level.inverse][going]
+        context[first] = 0
+        level = _Level(context, word, total, plan)
+    return sizes, train, c, p, level
+
+
+def _pairs(blocks: DataFrame, answers: DataFrame, plan, depth: int) -> DataFrame:
+    """Answers to the pairs of level ``depth``, and rows with block -1 for the numbers of the level and its frequent contexts."""
+
+    def asked(block: pa.Table, known: pa.Table) -> pa.Table:
+        shared = plan.value
+        sizes, train, _, p, level = _replayed(block, known, shared)
+        n = np.bincount(level.inverse, train[level.at], len(level.codes)).astype(np.int64)
+        steps = np.round(-STEPS * np.log10(np.maximum(p[level.at][level.first], 1e-300))).astype(np.int64)
+        rows = {name: [] for name in ("shard", "block", "codes", "n", "steps", "total")}
+        for j, at in level.shards():
+            codes = level.codes[at]
+            _, start = np.unique(codes >> 32, return_index=True)
+            for name, value in zip(rows, (j, block["block"][0].as_py(), _pack(np.diff(codes, prepend=0)), _pack(n[at]), _pack(steps[at]), _pack(level.total[at][start]))):
+                rows[name].append(value)
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(rows.items(), kinds)})
+
+    def counted(asks: pa.Table) -> pa.Table:
+        shared = plan.value
+        shard = asks["shard"][0].as_py()
+        parts = [[_unpack(v) for v in asks[name].to_pylist()] for name in ("codes", "n", "steps", "total")]
+        sizes = [len(x) for x in parts[0]]
+        found = np.concatenate([np.cumsum(x) for x in parts[0]])
+        codes, where = np.unique(found, return_inverse=True)
+        n = np.bincount(where, np.concatenate(parts[1]), len(codes)).astype(np.int64)
+        steps = np.zeros(len(codes), np.int64)
+        steps[where] = np.concatenate(parts[2])
+        contexts, start, of = np.unique(codes >> 32, return_index=True, return_inverse=True)
+        total = np.zeros(len(contexts), np.int64)
+        for at, t in zip(np.split(found, np.cumsum(sizes)[:-1]), parts[3]):
+            total[np.searchsorted(contexts, np.unique(at >> 32))] = t
+        real = codes & 0xFFFFFFFF > 0
+        entry = real & (n >= MIN_NEXT)
+        e = np.where(entry, n, 0)
+        d, s, entries = (np.add.reduceat(x.astype(np.int64), start) for x in (real & (n > 0), e, entry))
+        lower = steps / -STEPS
+        mass = np.add.reduceat(np.where(entry, 10.0 ** lower, 0.0), start)
+        gain = np.add.reduceat(e * (np.log(np.maximum(n, 1)) - lower * np.log(10)), start)
+        hot = total > shared.hot
+        kept = shared.keeps(entries, s, mass, gain, total) & ~hot
+        often = real & (n >= shared.min_context)
+        number = np.cumsum(often) * shared.shards + shard
+        rows = [{"block": -1, "level": depth, "made": int(often.sum()), "kinds": int(kept.sum())}]
+        for i in np.flatnonzero(hot):
+            rows.append({"block": -2, "level": depth, "tokens": int(contexts[i]), "once": int(d[i]), "twice": int(s[i]), "kinds": int(entries[i]), "made": int(total[i]),
+                         "n": np.array([mass[i], gain[i]]).tobytes()})
+        for block, at in zip(asks["block"].to_pylist(), np.split(where, np.cumsum(sizes)[:-1])):
+            c = np.unique(of[at])
+            rows.append({"block": block, "level": depth, "shard": shard, "n": _pack(np.where(entry[at] | often[at], n[at], 0)), "number": _pack(number[at[often[at]]]),
+                         "kept": _pack(kept[c]), "d": _pack(np.where(kept[c], d[c], 0)), "s": _pack(np.where(kept[c], s[c], 0))})
+        return _answers(rows)
+
+    asks = _with_answers(blocks, answers).applyInArrow(asked, "shard int, block long, codes binary, n binary, steps binary, total binary")
+    return asks.groupBy("shard").applyInArrow(counted, _ANSWER)
+
+
+def _with_answers(blocks: DataFrame, answers: DataFrame):
+    own = answers.filter("block >= 0").select("block", "level", "shard", "n", "number", "kept", "d", "s")
+    return blocks.groupBy("block").cogroup(own.groupBy("block"))
+
+
+def _frequent(answers: DataFrame, plan: _Plan) -> tuple[np.ndarray, ...]:
+    """What the shards know of the contexts that were dealt by pairs, put together."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = np.frombuffer(b"".join(b.column("n").to_pylist()), np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(x) for x in ("tokens", "once", "twice", "kinds", "made")), pa.array(sums[:, 0]), pa.array(sums[:, 1])],
+                names=["context", "d", "s", "entries", "total", "mass", "gain"])
+
+    rows = answers.filter("block = -2").select("tokens", "once", "twice", "kinds", "made", "n")
+    found = (
+        rows.mapInArrow(parts, "context long, d long, s long, entries long, total long, mass double, gain double")
+        .groupBy("context")
+        .agg(*[F.sum(x).alias(x) for x in ("d", "s", "entries", "mass", "gain")], F.max("total").alias("total"))
+        .toArrow()
+    )
+    context, d, s, entries, mass, gain, total = (found[x].to_numpy() for x in ("context", "d", "s", "entries", "mass", "gain", "total"))
+    order = np.argsort(context)
+    kept = plan.keeps(entries, s, mass, gain, np.maximum(total, 1)).astype(np.int64)
+    return context[order], kept[order], d[order], s[order]
+
+
+def scores(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text",
+           min_context: int = MIN_CONTEXT, depth: int = DEPTH) -> DataFrame:
     """``(key, n_tokens, n_known, train_tokens, base_score, score)`` for every row.
 
     ``train`` is a condition on ``docs``; null counts as false.
     """
     spark = docs.sparkSession
-    blocks = materialize(
-        docs.select(
-            F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
-            F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block")),
-        "blocks")
-    counts = materialize(word_counts(blocks), "word-counts")
-    vocabulary = materialize(counts.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    tokens, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    frequent = vocabulary.filter((F.col("c") >= max(p_min * tokens, 1)) & (F.length("word") > 0)).orderBy("word").collect()
-    ends = vocabulary.filter(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    symbols = [bytes(r["word"]) for r in frequent]
-    of_symbols = [r["c"] for r in frequent]
-    rest = tokens - ends - sum(of_symbols)
-    tree = fit_tree(blocks, symbols, np.array([rest, ends, *of_symbols], np.float64), tokens, p_min)
-    once, twice = vocabulary.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
-    rare_kinds = kinds - len(symbols) - (ends > 0)
-    model = spark.sparkContext.broadcast((tree, {b"": END, **{w: i + 2 for i, w in enumerate(symbols)}}))
-    own = counts.select("word", "block").join(vocabulary, "word").select("block", "word", "c")
-    divisor = tokens + ADDED * (kinds + 1)
-
-    def scored(texts: pa.Table, words: pa.Table) -> pa.Table:
-        tree, table = model.value
-        known = words["word"].to_pylist()
-        place = {w: i for i, w in enumerate(known)}
-        all_c = words["c"].to_numpy()
-        all_symbols = np.fromiter((table.get(w, OTHER) for w in known), np.int64, len(known))
-        share = np.where(all_c > 0, np.maximum(all_c - discount, 1e-9), discount * rare_kinds) / max(rest, 1)
-        prices = np.where((all_symbols == OTHER) & (rest > 0), np.log10(np.maximum(share, 1e-300)), 0.0)
-        found = [[*map(place.__getitem__, _words(t)), place[b""]] for t in _texts(texts)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        at = np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        c, symbol = all_c[at], all_symbols[at]
-        first = np.zeros(len(at), bool)
-        first[starts] = True
-        p = tree.logp(tree.states(symbol, first), symbol) + prices[at]
-        sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10((c + ADDED) / divisor), p)]
-        return pa.table({"id": texts["id"], "n_tokens": sizes, "n_known": sums[0], "train_tokens": np.full(len(sizes), tokens),
-                         "base_score": sums[1], "score": sums[2]})
-
-    kind = blocks.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    joined = blocks.select("block", "id", "text").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(scored, schema)
-    return joined.withColumnRenamed("id", key)
+    blocks = materialize(_packed_blocks(docs.select(
+        F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "blocks")
+    n_words, n_tokens = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    word_shards, shards = -(-n_words // SHARD_WORDS) or 1, -(-n_tokens // SHARD_TOKENS) or 1
+    answers = materialize(_word_counts(blocks, word_shards), "word-answers")
+    totals = answers.filter("block = -1").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "kinds", "once", "twice")]).first()
+    plan = _Plan(word_shards, shards, min_context, *totals)
+    texts = blocks.select("block", "ids", "train", "sizes", "seq", "words")
+    for level in range(1, depth + 1):
+        found = materialize(_pairs(texts.drop("ids"), answers, spark.sparkContext.broadcast(plan), level), f"answers-{level}")
+        frequent = _frequent(found, plan)
+        made, kept = found.filter("block = -1").agg(F.coalesce(F.sum("made"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+        if not kept + frequent[1].sum():
+            break
+        plan.frequent.append(frequent)
+        answers = answers.unionByName(found)
+        if not made:
+            break
+    model = spark.sparkContext.broadcast(plan)
+
+    def scored(block: pa.Table, known: pa.Table) -> pa.Table:
+        shared = model.value
+        sizes, _, c, p, _ = _replayed(block, known, shared)
+        divisor = shared.tokens + ADDED * (shared.kinds + 1)
+        sums = [np.add.reduceat(x, np.cumsum(sizes) - sizes)
+                for x in ((c > 0).astype(np.int64), np.log10((c + ADDED) / divisor), np.log10(np.maximum(p, 1e-300)))]
+        return pa.table({"id": block["ids"].combine_chunks().flatten(), "n_tokens": sizes, "n_known": sums[0],
+                         "train_tokens": np.full(len(sizes), shared.tokens), "base_score": sums[1], "score": sums[2]})
+
+    kind = docs.schema[key].dataType.simpleString()
+    made = _with_answers(texts, answers).applyInArrow(
+        scored, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return made.withColumnRenamed("id", key)
