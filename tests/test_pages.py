@@ -1,9 +1,12 @@
+import html as html_module
+import random
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
+from velum.functions.text import unescape
 from velum.operators import pages as P
 
 
@@ -199,3 +202,15 @@ def test_forms_of_tricky_pages(spark):
                                          ("<title>open", ""), ("", "")])
 def test_titles(spark, html, title):
     assert page(spark, html).select(P.title(F.col("html")).alias("t")).first().t == title
+
+
+def test_usual_entities_are_decoded_once_like_any_other(spark):
+    """Texts with usual entities only take plain replacements, all others are cut into pieces; both give what a browser reads."""
+    pick = random.Random(4)
+    usual = ["&amp;", "&lt;", "&gt;", "&quot;", "&#39;", "&nbsp;", "&copy;", "&mdash;", "lt;", "amp;", "#39;", "& ", "x", "quot;", ";"]
+    other = [*usual, "&copy", "&#65;", "&#x41", "&Eacute;", "&nosuch;", "&amp", "&"]
+    texts = ["".join(pick.choices(pieces, k=pick.randint(1, 8))) for pieces in (usual, other) for _ in range(400)] + ["", "&", "&amp;lt;", "&amp;amp;"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", unescape(F.col("t")).alias("u")).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert r.u == (None if r.t is None else html_module.unescape(r.t)), r.t

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import REDACTION_STEPS
+from velum.functions.spans import let
 
 # Connection schemes and file endings that can be scanned.
 DATABASE_SCHEMES = ("postgresql", "mysql", "sqlite", "mssql")
@@ -33,6 +34,9 @@ def redact_text(text: Column) -> Column:
 _ENTITY = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 # Looked up first; all other names come from the standard HTML 5 table.
 _COMMON = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"))
+# Frequent names, written with their semicolon; a text with no others is decoded by plain replacements.
+_USUAL = ("lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "middot", "bull", "hellip", "ndash", "mdash", "laquo", "raquo", "euro")
+_UNUSUAL = rf"&(?!(?:{'|'.join(_USUAL)}|#39|amp);)(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z])"
 # Old names that also count without a semicolon and in front of other letters, longest first.
 _OLD_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)
 
@@ -90,7 +94,19 @@ def _entity(part: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Decode HTML entities inside the JVM, each once; texts without ``&`` are passed through.
 
-    What a piece is made of is bound by a first ``transform`` and used by a second one,
+    Of the usual entities only ``&amp;`` brings a new ``&``, so it is replaced last and nothing is decoded twice.
+    """
+    return let(text, lambda t: F.when(~t.contains("&"), t).when(~t.rlike(_UNUSUAL), _usual(t)).otherwise(_any_entity(t)))
+
+
+def _usual(text: Column) -> Column:
+    for name, char in (*((f"&{n};", html5[f"{n};"]) for n in _USUAL), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def _any_entity(text: Column) -> Column:
+    """What a piece is made of is bound by a first ``transform`` and used by a second one,
     which keeps the expression small although its parts are used several times.
     """
     pieces = F.arrays_zip(
@@ -112,8 +128,7 @@ def unescape(text: Column) -> Column:
     def decode(p: Column) -> Column:
         return F.when(p["hit"].isNull(), p["gap"]).otherwise(F.concat(p["gap"], _entity(p)))
 
-    decoded = F.array_join(F.transform(F.transform(pieces, bind), decode), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    return F.array_join(F.transform(F.transform(pieces, bind), decode), "")
 
 
 # White space of any script, and the separators that count as such in text files.
