@@ -258,3 +258,32 @@ def test_top_n_in_slices(spark):
     large = session.top_n(df, [F.col("k").desc()], 50, slices=4)
     assert [r.k for r in large.collect()] == plain == sorted((r.k for r in df.collect()), reverse=True)[:50]
     assert "WindowGroupLimit" in plan_of(large)
+
+
+def test_stored_signatures_are_compared_without_a_shuffle(spark, tmp_path):
+    """Null and empty keys stay apart, the last finding wins, values are not on disk, and neither side is dealt anew."""
+    schema = "source string, location string, pii_type string, content string, severity string, confidence double, seq int"
+    old = [("a", None, "EMAIL", "x@y.zz", "low", 0.5, 1), ("a", None, "EMAIL", "x@y.zz", "high", 0.5, 2), ("a", "", "EMAIL", "x@y.zz", "low", 0.5, 1),
+           ("b", "p", "SSN", "123-45-6789", "high", 0.9, 1)]
+    new = [("a", None, "EMAIL", "x@y.zz", "high", 0.5, 1), ("b", "p", "SSN", "123-45-6789", "high", 0.8, 1), ("c", "1", "SSN", "23", "low", 0.1, 1)]
+    keys, tables, frames = ("source", "location", "pii_type", "content"), [], []
+    for name, rows in (("stored_old", old), ("stored_new", new)):
+        frames.append(spark.createDataFrame(rows, schema))
+        R.store_signatures(frames[-1], name, str(tmp_path / name), order=F.col("seq"), keys=keys, buckets=4)
+        tables.append(spark.table(name))
+    try:
+        made = X.compare_stored(*tables)
+        assert "Exchange" not in plan_of(made) and "SortMergeJoin" in plan_of(made)
+        plain = X.compare(*frames, order=F.col("seq"), keys=keys)
+        rest = ["pii_type", "baseline_severity", "baseline_confidence", "current_severity", "current_confidence", "change_type"]
+        want = plain.select(X.signature_digest(keys), *rest)
+        assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert sorted(r.change_type for r in made.collect()) == ["modified", "new", "resolved", "unchanged"]
+        assert tables[0].columns == ["signature", "pii_type", "severity", "confidence"]
+        with pytest.raises(Exception, match="ALREADY_EXISTS"):
+            R.store_signatures(frames[0], "stored_old", str(tmp_path / "again"), order=F.col("seq"), keys=keys)
+        empty = X.compare_stored(tables[0], tables[1].filter("false"))
+        assert {r.change_type for r in empty.collect()} == {"resolved"}
+    finally:
+        for name in ("stored_old", "stored_new"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

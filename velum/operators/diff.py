@@ -82,6 +82,37 @@ def compare(
     return joined.select(*shown, *rest, kind.alias("change_type"))
 
 
+def signature_digest(keys: Sequence[str] = DEFAULT_KEYS, salt: str = "") -> Column:
+    """One column for a signature whose keys have been cut already: a digest of the keys, each behind its length, null apart from empty.
+
+    Short values can be guessed from a plain digest; ``salt`` keeps others from trying.
+    """
+    parts = [F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("-")) for k in keys]
+    return F.sha2(F.concat(F.lit(salt), *parts), 256).alias("signature")
+
+
+def compare_stored(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """``compare`` for two scans kept by ``reports.store_signatures``, by digest instead of keys.
+
+    Both are bucketed by the digest, one row each, so neither side is shuffled however often they are compared; scans with different
+    numbers of buckets compare as well, with a shuffle.
+    """
+    columns = ("pii_type", "severity", "confidence")
+    old, new = (df.select("signature", *[F.col(c).alias(f"{side}_{c}") for c in columns], F.lit(True).alias(f"in_{side}"))
+                for df, side in ((baseline, "baseline"), (current, "current")))
+    changed = (F.col("baseline_severity") != F.col("current_severity")) | (F.col("baseline_confidence") != F.col("current_confidence"))
+    kind = (
+        F.when(F.col("in_baseline").isNull(), "new")
+        .when(F.col("in_current").isNull(), "resolved")
+        .when(changed, "modified")
+        .otherwise("unchanged")
+    )
+    # A full outer merge join keeps the buckets' order; a broadcast side would be read whole by every task.
+    return old.join(new.hint("merge"), "signature", "full_outer").select(
+        "signature", F.coalesce("baseline_pii_type", "current_pii_type").alias("pii_type"),
+        "baseline_severity", "baseline_confidence", "current_severity", "current_confidence", kind.alias("change_type"))
+
+
 def diff_summary(diff: DataFrame) -> DataFrame:
     """One row: the four counts, net change and trend."""
     kinds = ("new", "resolved", "modified", "unchanged")

@@ -177,6 +177,24 @@ def scan_diff(spark, sf_dir):
     return _diff(spark, sf_dir)
 
 
+_DIGEST_SQL = "sha256(" + " || ".join(f"coalesce(length({k}) || ':' || {k}, '-')" for k in KEYS) + ")"
+
+
+@query(
+    "scan_diff_stored",
+    f"""WITH {DIFF_SQL} SELECT {_DIGEST_SQL} AS signature, pii_type, baseline_severity, baseline_confidence,
+  current_severity, current_confidence, change_type FROM diff""",
+)
+def scan_diff_stored(spark, sf_dir):
+    kept = []
+    for label, found in (("baseline", document_findings(spark, sf_dir)), ("current", later_findings(spark, sf_dir))):
+        path = scratch_dir(spark, f"signatures-{label}")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        R.store_signatures(found, name, path, order=_order(), keys=KEYS, buckets=8)
+        kept.append(spark.table(name))
+    return X.compare_stored(*kept)
+
+
 @query(
     "scan_diff_default_keys",
     f"""WITH {K.DOC_FINDINGS}, {_later_sql()},

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions.text import fixed
 from velum.operators import summary
+from velum.operators.diff import DEFAULT_KEYS, last_per_signature, signature_digest
 from velum.operators.findings import redacted
 
 # Fixed value: how much of a context goes into an export.
@@ -113,6 +116,19 @@ def save_findings(findings: DataFrame, path: str, mode: str = "errorifexists") -
     redacted(findings).write.mode(mode).json(path)
 
 
+def store_signatures(
+    findings: DataFrame, name: str, path: str, *, order: Column, keys: Sequence[str] = DEFAULT_KEYS, buckets: int = 64, salt: str = ""
+) -> None:
+    """The last finding of each signature as a table of the catalog at ``path``, bucketed and sorted by a digest of its keys.
+
+    The table has no detected value. Scans that are to be compared need the same keys and salt, and for a join without a shuffle
+    as many buckets. A name that exists is an error.
+    """
+    last = last_per_signature(findings, order, keys)
+    rows = last.select(signature_digest(keys, salt), "pii_type", "severity", "confidence")
+    rows.repartition(buckets, "signature").write.bucketBy(buckets, "signature").sortBy("signature").option("path", path).saveAsTable(name)
+
+
 def audit_lines(entries: DataFrame, *keep: str) -> DataFrame:
     """Audit rows as JSON text, one ``value`` per entry; absent fields stay visible as null."""
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
