@@ -184,3 +184,27 @@ def test_a_tree_of_odd_names_and_unreadable_files(spark, tmp_path, monkeypatch):
     small = tree.contents(tree.supported(listed.filter("path like '%x.txt'")), 3).first()
     assert (small.error, small.content) == ("File too large", None)
     assert not tree.reachable(f"{tmp_path}/none") and not tree.reachable("nostore://x/y")
+
+
+def test_contacts_are_written_as_files_by_several_tasks(spark, sf):
+    """A small table comes in one split, and a file costs far more than its row: one task would write them all."""
+    from velum.plans import surfaces
+    from velum.plans.corpus import contacts
+    from velum.sources import tree
+
+    assert contacts(spark, sf).rdd.getNumPartitions() == 1
+    context = spark.sparkContext
+    context.setJobGroup("written", "files of contacts")
+    try:
+        path = surfaces._written_contacts(spark, sf)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("written") for s in tracker.getJobInfo(j).stageIds}
+    assert max(tracker.getStageInfo(s).numTasks for s in stages) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+    body = F.concat_ws("\n", "full_name", "email_address", "phone", "ssn", "remark")
+    want = {r.k: r.t for r in contacts(spark, sf).select(F.col("contact_id").cast("string").alias("k"), body.alias("t")).collect()}
+    files = tree.contents(tree.listing(spark, path), 1 << 20).collect()
+    got = {r.path.rsplit("/", 1)[1].lstrip(".")[1:].split(".")[0]: bytes(r.content).decode() for r in files}
+    assert len(files) == len(want) and got == want

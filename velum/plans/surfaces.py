@@ -244,15 +244,25 @@ def _written_contacts(spark, sf_dir) -> str:
     path = scratch_dir(spark, "folder")
 
     def write(frames):
+        system, top, _ = TREE.opened(path)
+        made = set()
         for frame in frames:
             for name_, text in zip(frame["name"], frame["text"]):
-                system, place, _ = TREE.opened(f"{path}/{name_}")
-                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(place) as f:
+                folder = f"{top}/{name_}".rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{top}/{name_}") as f:
                     f.write(text.encode())
             yield frame[["name"]]
 
-    contacts(spark, sf_dir).select(name.alias("name"), body.alias("text")).mapInPandas(write, "name string").count()
+    # A table of many contacts is still few bytes, so it comes in one split or a few; every row costs a file.
+    # Each task fills one folder after another, in an order of its own: tasks that add files to one folder wait for each other.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = contacts(spark, sf_dir).select(name.alias("name"), body.alias("text")).repartition(tasks, "name")
+    turn = F.xxhash64(F.regexp_replace("name", "/[^/]*$", ""), F.spark_partition_id())
+    rows = rows.withColumn("turn", turn).sortWithinPartitions("turn")
+    rows.mapInPandas(write, "name string").count()
     return path
 
 
